@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import secrets
+from tessera.llm import secrets, tokens
 from tessera.llm.common import documents
 
 QUERIES = {
     "op1_secret_scans": lambda spark, sf: secrets.op1(documents(spark, sf)),
+    "op7_token_counts": lambda spark, sf: tokens.op7(documents(spark, sf)),
 }
 ORACLES: dict[str, str] = {}
