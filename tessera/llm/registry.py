@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, packing, secrets, tokens
+from tessera.llm import fingerprints, mixing, packing, secrets, tokens
 from tessera.llm.common import documents
 
 QUERIES = {
     "op1_secret_scans": lambda spark, sf: secrets.op1(documents(spark, sf)),
     "op6_best_fit_packing": lambda spark, sf: packing.op6(documents(spark, sf)),
     "op7_token_counts": lambda spark, sf: tokens.op7(documents(spark, sf)),
+    "op10_winnowing": lambda spark, sf: fingerprints.op10(documents(spark, sf)),
     "op8_source_mixing": lambda spark, sf: mixing.op8(documents(spark, sf)),
 }
 ORACLES: dict[str, str] = {"op8_source_mixing": mixing.ORACLE}
