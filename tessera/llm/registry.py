@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import fingerprints, mixing, packing, secrets, tokens
+from tessera.llm import fingerprints, mixing, near_dup, packing, secrets, tokens
 from tessera.llm.common import documents
 
 QUERIES = {
@@ -11,5 +11,6 @@ QUERIES = {
     "op7_token_counts": lambda spark, sf: tokens.op7(documents(spark, sf)),
     "op10_winnowing": lambda spark, sf: fingerprints.op10(documents(spark, sf)),
     "op8_source_mixing": lambda spark, sf: mixing.op8(documents(spark, sf)),
+    "op9_order_minhash": lambda spark, sf: near_dup.op9(documents(spark, sf)),
 }
 ORACLES: dict[str, str] = {"op8_source_mixing": mixing.ORACLE}
