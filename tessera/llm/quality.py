@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship
+from tessera.session import durable, ship
 
 #: Shrinkage towards the pooled covariance, and of that towards its mean variance times the identity.
 POOL = 0.3
@@ -148,17 +148,33 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Model:
-    """Fit on all labelled documents that are not held out; ids with several labels count once for each."""
+def describe(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and ``x``, the statistics, one row per input row: the only pass over the texts."""
     ship(df.sparkSession)
+    src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _features(b.column(1).to_pylist())
+            lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(NAMES), dtype=np.int32), x.ravel())
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "x"])
+
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, x array<double>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), len(NAMES))
+
+
+def fit(described: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> Model:
+    """Fit on all labelled documents that are not held out; ids with several labels count once for each."""
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
-    # ids first: the wanted texts are then found by a join on ids, and only they go to Python
-    rows = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("t")).join(known, "_id").select("_y", "t")
+    rows = described.join(known, F.col("doc_id") == F.col("_id")).select("_y", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[int, list] = {}
         for b in batches:
-            y, x = b.column(0).to_numpy(), _features(b.column(1).to_pylist())
+            y, x = b.column(0).to_numpy(), _matrix(b.column(1))
             for c in (0, 1):
                 z = x[y == c]
                 if len(z):
@@ -196,6 +212,17 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return src.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
 
 
+def score_described(described: DataFrame, model: Model) -> DataFrame:
+    """doc_id and ``score`` from ``describe``'s table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))), pa.float64())], names=["doc_id", "score"])
+
+    return described.select("doc_id", "x").mapInArrow(run, f"doc_id {described.schema['doc_id'].dataType.simpleString()}, score double")
+
+
 def op5(df: DataFrame, labels: DataFrame) -> DataFrame:
-    got = score(df.select("doc_id", "text"), fit(df, labels))
+    described = durable(describe(df))
+    got = score_described(described, fit(described, labels))
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))

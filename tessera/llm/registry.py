@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import fingerprints, mixing, near_dup, packing, quality, secrets, tokens
+from tessera.llm import fingerprints, mixing, near_dup, packing, quality, rules, secrets, tokens
 from tessera.llm.common import documents, table
 
 QUERIES = {
     "op1_secret_scans": lambda spark, sf: secrets.op1(documents(spark, sf)),
+    "op4_quality_rules": lambda spark, sf: rules.op4(documents(spark, sf)),
     "op5_quality_qda": lambda spark, sf: quality.op5(documents(spark, sf), table(spark, sf, "labels")),
     "op6_best_fit_packing": lambda spark, sf: packing.op6(documents(spark, sf)),
     "op7_token_counts": lambda spark, sf: tokens.op7(documents(spark, sf)),
