@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import fingerprints, mixing, near_dup, packing, quality, rules, secrets, suffix_dedup, tokens
-from tessera.llm.common import documents, table
+from tessera.llm import fingerprints, html_text, mixing, near_dup, packing, quality, rules, secrets, suffix_dedup, tokens
+from tessera.llm.common import documents, ship, table
 
 QUERIES = {
     "op1_secret_scans": lambda spark, sf: secrets.op1(documents(spark, sf)),
+    "op2_html_layout": lambda spark, sf: (ship(spark), html_text.op2(table(spark, sf, "pages")))[1],
     "op3_column_suffix_dedup": lambda spark, sf: suffix_dedup.op3(documents(spark, sf)),
     "op4_quality_rules": lambda spark, sf: rules.op4(documents(spark, sf)),
     "op5_quality_qda": lambda spark, sf: quality.op5(documents(spark, sf), table(spark, sf, "labels")),
