@@ -12,6 +12,7 @@ Nulls: a null page gives a null text, an empty one an empty text. Pages are hand
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from unicodedata import east_asian_width
@@ -84,18 +85,31 @@ def parse(html: str) -> Node:
     """The tree of a page."""
     root = Node("html", {})
     stack = [root]
+    opened: Counter[str] = Counter()  # of the stack, so that what is not open is not looked for
     at, n = 0, len(html)
 
+    def push(node: Node) -> None:
+        stack[-1].kids.append(node)
+        stack.append(node)
+        opened[node.tag] += 1
+
+    def cut_at(i: int) -> None:
+        for node in stack[i:]:
+            opened[node.tag] -= 1
+        del stack[i:]
+
     def close_implied(ends: set[str] | frozenset, stop: set[str] | frozenset) -> None:
         """Close the outermost of the open ``ends`` on this side of ``stop``, and all inside it."""
         cut = None
+        if not any(opened[tag] for tag in ends):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in stop:
                 break
             if stack[i].tag in ends:
                 cut = i
         if cut is not None:
-            del stack[cut:]
+            cut_at(cut)
 
     while at < n:
         m = TAG.search(html, at)
@@ -112,9 +126,9 @@ def parse(html: str) -> Node:
             if tag == "br":
                 stack[-1].kids.append(Node("br", {}))
                 continue
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut_at(i)
                     break
                 if stack[i].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break
@@ -133,23 +147,22 @@ def parse(html: str) -> Node:
             if tag in IMPLIED:
                 close_implied(*IMPLIED[tag])
             if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                row = Node("tr", {})
-                stack[-1].kids.append(row)
-                stack.append(row)
+                push(Node("tr", {}))
             if tag == "body" or (tag not in ("head", "title", "meta", "link", "base", "script", "style", "template", "noscript") and stack[-1].tag == "head"):
                 if stack[-1].tag == "head":
-                    stack.pop()
+                    cut_at(len(stack) - 1)
             node = Node(tag, attributes(attrs) if attrs.strip(" /\t\n\r\f") else {})
-            stack[-1].kids.append(node)
             if tag in VOID:
+                stack[-1].kids.append(node)
                 continue
             if tag in RAW or tag in ESCAPABLE:
+                stack[-1].kids.append(node)
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
                 body = html[at : end.start()] if end else html[at:]
                 node.kids.append(unescape(body) if tag in ESCAPABLE else body)
                 at = end.end() if end else n
                 continue
-            stack.append(node)
+            push(node)
     return root
 
 
