@@ -1,10 +1,590 @@
-"""Queries over the test tables and their DuckDB statements, keyed by name."""
+"""Queries over the test tables and their DuckDB statements, keyed by name.
+
+The tables stand in for records of the domain: order lines for judged candidates, documents for captions, vector pairs
+(2i, 2i+1) for an image and its text, events for detections and logs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import geometry, jsonx, text, vectors
+from tessera.operators import batch, ingest, losses, metrics, negatives, packing, regions, retrieval, triplets
+from tessera.session import ship
+from tessera.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return run
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# --- triplets ------------------------------------------------------------------------------------------------------------
+
+_JUDGED = """
+j AS (SELECT l_orderkey AS image, l_partkey AS text, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, l_discount AS teacher_score,
+             1 - l_tax AS conf, l_linenumber, l_partkey, l_suppkey FROM lineitem),
+k AS (SELECT *, sum(label) OVER (PARTITION BY image) AS np, count(*) OVER (PARTITION BY image) AS n FROM j),
+r AS (SELECT *, row_number() OVER (PARTITION BY image, label ORDER BY CASE WHEN label = 0 THEN -teacher_score END, l_linenumber, l_partkey, l_suppkey, conf, teacher_score) AS r
+      FROM k WHERE np > 0 AND np < n),
+t AS (SELECT image, text, label, teacher_score, conf,
+             CAST(CASE WHEN label = 1 THEN r - 1 ELSE least(np, 2) + r - 1 END AS INTEGER) AS pos
+      FROM r WHERE r <= CASE WHEN label = 1 THEN 2 ELSE 4 END)"""
+
+
+def _mined(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("image"),
+        F.col("l_partkey").alias("text"),
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"),
+        F.col("l_discount").alias("teacher_score"),
+        (1 - F.col("l_tax")).alias("conf"),
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+    )
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "conf", "teacher_score")]
+    return triplets.mine(rows, order).select("image", "text", "label", "teacher_score", "conf", "pos")
+
+
+@query(f"WITH {_JUDGED} SELECT image, text, label, teacher_score, conf, pos FROM t")
+def triplet_mining(spark, sf):
+    return _mined(spark, sf)
+
+
+@query(
+    f"""WITH {_JUDGED}, b AS (SELECT *, image // 64 AS batch, count(*) OVER (PARTITION BY image) AS k FROM t),
+    m AS (SELECT *, min(k) OVER (PARTITION BY batch) AS kmin FROM b)
+    SELECT batch, image, text, label, teacher_score, conf, pos FROM m WHERE pos < kmin"""
+)
+def triplet_kmin(spark, sf):
+    rows = _mined(spark, sf).withColumn("batch", F.floor(F.col("image") / 64).cast("long"))
+    return triplets.truncate_to_batch_minimum(rows, "batch")
+
+
+@query(
+    f"""WITH {_JUDGED} SELECT image, CAST(count(*) AS BIGINT) AS n, CAST(sum(label) AS BIGINT) AS n_positive,
+    string_agg(CAST(text AS VARCHAR), '|' ORDER BY pos) AS texts FROM t GROUP BY image"""
+)
+def triplet_records(spark, sf):
+    rec = triplets.nest(_mined(spark, sf))
+    return rec.select(
+        "image",
+        F.size("candidates").cast("long").alias("n"),
+        F.size(F.filter("candidates", lambda c: c["label"] == 1)).cast("long").alias("n_positive"),
+        F.array_join(F.transform("candidates", lambda c: c["text"].cast("string")), "|").alias("texts"),
+    )
+
+
+# --- captions, dedup, split ------------------------------------------------------------------------------------------------
+
+
+@query(r"""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS t FROM documents) SELECT doc_id, t AS text FROM c WHERE length(t) BETWEEN 5 AND 200""")
+def clean_text(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", text.clean_text(F.col("text")).alias("text")).filter("text is not null")
+
+
+@query(r"""SELECT conv_id, turn, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 20 AS ok FROM conversations""")
+def caption_quality(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.caption_ok(F.col("text")).alias("ok"))
+
+
+@query("SELECT doc_id, sha1(text) AS sha1 FROM documents QUALIFY row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) = 1")
+def exact_dedup(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return ingest.exact_dedup(d, F.col("text").cast("binary"), F.col("doc_id")).select("doc_id", "sha1")
+
+
+@query(
+    """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY sha1('42|' || doc_id)) AS r, count(*) OVER () AS n FROM documents)
+    SELECT doc_id, CASE WHEN r <= greatest(1, n // 100) THEN 'eval' ELSE 'train' END AS split FROM r"""
+)
+def train_eval_split(spark, sf):
+    return ingest.train_eval_split(table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
+@query(
+    r"""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS t FROM documents),
+    k AS (SELECT * FROM c WHERE length(t) BETWEEN 5 AND 2000 QUALIFY row_number() OVER (PARTITION BY sha1(t) ORDER BY doc_id) = 1),
+    r AS (SELECT *, row_number() OVER (ORDER BY sha1('42|' || doc_id)) AS r, count(*) OVER () AS n FROM k)
+    SELECT doc_id, sha1(t) AS sha1, CASE WHEN r <= greatest(1, n // 100) THEN 'eval' ELSE 'train' END AS split FROM r"""
+)
+def ingest_pipeline(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    rows = d.withColumn("text", text.clean_text(F.col("text"), text.CleanParams(5, 2000))).filter("text is not null")
+    return ingest.train_eval_split(ingest.exact_dedup(rows, F.col("text").cast("binary"), F.col("doc_id")).select("doc_id", "sha1"), "doc_id")
+
+
+@query("SELECT d.doc_id, d.lang, d.source FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND l.toxic = 0")
+def label_quality_filter(spark, sf):
+    good = table(spark, sf, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    return table(spark, sf, "documents").select("doc_id", "lang", "source").join(good, "doc_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag = 'N' AS valid FROM lineitem WHERE l_quantity * 300 >= 5120 AND least(l_linenumber * 30, l_quantity * 8) >= 64")
+def image_validation(spark, sf):
+    li = table(spark, sf, "lineitem")
+    ok = tables.valid_image(F.col("l_quantity") * 300, F.col("l_linenumber") * 30, F.col("l_quantity") * 8)
+    return li.filter(ok).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_returnflag") == "N").alias("valid"))
+
+
+@query("""SELECT page_id, CASE WHEN starts_with(p, '/') THEN p ELSE '/data/images/' || p END AS path, lower(regexp_extract(p, '(\\.[^./]+)$', 1)) AS suffix
+    FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '/abs/' ELSE '' END || page_id || CASE WHEN page_id % 3 = 0 THEN '.JPG' ELSE '.png' END AS p FROM pages)""".replace("\\\\", "\\"))
+def image_paths(spark, sf):
+    p = F.concat(F.when(F.col("page_id") % 2 == 0, "/abs/").otherwise(""), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".JPG").otherwise(".png"))
+    rows = table(spark, sf, "pages").select("page_id", p.alias("p"))
+    return rows.select("page_id", text.resolve_path(F.col("p"), "/data/images").alias("path"), text.suffix(F.col("p")).alias("suffix"))
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) GROUP BY user_id")
+def new_blobs(spark, sf):
+    stored = table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id")).distinct()
+    return table(spark, sf, "events").join(stored, "user_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+# --- sizes, tokens, packing --------------------------------------------------------------------------------------------------
+
+_RESIZE = """
+s AS (SELECT p_partkey, 28.0 + 37 * p_size AS h, 28.0 + (p_partkey * 131) % 1900 AS w FROM part),
+b AS (SELECT *, greatest(28.0, round_even(CAST(h / 28.0 AS DOUBLE), 0) * 28) AS hb, greatest(28.0, round_even(CAST(w / 28.0 AS DOUBLE), 0) * 28) AS wb,
+             CAST(h AS DOUBLE) AS hd, CAST(w AS DOUBLE) AS wd FROM s),
+z AS (SELECT p_partkey,
+   CAST(CASE WHEN hb * wb > 351232 THEN greatest(28, floor(hd / sqrt(hd * wd / 351232) / 28) * 28) WHEN hb * wb < 100352 THEN ceil(hd * sqrt(100352.0::DOUBLE / (hd * wd)) / 28) * 28 ELSE hb END AS INTEGER) AS height,
+   CAST(CASE WHEN hb * wb > 351232 THEN greatest(28, floor(wd / sqrt(hd * wd / 351232) / 28) * 28) WHEN hb * wb < 100352 THEN ceil(wd * sqrt(100352.0::DOUBLE / (hd * wd)) / 28) * 28 ELSE wb END AS INTEGER) AS width FROM b)"""
+
+
+@query(f"WITH {_RESIZE} SELECT p_partkey, height, width, CAST((height // 14) * (width // 14) AS INTEGER) AS tokens FROM z")
+def image_tokens(spark, sf):
+    h, w = 28 + 37 * F.col("p_size"), 28 + (F.col("p_partkey") * 131) % 1900
+    size = geometry.smart_resize(h, w)
+    return table(spark, sf, "part").select("p_partkey", size["height"].alias("height"), size["width"].alias("width"), geometry.image_tokens(h, w).alias("tokens"))
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, CAST(28 + 37 * p_size AS DOUBLE) AS h, CAST(28 + (p_partkey * 131) % 1900 AS DOUBLE) AS w FROM part)
+    SELECT p_partkey, CAST(CASE WHEN w * h > 175616 THEN greatest(28, floor(h * sqrt(175616.0::DOUBLE / (w * h)))) ELSE h END AS INTEGER) AS height,
+           CAST(CASE WHEN w * h > 175616 THEN greatest(28, floor(w * sqrt(175616.0::DOUBLE / (w * h)))) ELSE w END AS INTEGER) AS width FROM s"""
+)
+def pixel_budget(spark, sf):
+    h, w = (28 + 37 * F.col("p_size")).cast("double"), (28 + (F.col("p_partkey") * 131) % 1900).cast("double")
+    size = geometry.fit_pixels(h, w, 224 * 28 * 28)
+    return table(spark, sf, "part").select("p_partkey", size["height"].alias("height"), size["width"].alias("width"))
+
+
+BUDGET = 4000
+_BINS = """RECURSIVE d AS (SELECT doc_id, source, greatest(1, n_chars // 4) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+b AS (SELECT source, r, doc_id, tokens, 0::BIGINT AS bin_id, tokens AS fill FROM d WHERE r = 1
+      UNION ALL
+      SELECT d.source, d.r, d.doc_id, d.tokens, CASE WHEN b.fill + d.tokens > 4000 THEN b.bin_id + 1 ELSE b.bin_id END,
+             CASE WHEN b.fill + d.tokens > 4000 THEN d.tokens ELSE b.fill + d.tokens END
+      FROM b JOIN d ON d.source = b.source AND d.r = b.r + 1)"""
+
+
+def _packed(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", F.greatest(F.lit(1), F.floor(F.col("n_chars") / 4)).cast("long").alias("tokens"))
+    return packing.build_bins(d, "source", "doc_id", "tokens", BUDGET)
+
+
+@query(f"WITH {_BINS} SELECT doc_id, source, tokens, bin_id FROM b")
+def online_bins(spark, sf):
+    return _packed(spark, sf)
+
+
+@query(
+    f"""WITH {_BINS}, p AS (SELECT source, bin_id, count(*) AS c, sum(tokens) AS t FROM b GROUP BY 1, 2)
+    SELECT source, CAST(sum(c) AS BIGINT) AS n_items, count(*) AS n_bins, CAST(sum(t) AS BIGINT) AS total, round(sum(t) * 100.0::DOUBLE / (count(*) * 4000), 4) AS fill FROM p GROUP BY source"""
+)
+def bin_fill(spark, sf):
+    return packing.fill_rate(_packed(spark, sf), "tokens", BUDGET, "source")
+
+
+@query(f"WITH {_BINS} SELECT CAST(bin_id % 4 AS INTEGER) AS rank, count(DISTINCT source || '/' || bin_id) AS n_bins, CAST(sum(tokens) AS BIGINT) AS tokens FROM b GROUP BY 1")
+def rank_shards(spark, sf):
+    rows = ingest.shards(_packed(spark, sf), "bin_id", 4)
+    return rows.groupBy("rank").agg(F.count_distinct(F.concat_ws("/", "source", "bin_id")).alias("n_bins"), F.sum("tokens").alias("tokens"))
+
+
+@query()
+def ffd_bins(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", F.greatest(F.lit(1), F.floor(F.col("n_chars") / 4)).cast("long").alias("tokens"))
+    return packing.first_fit_decreasing(d, "source", "doc_id", "tokens", BUDGET)
+
+
+@query()
+def shuffled_bins(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", F.greatest(F.lit(1), F.floor(F.col("n_chars") / 4)).cast("long").alias("tokens"))
+    return packing.build_bins(d, "source", "doc_id", "tokens", BUDGET, strategy="offline")
+
+
+@query("SELECT conv_id, turn, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM conversations")
+def ragged_offsets(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
+    return packing.offsets(c, "conv_id", "turn", "size").drop("size")
+
+
+@query(
+    """WITH p AS (SELECT conv_id, turn, length(text) AS s, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS BIGINT) AS chunk FROM conversations)
+    SELECT conv_id, turn, chunk, CAST(coalesce(sum(s) OVER (PARTITION BY conv_id, chunk ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM p"""
+)
+def packed_chunks(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
+    return packing.chunks(c, "conv_id", "turn", "size", 2).drop("size")
+
+
+@query(
+    """WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
+    SELECT doc_id, source, CAST(i // 16 AS BIGINT) AS batch, CAST(i % 16 AS INTEGER) AS pos FROM r WHERE i // 16 < n // 16"""
+)
+def fixed_batches(spark, sf):
+    return ingest.batches(table(spark, sf, "documents").select("doc_id", "source"), F.col("doc_id"), 16, True, ("source",))
+
+
+# --- vectors -------------------------------------------------------------------------------------------------------------------
+
+_PAIRS = """
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+u AS (SELECT vec_id // 2 AS i, v FROM e WHERE vec_id % 2 = 0), t AS (SELECT vec_id // 2 AS j, v FROM e WHERE vec_id % 2 = 1),
+n AS (SELECT i FROM u WHERE i IN (SELECT j FROM t) AND i < 200),
+sims AS (SELECT u.i, t.j, list_sum(list_transform(range(1, 65), lambda k: u.v[k] * t.v[k])) AS s FROM u, t WHERE u.i IN (SELECT i FROM n) AND t.j IN (SELECT i FROM n))"""
+EVAL_BATCH = 200
+
+
+def _pair_sims(spark, sf):
+    """One evaluation batch: the first EVAL_BATCH pairs, as the losses and recalls are defined on batches."""
+    e = table(spark, sf, "embeddings")
+    half = lambda r, name, v: e.filter(F.col("vec_id") % 2 == r).select(F.floor(F.col("vec_id") / 2).cast("long").alias(name), F.col("embedding").alias(v)).filter(F.col(name) < EVAL_BATCH)
+    left, right = half(0, "i", "u"), half(1, "j", "v")
+    both = left.select("i").intersect(right.select("j"))
+    return retrieval.similarities(left.join(both, "i"), right.join(both.withColumnRenamed("i", "j"), "j"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    m AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_sum(list_transform(range(1, 65), lambda k: q.v[k] * c.v[k])), 12) AS score FROM m q, m c WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5"""
+)
+def topk_search(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    got = retrieval.top_k(e.filter(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "query_id"), e, 5)
+    return got.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def ann_search(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    centres = retrieval.train_cells(e, 16)
+    return retrieval.ann_top_k(e.filter(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "query_id"), e, 5, centres, 12)
+
+
+def _recall_sql() -> str:
+    ks = ", ".join(f"round(avg(CASE WHEN r <= {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS r{k}" for k in (1, 5, 10))
+    sides = " UNION ALL ".join(f"SELECT '{n}_R@{k}' AS metric, r{k} AS value FROM {n}" for n in ("i2t", "t2i") for k in (1, 5, 10))
+    return f"""WITH {_PAIRS}, g AS (SELECT i AS g, s AS gs FROM sims WHERE i = j),
+    ri AS (SELECT i, 1 + sum(CASE WHEN s > gs OR (s = gs AND j < i) THEN 1 ELSE 0 END) AS r FROM sims JOIN g ON i = g GROUP BY i),
+    rj AS (SELECT j, 1 + sum(CASE WHEN s > gs OR (s = gs AND i < j) THEN 1 ELSE 0 END) AS r FROM sims JOIN g ON j = g GROUP BY j),
+    i2t AS (SELECT {ks} FROM ri), t2i AS (SELECT {ks} FROM rj) {sides} UNION ALL SELECT 'hit@5', r5 FROM i2t"""
+
+
+@query(_recall_sql())
+def recall_at_k(spark, sf):
+    return retrieval.recall_at_k(_pair_sims(spark, sf))
+
+
+_LSE = "max(x) + ln(sum(exp(x - m)))"
+
+
+@query(
+    f"""WITH {_PAIRS}, x AS (SELECT i, j, s * 20 AS x FROM sims), a AS (SELECT *, max(x) OVER (PARTITION BY i) AS mi, max(x) OVER (PARTITION BY j) AS mj FROM x),
+    ri AS (SELECT i, max(mi) + ln(sum(exp(x - mi))) AS l FROM a GROUP BY i), rj AS (SELECT j, max(mj) + ln(sum(exp(x - mj))) AS l FROM a GROUP BY j),
+    c AS (SELECT ri.l - x.x AS ce FROM x JOIN ri ON x.i = ri.i WHERE x.i = x.j UNION ALL SELECT rj.l - x.x FROM x JOIN rj ON x.j = rj.j WHERE x.i = x.j)
+    SELECT round(avg(ce), 6) AS loss FROM c"""
+)
+def info_nce_loss(spark, sf):
+    return losses.info_nce(_pair_sims(spark, sf), 20.0).select(F.round("loss", 6).alias("loss"))
+
+
+@query(
+    f"""WITH {_PAIRS}, x AS (SELECT i, (CASE WHEN i = j THEN 1 ELSE -1 END) * (10 * s - 10) AS x, i = j AS d FROM sims)
+    SELECT round(sum(greatest(-x, 0) + ln(1 + exp(-abs(x)))) / count(*) FILTER (WHERE d), 6) AS loss FROM x"""
+)
+def sigmoid_loss(spark, sf):
+    import math
+
+    return losses.pairwise_sigmoid(_pair_sims(spark, sf), math.log(10.0), -10.0).select(F.round("loss", 6).alias("loss"))
+
+
+_CANDS = """c AS (SELECT l_orderkey AS anchor, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, (l_extendedprice / 100000.0::DOUBLE) AS s, l_discount * 10 AS teacher_score, l_tax * 10 AS w FROM lineitem)"""
+
+
+def _cands(spark, sf):
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("anchor"),
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"),
+        (F.col("l_extendedprice") / 100000.0).alias("s"),
+        (F.col("l_discount") * 10).alias("teacher_score"),
+        (F.col("l_tax") * 10).alias("w"),
+    )
+
+
+_TRIPLET = "p AS (SELECT anchor, avg(s) FILTER (WHERE label = 1) AS p, max(s) FILTER (WHERE label = 0) AS n FROM c GROUP BY anchor), lt AS (SELECT coalesce(avg(greatest(0.2::DOUBLE + n - p, 0)) FILTER (WHERE p IS NOT NULL AND n IS NOT NULL), 0) AS l FROM p)"
+_DISTILL = "ld AS (SELECT sum(w * pow(1 / (1 + exp(-(5 * s - 1))) - teacher_score, 2)) / greatest(sum(w), 1e-6) AS l FROM c)"
+
+
+@query(f"WITH {_CANDS}, {_TRIPLET} SELECT round(l, 6) AS loss FROM lt")
+def triplet_margin_loss(spark, sf):
+    return losses.triplet_loss(_cands(spark, sf)).select(F.round("loss", 6).alias("loss"))
+
+
+@query(f"WITH {_CANDS}, {_DISTILL} SELECT round(l, 6) AS loss FROM ld")
+def distillation_loss(spark, sf):
+    return losses.distillation_loss(_cands(spark, sf), weight=F.col("w")).select(F.round("loss", 6).alias("loss"))
+
+
+@query(f"WITH {_CANDS}, {_TRIPLET}, {_DISTILL} SELECT round(lt.l, 6) AS l_triplet, round(ld.l, 6) AS l_distill, round(lt.l + 0.5 * ld.l, 6) AS loss FROM lt, ld")
+def combined_loss(spark, sf):
+    c = _cands(spark, sf)
+    got = losses.combined_loss(losses.triplet_loss(c), losses.distillation_loss(c, weight=F.col("w")))
+    return got.select(*[F.round(x, 6).alias(x) for x in ("l_triplet", "l_distill", "loss")])
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey AS region, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos, l_extendedprice / 100000.0::DOUBLE * 10 AS x FROM lineitem),
+    m AS (SELECT *, max(x) OVER (PARTITION BY region) AS m FROM c), r AS (SELECT region, max(m) + ln(sum(exp(x - m))) - max(x) FILTER (WHERE pos = 0) AS ce FROM m GROUP BY region)
+    SELECT round(avg(ce), 6) AS loss FROM r"""
+)
+def many_way_loss(spark, sf):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("region"), (F.row_number().over(w) - 1).alias("pos"), (F.col("l_extendedprice") / 100000.0).alias("s"))
+    return losses.many_way_loss(c, 10.0).select(F.round("loss", 6).alias("loss"))
+
+
+@query("SELECT label, CAST(d - 1 AS INTEGER) AS dim, round(avg(CAST(embedding[d] AS DOUBLE)), 6) AS value FROM embeddings, range(1, 65) t(d) GROUP BY 1, 2")
+def mean_pool(spark, sf):
+    got = regions.mean_pool(table(spark, sf, "embeddings"), "label", "embedding")
+    return got.select("label", "dim", F.round("value", 6).alias("value"))
+
+
+# --- regions ---------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_type, event_id, value FROM events WHERE value > 0.1 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) = 1")
+def best_box(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", "value")
+    return regions.best_boxes(e, "user_id", "event_type", "value", "event_id")
+
+
+_BOX = "x AS (SELECT p_partkey, (p_partkey % 10) / 10.0::DOUBLE AS x1, (p_size % 8) / 8.0::DOUBLE AS y1, least(1, (p_partkey % 10) / 10.0::DOUBLE + p_size / 50.0::DOUBLE) AS x2, least(1, (p_size % 8) / 8.0::DOUBLE + 0.25) AS y2 FROM part)"
+
+
+def _boxes(spark, sf):
+    x1, y1 = (F.col("p_partkey") % 10) / 10.0, (F.col("p_size") % 8) / 8.0
+    return table(spark, sf, "part").select("p_partkey", x1.alias("x1"), y1.alias("y1"), F.least(F.lit(1.0), x1 + F.col("p_size") / 50.0).alias("x2"), F.least(F.lit(1.0), y1 + 0.25).alias("y2"))
+
+
+@query(
+    f"""WITH {_BOX}, a AS (SELECT *, CAST(least(greatest(floor(x1 * 16), 0), 15) AS INTEGER) AS c1, CAST(least(greatest(floor(y1 * 12), 0), 11) AS INTEGER) AS r1 FROM x)
+    SELECT p_partkey, c1, CAST(greatest(c1 + 1, least(floor(x2 * 16) + 1, 16)) AS INTEGER) AS c2, r1, CAST(greatest(r1 + 1, least(floor(y2 * 12) + 1, 12)) AS INTEGER) AS r2 FROM a"""
+)
+def bbox_cells(spark, sf):
+    cells = geometry.box_cells(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(16), F.lit(12))
+    return _boxes(spark, sf).select("p_partkey", cells.alias("c")).select("p_partkey", "c.*")
+
+
+@query(f"WITH {_BOX} SELECT p_partkey, CAST(floor(x1 * 640) AS INTEGER) AS px1, CAST(floor(y1 * 480) AS INTEGER) AS py1, CAST(floor(x2 * 640) AS INTEGER) AS px2, CAST(floor(y2 * 480) AS INTEGER) AS py2 FROM x")
+def pixel_boxes(spark, sf):
+    box = geometry.pixel_box(F.array("x1", "y1", "x2", "y2"), F.lit(640), F.lit(480))
+    return _boxes(spark, sf).select("p_partkey", box.alias("b")).select("p_partkey", *[F.get("b", F.lit(i)).alias(n) for i, n in enumerate(("px1", "py1", "px2", "py2"))])
+
+
+@query(
+    """SELECT o.o_orderkey AS image, l.l_partkey AS reason_id, CASE WHEN l.l_returnflag = 'R' THEN l.l_linestatus ELSE '' END AS reason_text,
+    CASE WHEN l.l_returnflag = 'R' THEN 'relevant' ELSE 'irrelevant' END AS prior FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey"""
+)
+def candidate_explode(spark, sf):
+    li = table(spark, sf, "lineitem")
+    rel = F.col("l_returnflag") == "R"
+    entry = F.struct(F.col("l_partkey").alias("reason_id"), F.when(rel, F.col("l_linestatus")).otherwise("").alias("reason_text"), F.when(rel, "relevant").otherwise("irrelevant").alias("prior"))
+    nested = li.groupBy(F.col("l_orderkey").alias("image")).agg(F.collect_list(entry).alias("candidates"))
+    return regions.explode_candidates(nested.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("image")), "image"))
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey AS image, l_partkey AS expr, min(l_quantity) AS conf FROM lineitem GROUP BY 1, 2),
+    n AS (SELECT l_orderkey AS image, l_partkey AS expr, arg_max(l_suppkey, l_suppkey) AS hard FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
+    SELECT r.image, CAST(r.expr AS VARCHAR) AS expr, r.conf, CAST(n.hard AS VARCHAR) AS hard FROM r JOIN n USING (image, expr)"""
+)
+def region_assemble(spark, sf):
+    li = table(spark, sf, "lineitem")
+    flat = li.groupBy(F.col("l_orderkey").alias("image"), F.col("l_partkey").cast("string").alias("expr")).agg(F.min("l_quantity").alias("conf"))
+    nested = flat.groupBy("image").agg(F.collect_list(F.struct("expr", F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("bbox"), "conf")).alias("regions")).withColumn("caption", F.lit(""))
+    neg = li.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("image"), F.col("l_partkey").cast("string").alias("expr"), F.array(F.col("l_suppkey").cast("string")).alias("hard"), F.col("l_suppkey").alias("ord"))
+    return regions.assemble(nested, neg).select("image", F.inline("regions")).select("image", "expr", "conf", F.get("hard", F.lit(0)).alias("hard"))
+
+
+# --- generated text --------------------------------------------------------------------------------------------------------------
+
+_RULE_ORDER = "SELECT p_partkey, p_name, w, o, row_number() OVER (PARTITION BY p_partkey, strat ORDER BY sha1('42|' || p_name || '|' || o)) AS k, strat FROM h, unnest(list_filter(grp, lambda x: x <> w)) AS u(o)"
+
+
+@query(
+    f"""WITH g(strat, grp) AS (VALUES (1, ['red', 'blue', 'green', 'black', 'white']), (2, ['small', 'large'])),
+    a AS (SELECT p_partkey, p_name, strat, grp, u.w, instr(p_name, u.w) AS pos FROM part, g, unnest(grp) AS u(w)),
+    h AS (SELECT p_partkey, p_name, strat, grp, w, pos FROM a WHERE pos > 0 QUALIFY row_number() OVER (PARTITION BY p_partkey, strat ORDER BY pos, list_position(grp, w)) = 1),
+    c AS ({_RULE_ORDER}), m AS (SELECT c.p_partkey, c.strat, c.k, substr(c.p_name, 1, h.pos - 1) || c.o || substr(c.p_name, h.pos + length(c.w)) AS neg FROM c JOIN h ON c.p_partkey = h.p_partkey AND c.strat = h.strat WHERE c.k <= 2)
+    SELECT p_partkey, neg FROM m QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY strat, k) <= 2"""
+)
+def rule_negatives(spark, sf):
+    made = F.slice(negatives.rule_negatives(F.col("p_name"), text.RULES_ENGLISH), 1, 2)
+    return table(spark, sf, "part").select("p_partkey", F.explode(made).alias("neg"))
+
+
+@query()
+def valid_negative(spark, sf):
+    made = negatives.rule_negatives(F.col("p_name"), text.RULES_ENGLISH)
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("expr"), F.explode(made).alias("neg"))
+    return negatives.valid_negatives(rows).withColumn("ratio", F.round("ratio", 6))
+
+
+@query()
+def hard_negatives(spark, sf):
+    raw = F.concat(F.lit("1. "), F.regexp_replace("p_name", "red|small", "pale"), F.lit("\n- "), F.col("p_type"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("image"), F.col("p_name").alias("expr"), raw.alias("raw"))
+    return negatives.hard_negatives(rows, rules=text.RULES_ENGLISH).select("image", "expr", F.array_join("hard", "|").alias("hard"))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split_regex(replace(text, chr(13) || chr(10), chr(10)), '[\n\r\x0B\f]')) AS line FROM documents)
+    SELECT doc_id, count(*) AS n, sum(length(t)) :: BIGINT AS chars FROM (SELECT doc_id, regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '^[0-9.、\-·* \t"''“”‘’]+|[0-9.、\-·* \t"''“”‘’]+$', '', 'g') AS t FROM l) WHERE t <> '' GROUP BY doc_id"""
+)
+def parse_lines(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(text.parse_lines(F.col("text"))).alias("t"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("t")).cast("long").alias("chars"))
+
+
+@query("SELECT p_partkey, length(p_brand) >= 2 AND contains(p_name || ' ' || p_brand, p_brand) AND NOT regexp_matches(p_brand, '^(它|他|她|这个|那个|这些|那些|其|该)') AS ok FROM part")
+def valid_expression(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", text.valid_expression(F.col("p_brand"), F.concat_ws(" ", "p_name", "p_brand")).alias("ok"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events")
+def extract_json(spark, sf):
+    third = F.col("event_id") % 3
+    raw = F.when(third == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(third == 1, F.col("props")).otherwise(F.concat("props", F.lit(" y "), "props"))
+    rows = table(spark, sf, "events").select("event_id", jsonx.extract_json(raw).alias("j"))
+    return rows.select("event_id", F.from_json("j", "k int")["k"].alias("k"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 2 = 0 THEN '相关' ELSE '不相关' END AS label,
+    CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 2 = 0 THEN round((event_id % 100) / 100.0::DOUBLE, 4) ELSE round(1 - (event_id % 100) / 100.0::DOUBLE, 4) END AS teacher_score,
+    CASE WHEN event_id % 4 = 3 THEN 'analysis' END AS reason FROM events"""
+)
+def judge_parse(spark, sf):
+    label = F.when(F.col("event_id") % 2 == 0, "相关").otherwise("不相关")
+    analysis = F.when(F.col("event_id") % 4 == 3, "short").otherwise("the picture shows what the rule names")
+    raw = F.concat(F.lit('ok {"label": "'), label, F.lit('", "analysis": "'), analysis, F.lit('", "confidence": '), ((F.col("event_id") % 100) / 100.0).cast("string"), F.lit("} done"))
+    p = jsonx.parse_judgement(jsonx.extract_json(raw))
+    return table(spark, sf, "events").select("event_id", p.alias("p")).select("event_id", "p.label", "p.teacher_score", "p.reason")
+
+
+@query("SELECT DISTINCT user_id, event_type, sha1(user_id || '|judge|v1|' || event_type) AS key FROM events")
+def cache_key(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_type").distinct()
+    return e.select("user_id", "event_type", text.make_key(F.col("user_id").cast("string"), "judge", "v1", F.col("event_type")).alias("key"))
+
+
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS image, event_type AS reason_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.event_id % 2 = 0 AND d.user_id = e.user_id AND d.event_type = e.event_type)")
+def pending(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("image"), F.col("event_type").alias("reason_id"), "event_id")
+    task = batch.TASKS["judge"]
+    done = batch.keyed(e.filter("event_id % 2 = 0"), task)
+    return batch.pending(e.drop("event_id"), done, task).select("image", "reason_id")
+
+
+@query("SELECT status, count(*) AS n FROM (SELECT DISTINCT user_id, CASE WHEN length('Describe the image in detail. [' || user_id || ']') >= 20 THEN 'ok' ELSE 'failed' END AS status FROM events) GROUP BY status")
+def batch_counts(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("image"))
+    task = batch.TASKS["caption"]
+    ok, bad = batch.split_results(batch.infer(batch.pending(e, None, task), task, batch.BACKENDS["echo"]()), task)
+    rows = ok.select(F.lit("ok").alias("status")).unionByName(bad.select(F.lit("failed").alias("status")))
+    return rows.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS image, event_type AS reason_id, 'no json' AS reason, 'Rule ' || event_type || ' : does the image break it? Answer as JSON. [' || user_id || ']' AS raw_output FROM events")
+def failures(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("image"), F.col("event_type").alias("reason_id"))
+    task = batch.TASKS["judge"]
+    _, bad = batch.split_results(batch.infer(batch.pending(e, None, task), task, batch.BACKENDS["echo"]()), task)
+    return bad.select("record.image", "record.reason_id", "reason", "raw_output")
+
+
+# --- logs --------------------------------------------------------------------------------------------------------------------------
+
+_LOG = "l AS (SELECT event_id, event_id // 3 AS step, value FROM events WHERE event_type <> 'error')"
+
+
+@query(f"WITH {_LOG} SELECT CAST(step AS INTEGER) AS step, value AS loss FROM l QUALIFY row_number() OVER (PARTITION BY step ORDER BY event_id DESC) = 1")
+def metric_curve(spark, sf):
+    nothing = F.lit(None).cast("double")
+    log = table(spark, sf, "events").filter("event_type <> 'error'")
+    log = log.select("event_id", F.floor(F.col("event_id") / 3).cast("int").alias("step"), F.col("value").alias("loss"), *[nothing.alias(c) for c in ("lr", "tau", "bias", "grad_norm", "samples_per_s")])
+    return metrics.training_curve(log, "event_id").select("step", "loss")
+
+
+@query("SELECT CAST(ceil((event_id + 1) / 50.0) * 50 AS BIGINT) AS log_step, round(avg(value), 6) AS value FROM events GROUP BY 1")
+def running_mean(spark, sf):
+    e = table(spark, sf, "events").select((F.col("event_id") + 1).alias("step"), "value")
+    return metrics.running_mean(e, "value", 50)
+
+
+@query("SELECT round(avg(m), 6) AS value FROM (SELECT event_type, avg(value) AS m FROM events GROUP BY 1)")
+def mean_of_means(spark, sf):
+    return metrics.mean_of_means(table(spark, sf, "events"), "event_type", "value").select(F.round("value", 6).alias("value"))
+
+
+@query("SELECT event_type, count(*) AS n, max(count(*)) OVER () - count(*) AS padding FROM events GROUP BY 1")
+def counts_by_rank(spark, sf):
+    return metrics.counts_by_rank(table(spark, sf, "events"), "event_type")
+
+
+@query("SELECT event_id, round(CASE WHEN event_id < 200 THEN (event_id + 1) / 200.0::DOUBLE ELSE 0.5 * (1 + cos(pi() * least(1, (event_id - 200) / 4800.0::DOUBLE))) END, 6) AS factor FROM events")
+def lr_schedule(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.round(vectors.cosine_warmup(F.col("event_id"), 200, 5000), 6).alias("factor"))
+
+
+@query("SELECT 'ckpt_step' || event_id || '.pt' AS name, CAST(event_id AS INTEGER) AS step FROM events ORDER BY event_id DESC LIMIT 3")
+def checkpoint_retention(spark, sf):
+    names = table(spark, sf, "events").select(F.concat(F.lit("ckpt_step"), F.col("event_id").cast("string"), F.lit(".pt")).alias("name"))
+    return ingest.newest_checkpoints(names, 3)
+
+
+@query("SELECT l_returnflag, count(*) AS n, count(DISTINCT l_orderkey) AS images, round(min(l_quantity), 4) AS least, round(max(l_quantity), 4) AS most, round(avg(l_quantity), 4) AS mean FROM lineitem GROUP BY 1")
+def region_statistics(spark, sf):
+    q = F.col("l_quantity")
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
+        F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("images"), F.round(F.min(q), 4).alias("least"), F.round(F.max(q), 4).alias("most"), F.round(F.avg(q), 4).alias("mean")
+    )
