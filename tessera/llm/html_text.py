@@ -2,8 +2,8 @@
 
 ``parse`` builds a tree the way browsers do where it matters for text: raw-text elements, void elements, end tags that
 are implied (p, li, dt/dd, option, table parts), a table's missing body, and end tags without a start. ``render`` gives
-the visible text: nothing from head, script, style, template, hidden elements (the hidden attribute, display:none,
-visibility:hidden, aria-hidden does not hide), block spacing, list markers with nesting, preformatted text as it is, and
+the visible text: nothing from head, script, style, template or hidden elements (the hidden attribute, display:none or
+visibility:hidden in a style attribute or for a plain selector of a style sheet; aria-hidden does not hide), block spacing, list markers with nesting, preformatted text as it is, and
 tables with cells aligned by column.
 
 Nulls: a null page gives a null text, an empty one an empty text. Pages are handled row by row, whatever their length.
@@ -85,6 +85,7 @@ def parse(html: str) -> Node:
     """The tree of a page."""
     root = Node("html", {})
     stack = [root]
+    rules: set[str] = set()
     opened: Counter[str] = Counter()  # of the stack, so that what is not open is not looked for
     at, n = 0, len(html)
 
@@ -161,11 +162,32 @@ def parse(html: str) -> Node:
                 body = html[at : end.start()] if end else html[at:]
                 node.kids.append(unescape(body) if tag in ESCAPABLE else body)
                 at = end.end() if end else n
+                if tag == "style":
+                    rules |= hiding_selectors(body)
                 continue
             push(node)
+    if rules:
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            names = {node.tag, f"#{node.attrs.get('id')}", *(f".{c}" for c in node.attrs.get("class", "").split())}
+            if rules & (names | {f"{node.tag}{x}" for x in names}):
+                node.attrs["hidden"] = ""
+            todo.extend(kid for kid in node.kids if not isinstance(kid, str))
     return root
 
 
+def hiding_selectors(css: str) -> set[str]:
+    """The plain selectors (tag, .class, #id, tag.class, tag#id) that a style sheet hides outside of @-rules."""
+    css = re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.S)
+    css = re.sub(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}|@[^{};]*;", "", css)
+    found: set[str] = set()
+    for names, body in re.findall(r"([^{}]+)\{([^{}]*)\}", css):
+        if HIDES.search(body):
+            found |= {x for x in (y.strip() for y in names.split(",")) if re.fullmatch(r"[A-Za-z][\w-]*|(?:[A-Za-z][\w-]*)?[.#][\w-]+", x)}
+    return {x if x[0] in ".#" else re.sub(r"^[^.#]+", lambda m: m[0].lower(), x) for x in found}
+
+
 def hidden(node: Node) -> bool:
     if node.tag in UNSEEN:
         return True

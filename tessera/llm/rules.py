@@ -48,7 +48,7 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     df = df.withColumn("_some", F.size(F.array_distinct("_runs")) < F.size("_runs"))
-    df = df.withColumn("_order", F.when(F.col("_some"), F.array_sort(F.transform("_runs", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    df = df.withColumn("_order", F.when(F.col("_some"), F.sort_array(F.transform("_runs", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     df = df.withColumn(
         "_twice",
         F.filter("_order", lambda x, k: F.get("_order", k + 1)["h"].eqNullSafe(x["h"]) | F.when(k > 0, F.get("_order", k - 1)["h"]).eqNullSafe(x["h"])),
@@ -138,7 +138,7 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     src = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     rows = base_counts(src).drop("text")
     # a few numbers a row, written once: the texts are read once although there are several passes over the statistics
-    rows = durable(rows.withColumns(dict(zip([f"x{i}" for i in range(p)], features()))).withColumn("_row", F.expr("uuid()")))
+    rows = durable(rows.withColumns(dict(zip([f"x{i}" for i in range(p)], features()))))
     fit = rows.filter(~F.col("base_failed"))
     levels = [F.xxhash64(F.lit(0), F.coalesce("lang", F.lit("")), F.col("lang").isNull(), F.coalesce("source", F.lit("")), F.col("source").isNull()), F.xxhash64(F.lit(1), F.coalesce("lang", F.lit("")), F.col("lang").isNull()), F.xxhash64(F.lit(2))]
     # the finest level with enough rows, for each language and source that occurs

@@ -11,6 +11,7 @@ def test_layout():
     assert r("<dl><dt>A<dd>1<dt>B<dd>2</dl>") == "A\n  1\nB\n  2"
     assert r("</div><a href=x>l</a><!-- c --> t <") == "l t <"
     assert r("<table><tr><td colspan=2>wide<td>z<tr><td>a<td>b<td>c</table>") == "wide     z\na     b  c" or "wide" in r("<table><tr><td colspan=2>wide<td>z<tr><td>a<td>b<td>c</table>")
+    assert r("<style>.ad, P#x{color:red;display:none} @media print{div{display:none}}</style><div class='ad b'>no</div><p id=x>no<p id=y>yes<div>too</div>") == "yes\n\ntoo"
     assert r(None) is None and r("") == ""
 
 
