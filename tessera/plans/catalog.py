@@ -588,3 +588,59 @@ def region_statistics(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
         F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("images"), F.round(F.min(q), 4).alias("least"), F.round(F.max(q), 4).alias("most"), F.round(F.avg(q), 4).alias("mean")
     )
+
+
+@query(
+    f"""WITH {_BOX}, a AS (SELECT *, p_partkey % 5 AS image, CAST(least(greatest(floor(x1 * 16), 0), 15) AS INTEGER) AS c1, CAST(least(greatest(floor(y1 * 12), 0), 11) AS INTEGER) AS r1 FROM x),
+    b AS (SELECT image, p_partkey AS box_id, c1, greatest(c1 + 1, least(floor(x2 * 16) + 1, 16)) AS c2, r1, greatest(r1 + 1, least(floor(y2 * 12) + 1, 12)) AS r2 FROM a),
+    g AS (SELECT r_regionkey AS image, i % 16 AS col, i // 16 AS row, (i * 7 + r_regionkey) % 100 AS value FROM region, range(192) t(i))
+    SELECT box_id, count(*) AS n, round(avg(value), 6) AS value FROM b JOIN g USING (image) WHERE col >= c1 AND col < c2 AND row >= r1 AND row < r2 GROUP BY box_id"""
+)
+def region_pool(spark, sf):
+    cells = geometry.box_cells(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(16), F.lit(12))
+    boxes = _boxes(spark, sf).select((F.col("p_partkey") % 5).alias("image"), F.col("p_partkey").alias("box_id"), cells.alias("c")).select("image", "box_id", "c.*")
+    grid = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(191))).alias("i"))
+    grid = grid.select("image", (F.col("i") % 16).alias("col"), F.floor(F.col("i") / 16).alias("row"), ((F.col("i") * 7 + F.col("image")) % 100).alias("value"))
+    return regions.box_pool(grid, boxes).select("box_id", "n", F.round("value", 6).alias("value"))
+
+
+@query("SELECT event_id, CAST(i // 8 * 2 + (i % 8 % 4) // 2 AS INTEGER) AS row, CAST((i % 8) // 4 * 2 + i % 2 AS INTEGER) AS col FROM (SELECT event_id, event_id % 64 AS i FROM events)")
+def patch_cells(spark, sf):
+    cell = geometry.patch_cell(F.col("event_id") % 64, F.lit(4))
+    return table(spark, sf, "events").select("event_id", cell["row"].alias("row"), cell["col"].alias("col"))
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey AS image, l_partkey, l_suppkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity) - 1 AS region FROM lineitem)
+    SELECT image, CAST(region AS INTEGER) AS region, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN 'part ' || l_partkey WHEN 1 THEN 'supplier ' || l_suppkey ELSE 'line ' || l_linenumber END AS text, 3 AS n FROM r, range(3) t(pos) WHERE region < 4"""
+)
+def region_candidates(spark, sf):
+    said = lambda word, col: F.concat(F.lit(word + " "), F.col(col).cast("string"))
+    entry = F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", F.struct(said("part", "l_partkey").alias("expr"), F.array(said("supplier", "l_suppkey"), said("line", "l_linenumber")).alias("hard")).alias("r"))
+    nested = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("image")).agg(F.array_sort(F.collect_list(entry)).alias("c"))
+    return regions.candidates_of_regions(nested.select("image", F.transform("c", lambda c: c["r"]).alias("regions")))
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def image_join(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("/data/"), F.col("o_custkey").cast("string")).alias("image"))
+    images = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("name"), "c_name")
+    found, _ = regions.join_images(rows, images)
+    return found.select("o_orderkey", "c_name")
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 20")
+def first_rows(spark, sf):
+    return ingest.take_first(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 20)
+
+
+@query("SELECT event_id, round(value + 0.1 * (value * 2) + 0.5 * (value * 3), 6) AS loss FROM events")
+def total_region_loss(spark, sf):
+    v = F.col("value")
+    return table(spark, sf, "events").select("event_id", F.round(losses.total_region_loss(v, v * 2, v * 3), 6).alias("loss"))
+
+
+@query("SELECT conv_id, turn, sha1(text) AS sha1 FROM conversations WHERE length(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) >= 20")
+def caption_parse(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text", jsonx.parse_caption(F.col("text")).alias("p"))
+    return rows.filter("p.reason is null").select("conv_id", "turn", F.sha1(F.col("text").cast("binary")).alias("sha1"))
