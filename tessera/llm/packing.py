@@ -20,7 +20,9 @@ but for one, so it has at most about capacity * capacity / 2 entries, and a few
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from bisect import insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.tokens import tokenizer_path
+from tessera.llm.transducer import byte_alphabet
 from tessera.session import durable
 
 CAPACITY = 2048
@@ -67,9 +70,16 @@ class WordIds(dict):
         if kinds != ["NFC", "Replace", "Lowercase"] or spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != SPLITTER:
             raise ValueError("the word cache knows another normaliser and splitter than this vocabulary's")
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.model = self.tokenizer.model
+        self.stand_in = {b: c for c, b in byte_alphabet().items()}
 
     def __missing__(self, word: str) -> bytes:
-        got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        # a pre-token that is lower-cased already goes straight to the merges, as the stand-ins of its bytes
+        shown = word if word.isascii() else "".join([self.stand_in[b] for b in word.encode()])
+        ids = array("I", [t.id for t in self.model.tokenize(shown)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        got = ids.tobytes()
         if len(word) <= 24:
             if len(self) >= MAX_WORDS:
                 self.clear()
