@@ -34,7 +34,7 @@ def clean_words(text: Column) -> Column:
 
     One empty string stands for a text without words.
     """
-    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), SPACE)
+    return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r")), SPACE)
 
 
 def word_count(text: Column) -> Column:

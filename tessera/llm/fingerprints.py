@@ -59,7 +59,7 @@ def _chosen(hashes: Column) -> Column:
 
 def hashes_of(chosen: Column) -> Column:
     """The distinct 32-bit hashes of packed choices, ascending."""
-    return F.array_sort(F.array_distinct(F.transform(chosen, lambda p: F.shiftright(p, 31))))
+    return F.sort_array(F.array_distinct(F.transform(chosen, lambda p: F.shiftright(p, 31))))
 
 
 def positions_of(chosen: Column) -> Column:
@@ -106,7 +106,9 @@ def edited(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     """
     spark = df.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    every = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # an id that has its name already is not aliased: the two reads of the exchange must be equal to the last node
+    key = F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id")
+    every = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = every.filter(F.col("doc_id").isNotNull())  # said here so that both joins read one and the same exchange
     order = next_ids(docs, "doc_id", F.length("text"), parts)
     back = order.select(F.col("_next").alias("_to"), F.col("_id").alias("_from"), F.floor(F.col("_n") / 4).cast("int").alias("_q"))
