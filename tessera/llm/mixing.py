@@ -27,6 +27,7 @@ WEIGHTS = (5, 2, 1)
 SLOPES = (-0.5, 0.0, 0.5)
 MAX_EPOCHS = 3
 SALT_DIGITS = 3
+TIME_BINS = 4096
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -104,6 +105,22 @@ def schedule(planned: DataFrame) -> DataFrame:
     return rows.withColumn("time", training_time(F.col("start") + F.col("copy") * F.col("source_size"), F.col("target"), F.col("slope")))
 
 
+def training_order(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """doc_id, source, copy, copy_words, time, position (words of the mix before the copy), sorted by position.
+
+    One row per copy that the mix takes. The training time is cut into TIME_BINS equal parts, which hold about equal
+    numbers of words as every source's rate changes by half at most; sums of the bins are carried over, then within one.
+    """
+    rows = durable(schedule(plan(df, text, doc_id, source)).withColumn("_bin", F.least(F.floor(F.col("time") * TIME_BINS), F.lit(TIME_BINS - 1)).cast("int")))
+    sums = rows.groupBy("_bin").agg(F.sum("copy_words").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ordered = Window.partitionBy("_bin").orderBy("time", "doc_id", "source", "start", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_within", F.coalesce(F.sum("copy_words").over(ordered), F.lit(0)))
+    got = rows.join(sums.select("_bin", before.alias("_before")), "_bin").withColumn("position", F.col("_before") + F.col("_within"))
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return got.repartitionByRange(parts, "position").sortWithinPartitions("position").select("doc_id", "source", "copy", "copy_words", "time", "position")
+
+
 def op8(df: DataFrame) -> DataFrame:
     return plan(df).select("doc_id", "size", "source_size", "target", "taken")
 

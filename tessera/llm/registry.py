@@ -15,6 +15,7 @@ QUERIES = {
     "op7_token_counts": lambda spark, sf: tokens.op7(documents(spark, sf)),
     "op10_winnowing": lambda spark, sf: fingerprints.op10(documents(spark, sf)),
     "op8_source_mixing": lambda spark, sf: mixing.op8(documents(spark, sf)),
+    "op8_training_order": lambda spark, sf: mixing.training_order(documents(spark, sf)),
     "op9_order_minhash": lambda spark, sf: near_dup.op9(documents(spark, sf)),
 }
 ORACLES: dict[str, str] = {"op8_source_mixing": mixing.ORACLE}

@@ -52,3 +52,28 @@ def test_schedule(docs):
     for r in copies[:50]:
         t, a = r["time"], r["slope"]
         assert abs(r["target"] * (t + a * (t * t - t)) - (r["start"] + r["copy"] * r["source_size"])) < 1e-3
+
+
+def test_training_order(docs, none):
+    from tessera.llm.registry import QUERIES
+
+    assert "op8_training_order" in QUERIES
+    got = mixing.training_order(docs).collect()
+    at = 0
+    for r, before in zip(got, [None, *got]):  # every copy begins where the one before it ends, in the order of time
+        assert r["position"] == at and r["copy_words"] > 0
+        assert before is None or r["time"] >= before["time"]
+        at += r["copy_words"]
+    words, taken = defaultdict(int), defaultdict(int)
+    for r in got:
+        words[r["doc_id"]] += r["copy_words"]
+    for r in mixing.op8(docs).collect():
+        taken[r["doc_id"]] += r["taken"]
+    assert dict(words) == {d: n for d, n in taken.items() if n}
+    # sources with a falling weight are read early, those with a rising one late
+    slope = {r["source"]: r["slope"] for r in mixing.plan(docs).select("source", "slope").distinct().collect()}
+    for s in {r["source"] for r in got}:
+        of = [(r["time"], r["copy_words"]) for r in got if r["source"] == s]
+        early = sum(n for t, n in of if t < 0.5) / sum(n for _, n in of)
+        assert len(of) < 20 or (early > 0.5) == (slope[s] < 0) or abs(early - 0.5) < 0.1
+    assert mixing.training_order(none).count() == 0
