@@ -335,6 +335,38 @@ def sigmoid_loss(spark, sf):
     return losses.pairwise_sigmoid(_pair_sims(spark, sf), math.log(10.0), -10.0).select(F.round("loss", 6).alias("loss"))
 
 
+def _all_pairs(spark, sf):
+    """The two sides of every pair of the table: (i, u) and (j, v)."""
+    e = table(spark, sf, "embeddings")
+    half = lambda r, name, v: e.filter(F.col("vec_id") % 2 == r).select(F.floor(F.col("vec_id") / 2).cast("long").alias(name), F.col("embedding").alias(v))
+    return half(0, "i", "u"), half(1, "j", "v")
+
+
+def _batch_sims(spark, sf):
+    """The similarities within every batch of EVAL_BATCH ids; ids are of one batch, so sums by row or column are too."""
+    left, right = _all_pairs(spark, sf)
+    both = left.join(right, F.col("i") == F.col("j")).select("i", "u", "v", F.floor(F.col("i") / EVAL_BATCH).alias("batch"))
+    a, b = both.select("batch", "i", "u"), both.select("batch", F.col("i").alias("j"), "v")
+    return a.join(b, "batch").select("i", "j", vectors.dot(F.col("u"), F.col("v")).alias("s"))
+
+
+@query()
+def recall_at_k_all_pairs(spark, sf):
+    return retrieval.recall_over_all(*_all_pairs(spark, sf))
+
+
+@query()
+def info_nce_loss_all_batches(spark, sf):
+    return losses.info_nce(_batch_sims(spark, sf), 20.0).select(F.round("loss", 6).alias("loss"))
+
+
+@query()
+def sigmoid_loss_all_batches(spark, sf):
+    import math
+
+    return losses.pairwise_sigmoid(_batch_sims(spark, sf), math.log(10.0), -10.0).select(F.round("loss", 6).alias("loss"))
+
+
 _CANDS = """c AS (SELECT l_orderkey AS anchor, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, (l_extendedprice / 100000.0::DOUBLE) AS s, l_discount * 10 AS teacher_score, l_tax * 10 AS w FROM lineitem)"""
 
 
