@@ -65,22 +65,29 @@ def parse_candidates(obj: Column) -> Column:
 
 
 def parse_judgement(obj: Column) -> Column:
-    """struct(reason, label, teacher_score, confidence, analysis); confidence may be a number or a numeric string."""
-    parsed = F.from_json(obj, "label string, analysis string, confidence string")
-    given = F.coalesce(parsed["confidence"], F.lit("0.5"))
-    conf = _number(given)
-    reason = (
-        F.when(obj.isNull(), "no json")
-        .when(~F.coalesce(parsed["label"].isin(*LABELS), F.lit(False)), "label")
-        .when(F.coalesce(F.length(parsed["analysis"]), F.lit(0)) < 10, "analysis")
-        .when(conf.isNull(), "confidence")
-    )
-    ok = reason.isNull()
-    score = F.when(parsed["label"] == LABELS[0], conf).otherwise(1 - conf)
-    return F.struct(
-        reason.alias("reason"),
-        F.when(ok, parsed["label"]).alias("label"),
-        F.when(ok, F.round(score, 4)).alias("teacher_score"),
-        F.when(ok, F.round(conf, 4)).alias("confidence"),
-        F.when(ok, parsed["analysis"]).alias("analysis"),
-    )
+    """struct(reason, label, teacher_score, confidence, analysis); confidence may be a number or a numeric string.
+
+    The JSON is read once a row: what follows is a function of the parsed value.
+    """
+    found = F.struct(obj.isNull().alias("none"), F.from_json(obj, "label string, analysis string, confidence string").alias("p"))
+
+    def judge(v: Column) -> Column:
+        parsed = v["p"]
+        conf = _number(F.coalesce(parsed["confidence"], F.lit("0.5")))
+        reason = (
+            F.when(v["none"], "no json")
+            .when(~F.coalesce(parsed["label"].isin(*LABELS), F.lit(False)), "label")
+            .when(F.coalesce(F.length(parsed["analysis"]), F.lit(0)) < 10, "analysis")
+            .when(conf.isNull(), "confidence")
+        )
+        ok = reason.isNull()
+        score = F.when(parsed["label"] == LABELS[0], conf).otherwise(1 - conf)
+        return F.struct(
+            reason.alias("reason"),
+            F.when(ok, parsed["label"]).alias("label"),
+            F.when(ok, F.round(score, 4)).alias("teacher_score"),
+            F.when(ok, F.round(conf, 4)).alias("confidence"),
+            F.when(ok, parsed["analysis"]).alias("analysis"),
+        )
+
+    return F.get(F.transform(F.array(found), judge), F.lit(0))

@@ -84,7 +84,7 @@ def parse_lines(raw: Column) -> Column:
 
 def attribute_expressions(caption: Column, profile: ExpressionProfile = DEFAULT_PROFILE) -> Column:
     """Attribute phrases found by pattern, trimmed and validated."""
-    hits = F.transform(F.regexp_extract_all(caption, F.lit(ATTRIBUTE_PHRASE), F.lit(0)), F.trim)
+    hits = F.transform(F.regexp_extract_all(caption, F.lit(ATTRIBUTE_PHRASE), F.lit(0)), lambda x: F.trim(x))  # F.trim itself would take the index as what to trim
     return F.filter(hits, lambda e: valid_expression(e, caption, profile))
 
 

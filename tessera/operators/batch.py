@@ -112,6 +112,7 @@ def split_results(answered: DataFrame, task: Task) -> tuple[DataFrame, DataFrame
 
 
 def retry_failures(failures: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """The records of failures that have no result by now."""
+    """The records of failures that have no result by now, one for each key however often it failed."""
+    failures = failures.dropDuplicates(["_key"])
     left = failures if done is None else failures.join(done.select("_key").distinct(), "_key", "left_anti")
     return left.select("record.*")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import CleanParams, clean_text
+from tessera.sources import tables
 
 
 def exact_dedup(df: DataFrame, content: Column, order: Column, valid: Column | None = None) -> DataFrame:
@@ -28,25 +31,69 @@ def shuffle_key(key: Column, seed: int = 42) -> Column:
     return F.sha1(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
 
+def _cut_hash(keys: DataFrame, hashed: str, n: int) -> str:
+    """The n-th smallest of the hexadecimal strings ``hashed``.
+
+    Two rounds count the strings by their next three digits (4096 sums each, which is all that reaches the driver) and
+    step into the part that holds the n-th; only about one row in 16 million is then ranked.
+    """
+    prefix, digits = "", 3
+    for _ in range(2):
+        part = keys.filter(F.col(hashed).startswith(prefix)) if prefix else keys
+        counts = part.groupBy(F.substring(hashed, len(prefix) + 1, digits).alias("d")).agg(F.count("*").alias("c")).orderBy("d").collect()
+        for r in counts:
+            if n <= r["c"]:
+                break
+            n -= r["c"]
+        prefix += r["d"]
+    return keys.filter(F.col(hashed).startswith(prefix)).orderBy(hashed).limit(n).agg(F.max(hashed)).first()[0]
+
+
 def train_eval_split(df: DataFrame, key: str, fraction: float = 0.01, seed: int = 42) -> DataFrame:
     """Adds ``split``: the max(1, floor(n * fraction)) first rows of the hash order are eval, none of an empty table.
 
-    The eval keys are found by a distributed top-n, so only n_eval keys, not the table, are brought together.
+    The last hash of the eval part is found from sums, so no row is moved: the split is a comparison. Null keys are
+    hashed as empty ones. Rows that share the last key are all eval.
     """
-    n = df.count()
-    n_eval = min(n, max(1, int(n * fraction)))
-    chosen = df.select(F.col(key).alias("_k")).orderBy(shuffle_key(F.col("_k"), seed)).limit(n_eval).withColumn("_eval", F.lit(True))
-    return df.join(chosen, F.col(key) == F.col("_k"), "left").withColumn("split", F.when(F.col("_eval"), "eval").otherwise("train")).drop("_k", "_eval")
+    hashed = shuffle_key(F.col(key), seed)
+    keys = df.select(hashed.alias("_h"))
+    n = keys.count()
+    if not n:
+        return df.withColumn("split", F.lit("train"))
+    return df.withColumn("split", F.when(hashed <= _cut_hash(keys, "_h", max(1, int(n * fraction))), "eval").otherwise("train"))
 
 
 def take_first(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def ingest(df: DataFrame, text: str, content: str, order: str, n: int | None = None, params: CleanParams = CleanParams(), fraction: float = 0.01, seed: int = 42) -> DataFrame:
-    """Clean, dedup, cap and split in one plan: text filters come before anything that moves rows."""
+def ingest(
+    df: DataFrame,
+    text: str,
+    order: str,
+    get: Callable[[str], bytes | None] | None = None,
+    decode: Callable[[bytes], tuple[int, int, bytes] | None] | None = None,
+    content: str = "content",
+    n: int | None = None,
+    params: CleanParams = CleanParams(),
+    fraction: float = 0.01,
+    seed: int = 42,
+) -> DataFrame:
+    """Clean, fetch, validate, dedup, cap and split: ``df`` with ``sha1``, ``image`` and ``split``.
+
+    Text filters come before anything that is fetched or moved. With ``get`` the column ``url`` is fetched, else
+    ``content`` is there already. With ``decode`` (bytes -> width, height, bytes to keep, or None) small and undecodable
+    images go and ``content`` is what it keeps. The sha1 and the dedup are of the bytes as they came; of equal ones the
+    first valid row by ``order`` stays. ``n`` keeps the first rows by ``order``.
+    """
     rows = df.withColumn(text, clean_text(F.col(text), params)).filter(F.col(text).isNotNull())
-    rows = exact_dedup(rows, F.col(content), F.col(order))
+    if get is not None:
+        rows = tables.fetch(rows, get)
+    rows = rows.filter(F.length(content) > 0).withColumn("_raw", F.sha1(content))
+    if decode is not None:
+        rows = tables.transcode(rows, decode, content)
+    rows = exact_dedup(rows, F.col("_raw"), F.col(order)).withColumn("sha1", F.col("_raw")).drop("_raw")
+    rows = rows.withColumn("image", F.concat("sha1", F.lit(".jpg")))
     if n is not None:
         rows = take_first(rows, order, n)
     return train_eval_split(rows, order, fraction, seed)

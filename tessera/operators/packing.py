@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.ingest import shuffle_key
+from tessera.session import durable
 
-_NONE = object()
+#: Rows of a pack group that one task passes through.
+PART_ROWS = 1_000_000
 
 
 def next_fit_ids(tokens: np.ndarray, budget: int) -> np.ndarray:
@@ -31,30 +31,99 @@ def next_fit_ids(tokens: np.ndarray, budget: int) -> np.ndarray:
     return out
 
 
-def next_fit(df: DataFrame, group: str, order: str, tokens: str, budget: int) -> DataFrame:
-    """Adds ``bin_id`` (from 0 in each group) by next fit in ``order``.
+def next_fit(df: DataFrame, group: str, order: str, tokens: str, budget: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """Adds ``bin_id`` (from 0 in each group) by next fit in ``order``; ``order`` must tell the rows of a group apart.
 
-    A group is one stream: its rows pass one task in order, a batch at a time, and only the open bin is remembered, so
-    memory is bounded whatever the group's size.
+    A group is cut into ranges of about ``part_rows`` rows, so that one group is many tasks. What a range does depends on
+    the fill of the open bin on entry alone, and two runs agree from their first common bin start on. So each range is
+    first mapped: the possible first bin starts are its first rows, up to one budget, and for each of them the number of
+    bins that end in the range and the fill on exit are worked out, once a distinct chain. These maps are small; they are
+    composed in order per group, and then every range is numbered from its true entry.
     """
+    key = F.struct(F.col(group).isNull().alias("n"), F.col(group).alias("g"))
+    rows = _ranged(df, group, order, part_rows).withColumn("_g", key)
+    entry = _entries(rows, order, tokens, budget)
+    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    names = [*df.columns]
+    got = rows.join(entry, ["_g", "_part"])
+
+    def number(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(order, kind="stable")
+        fill, first = int(f["_fill"].iloc[0]), int(f["_bin"].iloc[0])
+        items = f[tokens].to_numpy().astype(np.int64)
+        if fill < 0:  # nothing before this range
+            ids = next_fit_ids(items, budget)
+        else:
+            ids = next_fit_ids(np.concatenate(([fill], items)), budget)[1:]
+        return f[names].assign(bin_id=first + ids)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now: object = _NONE
-        bin_id, fill, fresh = 0, 0, True
-        for f in frames:
-            ids = np.empty(len(f), np.int64)
-            keys = f[group].to_numpy()
-            for i, (key, t) in enumerate(zip(keys, f[tokens].to_numpy().tolist())):
-                if now is _NONE or (key != now and not (key is None and now is None)):
-                    now, bin_id, fill, fresh = key, 0, 0, True
-                if not fresh and fill + t > budget:
-                    bin_id, fill = bin_id + 1, 0
-                fill, fresh = fill + t, False
-                ids[i] = bin_id
-            yield f.assign(bin_id=ids)
+    return got.groupBy("_g", "_part").applyInPandas(number, f"{fields}, bin_id long")
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, f"{fields}, bin_id long")
+
+def _ranged(df: DataFrame, group: str, order: str, part_rows: int) -> DataFrame:
+    """Adds ``_part``: the number of the row's range, ascending in (group, order).
+
+    The ranges come from a sample, so they are written once: both readers see the same ones.
+    """
+    n_parts = -(-df.count() // part_rows)
+    if n_parts <= 1:
+        return df.withColumn("_part", F.lit(0))
+    return durable(df.repartitionByRange(n_parts, F.col(group), F.col(order)).withColumn("_part", F.spark_partition_id()))
+
+
+def _entries(rows: DataFrame, order: str, tokens: str, budget: int) -> DataFrame:
+    """_g, _part, _fill (of the open bin on entry, -1 before the first range) and _bin (its number)."""
+
+    def chart(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(order, kind="stable")
+        items = f[tokens].to_numpy().astype(np.int64)
+        sums = np.concatenate(([0], np.cumsum(items)))
+        n = len(items)
+        # where the first bin that begins in this range may begin: any row until the open bin must be full
+        last = min(n, int(np.searchsorted(sums, budget, "right")))
+        ends: dict[int, tuple[int, int]] = {}
+
+        def follow(at: int) -> tuple[int, int]:
+            """Bins that begin in the range from a bin start at row ``at`` on, and the fill on exit."""
+            path = []
+            while at < n and at not in ends:
+                path.append(at)
+                at = max(at + 1, int(np.searchsorted(sums, sums[at] + budget, "right")) - 1)
+            bins, fill = ends[at] if at < n else (0, -1)
+            for p in reversed(path):
+                if fill < 0:
+                    fill = int(sums[n] - sums[p])
+                bins += 1
+                ends[p] = (bins, fill)
+            return bins, fill
+
+        starts = [follow(p) for p in range(0, last + 1) if p < n]
+        return pd.DataFrame({"_g": [f["_g"].iloc[0]], "_part": [f["_part"].iloc[0]], "_heads": [sums[: last + 1].tolist()], "_bins": [[b for b, _ in starts]], "_fills": [[x for _, x in starts]], "_sum": [int(sums[n])]})
+
+    kind = rows.schema["_g"].dataType.simpleString()
+    charts = rows.select("_g", "_part", order, tokens).groupBy("_g", "_part").applyInPandas(chart, f"_g {kind}, _part int, _heads array<long>, _bins array<long>, _fills array<long>, _sum long")
+    ordered = charts.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_part", "_heads", "_bins", "_fills", "_sum"))).alias("c"))  # the ranges of a group
+
+    def compose(f: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        for g, maps in zip(f["_g"], f["c"]):
+            fill, now = -1, 0
+            for m in maps:
+                out.append((g, m["_part"], fill, now))
+                heads, bins, fills = m["_heads"], m["_bins"], m["_fills"]
+                if fill < 0:  # the first bin of the group begins with the first row
+                    now, fill = bins[0] - 1, fills[0]
+                    continue
+                # rows that still fit into the open bin; the next one begins a bin
+                k = int(np.searchsorted(np.asarray(heads), budget - fill, "right")) - 1 if fill <= budget else 0
+                k = max(k, 0)
+                if k >= len(bins):
+                    fill += int(m["_sum"])
+                else:
+                    now, fill = now + bins[k], fills[k]
+        return pd.DataFrame(out, columns=["_g", "_part", "_fill", "_bin"])
+
+    return ordered.mapInPandas(lambda frames: (compose(f) for f in frames), f"_g {kind}, _part int, _fill long, _bin long")
 
 
 def first_fit_decreasing_ids(tokens: np.ndarray, budget: int) -> np.ndarray:
@@ -116,11 +185,34 @@ def offsets(df: DataFrame, group: str, order: str, size: str) -> DataFrame:
     return df.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
 
 
+def collate_bins(rows: DataFrame, bin_id: str, order: str, patches: str, height: str, width: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per bin: ``packed`` (all patches one after another), ``grid`` (images in order: height, width, offset, and
+    the columns ``keep``) and ``n_patches``. A bin holds at most a token budget, so a row is of bounded size."""
+    entry = F.struct(F.col(order).alias("_o"), F.struct(F.col(height).alias("height"), F.col(width).alias("width"), *keep).alias("g"), F.col(patches).alias("p"))
+    bins = rows.groupBy(bin_id).agg(F.array_sort(F.collect_list(entry)).alias("c"))
+    sizes = F.transform("c", lambda c: F.size(c["p"]))
+    at = lambda i: F.aggregate(F.slice("_s", F.lit(1), i), F.lit(0), lambda a, x: a + x)
+    grid = F.transform("c", lambda c, i: F.struct(c["g"]["height"].alias("height"), c["g"]["width"].alias("width"), at(i).alias("offset"), *[c["g"][k].alias(k) for k in keep]))
+    return bins.withColumn("_s", sizes).select(bin_id, F.flatten(F.transform("c", lambda c: c["p"])).alias("packed"), grid.alias("grid"), at(F.size("_s")).alias("n_patches"))
+
+
+def token_statistics(samples: DataFrame, cache: DataFrame | None, tokens: Column, image: str = "image") -> DataFrame:
+    """``samples`` with ``tokens`` and ``cached``: the cache's numbers (image, tokens) if it has every image, else all anew.
+
+    Whether all are covered is one sum, broadcast as a single row; nothing is counted on the driver.
+    """
+    if cache is None:
+        return samples.withColumns({"tokens": tokens.cast("long"), "cached": F.lit(False)})
+    known = cache.groupBy(F.col(image).alias("_image")).agg(F.max("tokens").alias("_cached"))
+    rows = samples.join(known, F.col(image) == F.col("_image"), "left").withColumn("_k", F.lit(1))
+    whole = rows.agg(F.coalesce(F.bool_and(F.col("_cached").isNotNull()), F.lit(False)).alias("cached"), F.lit(1).alias("_k"))
+    rows = rows.join(F.broadcast(whole), "_k")  # one row
+    return rows.withColumn("tokens", F.when(F.col("cached"), F.col("_cached")).otherwise(tokens).cast("long")).drop("_k", "_image", "_cached")
+
+
 def chunks(df: DataFrame, group: str, order: str, size: str, per_chunk: int) -> DataFrame:
     """Adds ``chunk`` (samples in fixed numbers) and ``offset`` within it, aligned with the packed rows."""
     pos = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
     out = df.withColumn("chunk", F.floor(pos / per_chunk).cast("long"))
     w = Window.partitionBy(group, "chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return out.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
-
-

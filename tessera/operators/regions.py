@@ -6,11 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.geometry import normalise_box
 from tessera.functions.text import DEFAULT_PROFILE, ExpressionProfile, attribute_expressions, cap_expressions, valid_expression
 
 
-def expressions(captions: DataFrame, profile: ExpressionProfile = DEFAULT_PROFILE, generated: Column | None = None) -> DataFrame:
-    """captions + ``expressions``: generated ones that are valid, else those found by pattern; too few drop the image."""
+def expressions(captions: DataFrame, profile: ExpressionProfile = DEFAULT_PROFILE, generated: Column | None = None, done: DataFrame | None = None) -> DataFrame:
+    """captions + ``expressions``: generated ones that are valid, else those found by pattern; too few drop the image.
+
+    Images in ``done`` are left out before anything is extracted.
+    """
+    if done is not None:
+        captions = resume_images(captions, done)
     found = attribute_expressions(F.col("caption"), profile)
     if generated is not None:
         ok = F.filter(generated, lambda e: valid_expression(e, F.col("caption"), profile))
@@ -18,6 +24,44 @@ def expressions(captions: DataFrame, profile: ExpressionProfile = DEFAULT_PROFIL
     return captions.withColumn("expressions", cap_expressions(found, profile)).filter(F.col("expressions").isNotNull())
 
 
+def resume_images(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """Rows whose image has no result in ``done`` yet; rows without an image stay."""
+    return rows.join(done.select("image").distinct(), "image", "left_anti")
+
+
+def resume_expressions(regions: DataFrame, done: DataFrame) -> DataFrame:
+    """image, expr of every region without a row in ``done`` (image, expr), each pair once."""
+    todo = regions.select("image", F.explode("regions.expr").alias("expr")).distinct()
+    return todo.join(done.select("image", "expr").distinct(), ["image", "expr"], "left_anti")
+
+
+def ground(samples: DataFrame, images: DataFrame, detections: DataFrame, min_conf: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """image, caption, regions (in the order of the expressions), and a report of one row.
+
+    ``samples`` (image, caption, expressions) without an image in ``images`` (name) are skipped; ``detections`` (image,
+    cls, det_idx, x1, y1, x2, y2, conf, w, h) name an expression by its position ``cls``. The best box of each stays,
+    normalised and with the confidence to four digits; an image without any goes.
+    The report: n_images, n_regions, n_missing (no image), n_dropped (no box).
+    """
+    found, missing = join_images(samples, images)
+    best = best_boxes(detections, min_conf=min_conf)
+    box = normalise_box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], F.col("w"), F.col("h"))
+    best = best.select("image", "cls", box.alias("bbox"), F.round("conf", 4).alias("conf"))
+    flat = found.select("image", "caption", F.posexplode("expressions").alias("cls", "expr")).join(best, ["image", "cls"])
+    entry = F.struct("cls", F.struct("expr", "bbox", "conf").alias("r"))
+    got = flat.groupBy("image", "caption").agg(F.array_sort(F.collect_list(entry)).alias("c"))  # a box an expression
+    got = got.select("image", "caption", F.transform("c", lambda c: c["r"]).alias("regions"))
+    nothing = F.lit(0).cast("long")
+    empty = found.join(got.select("image"), "image", "left_anti")
+    parts = [
+        got.select(F.lit(1).cast("long").alias("n_images"), F.size("regions").cast("long").alias("n_regions"), nothing.alias("n_missing"), nothing.alias("n_dropped")),
+        missing.select(nothing, nothing, F.lit(1).cast("long"), nothing),
+        empty.select(nothing, nothing, nothing, F.lit(1).cast("long")),
+    ]
+    counts = parts[0].union(parts[1]).union(parts[2])
+    return got, counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns])
+
+
 def join_images(rows: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with their image by file name, and the rows whose image is missing."""
     name = F.substring_index("image", "/", -1)
@@ -70,22 +114,19 @@ def box_pool(cells: DataFrame, boxes: DataFrame, key: str = "image") -> DataFram
 
 def greedy_nms(detections: DataFrame, iou: float = 0.5, key: str = "image", cls: str = "cls") -> DataFrame:
     """Detections that no better one of the same image and class overlaps by more than ``iou``."""
+    import numpy as np
     import pandas as pd
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["conf", "det_idx"], ascending=[False, True], kind="stable")
-        kept: list[int] = []
-        box = f[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        for i in range(len(f)):
-            for j in kept:
-                w = min(box[i, 2], box[j, 2]) - max(box[i, 0], box[j, 0])
-                h = min(box[i, 3], box[j, 3]) - max(box[i, 1], box[j, 1])
-                both = max(0.0, w) * max(0.0, h)
-                area = (box[i, 2] - box[i, 0]) * (box[i, 3] - box[i, 1]) + (box[j, 2] - box[j, 0]) * (box[j, 3] - box[j, 1]) - both
-                if both > iou * area:
-                    break
-            else:
-                kept.append(i)
+        x1, y1, x2, y2 = f[["x1", "y1", "x2", "y2"]].to_numpy(float).T
+        area = (x2 - x1) * (y2 - y1)
+        left, kept = np.arange(len(f)), []
+        while len(left):  # the best of those left, and away with all that it overlaps
+            i, left = left[0], left[1:]
+            kept.append(i)
+            both = np.maximum(0, np.minimum(x2[i], x2[left]) - np.maximum(x1[i], x1[left])) * np.maximum(0, np.minimum(y2[i], y2[left]) - np.maximum(y1[i], y1[left]))
+            left = left[both <= iou * (area[i] + area[left] - both)]
         return f.iloc[kept]
 
     return detections.groupBy(key, cls).applyInPandas(run, detections.schema)

@@ -15,9 +15,23 @@ from tessera.functions.vectors import dot, l2_normalise
 BLOCK_ROWS = 4096
 
 
-def similarities(left: DataFrame, right: DataFrame) -> DataFrame:
-    """i, j, s for all pairs of (i, u) and (j, v): the square matrix of one evaluation batch, in long form."""
-    return left.crossJoin(right).select("i", "j", dot(F.col("u"), F.col("v")).alias("s"))
+def similarities(left: DataFrame, right: DataFrame, batch: str) -> DataFrame:
+    """batch, i, j, s of (i, u) and (j, v): the square matrix of every evaluation batch, in long form.
+
+    An equal-key join on the batch; a batch is of a fixed number of ids, so the rows grow with the ids.
+    """
+    return left.join(right, batch).select(batch, "i", "j", dot(F.col("u"), F.col("v")).alias("s"))
+
+
+def candidate_similarities(anchors: DataFrame, candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of ``candidates`` (anchor, pos, text, ...) with ``s``, the cosine of the anchor's and the text's vectors.
+
+    ``anchors`` is (anchor, v), ``texts`` (text, v). Two equal-key joins on columns of vectors, each vector normalised
+    once; candidates whose anchor or text has no vector go.
+    """
+    a = anchors.select("anchor", l2_normalise(F.col("v")).alias("_a"))
+    t = texts.select("text", l2_normalise(F.col("v")).alias("_t"))
+    return candidates.join(t, "text").join(a, "anchor").withColumn("s", dot(F.col("_a"), F.col("_t"))).drop("_a", "_t")
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, normalise: bool = True) -> DataFrame:
@@ -64,31 +78,21 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, normalise: bool = True)
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def recall_at_k(sims: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """metric, value: R@k both ways and hit@5 of a square similarity table whose diagonal is gold.
-
-    The rank of gold is one plus the number of better ones (ties: smaller index first), so nothing is sorted. Names use
-    k clipped to n; no rows for an empty table.
-    """
-    gold = sims.filter("i = j").select(F.col("i").alias("g"), F.col("s").alias("gs"))
-    n = gold.count()
-    if n == 0:
-        return sims.sparkSession.createDataFrame([], "metric string, value double")
-    clipped = sorted({min(k, n) for k in ks})
-
-    def side(row: str, col: str, name: str) -> DataFrame:
-        ranked = sims.join(gold, F.col(row) == F.col("g")).withColumn("better", (F.col("s") > F.col("gs")) | ((F.col("s") == F.col("gs")) & (F.col(col) < F.col(row))))
-        ranks = ranked.groupBy(row).agg((1 + F.sum(F.col("better").cast("int"))).alias("rank"))
-        wide = ranks.agg(*[F.round(F.avg((F.col("rank") <= k).cast("double")), 4).alias(f"{name}_R@{k}") for k in clipped])
-        return wide.select(F.explode(F.array(*[F.struct(F.lit(f"{name}_R@{k}").alias("metric"), F.col(f"`{name}_R@{k}`").alias("value")) for k in clipped])).alias("m")).select("m.*")
+def top_k_both_ways(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """side, query_id, vec_id, rank, score: the k best of each row (``i2t``) and of each column (``t2i``) of the table of
+    similarities of (i, u) and (j, v), which is never made as a whole; ties by the smaller id."""
+    a = left.select(F.col("i").alias("query_id"), F.col("u").alias("v"))
+    b = right.select(F.col("j").alias("query_id"), "v")
+    turn = lambda x: x.withColumnRenamed("query_id", "vec_id")
+    rows = top_k(a, turn(b), k).withColumn("side", F.lit("i2t"))
+    return rows.unionByName(top_k(b, turn(a), k).withColumn("side", F.lit("t2i")))
 
-    both = side("i", "j", "i2t").unionByName(side("j", "i", "t2i"))
-    hit = both.filter(F.col("metric") == (f"i2t_R@{min(5, n)}" if 5 in clipped else "i2t_R@1")).select(F.lit("hit@5").alias("metric"), "value")
-    return both.unionByName(hit)
 
+def recall_at_k(left: DataFrame, right: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """metric, value: R@k both ways and hit@5 for (i, u) and (j, v) of any number of pairs; gold is i = j.
 
-def recall_over_all(left: DataFrame, right: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """metric, value as ``recall_at_k``, for (i, u) and (j, v) of any number of pairs; gold is i = j.
+    The rank of gold is one plus the number of better ones (ties: smaller index first), so nothing is sorted. Names use
+    k clipped to n; no rows for an empty table.
 
     Blocks of BLOCK_ROWS queries meet each partition of the other side once; a task hands on one count a query. Scores
     are compared at 12 digits.

@@ -57,5 +57,6 @@ def flatten(triplets: DataFrame) -> DataFrame:
 
 def truncate_to_batch_minimum(rows: DataFrame, batch: str, anchor: str = "image", pos: str = "pos") -> DataFrame:
     """Keeps in each batch as many candidates an anchor as its smallest anchor has."""
-    sizes = rows.groupBy(batch, anchor).agg(F.count("*").alias("_k")).groupBy(batch).agg(F.min("_k").alias("_kmin"))
-    return rows.join(sizes, batch).filter(F.col(pos) < F.col("_kmin")).drop("_kmin")
+    k = F.count("*").over(Window.partitionBy(batch, anchor))
+    least = F.min("_k").over(Window.partitionBy(batch))
+    return rows.withColumn("_k", k).withColumn("_kmin", least).filter(F.col(pos) < F.col("_kmin")).drop("_k", "_kmin")

@@ -156,12 +156,6 @@ def image_paths(spark, sf):
     return rows.select("page_id", text.resolve_path(F.col("p"), "/data/images").alias("path"), text.suffix(F.col("p")).alias("suffix"))
 
 
-@query("SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) GROUP BY user_id")
-def new_blobs(spark, sf):
-    stored = table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id")).distinct()
-    return table(spark, sf, "events").join(stored, "user_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("n"))
-
-
 # --- sizes, tokens, packing --------------------------------------------------------------------------------------------------
 
 _RESIZE = """
@@ -261,21 +255,30 @@ def fixed_batches(spark, sf):
 
 # --- vectors -------------------------------------------------------------------------------------------------------------------
 
-_PAIRS = """
+#: Ids of one evaluation batch, as the losses are defined on batches; every batch is read.
+EVAL_BATCH = 200
+_SIDES = """
 e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
 u AS (SELECT vec_id // 2 AS i, v FROM e WHERE vec_id % 2 = 0), t AS (SELECT vec_id // 2 AS j, v FROM e WHERE vec_id % 2 = 1),
-n AS (SELECT i FROM u WHERE i IN (SELECT j FROM t) AND i < 200),
+n AS (SELECT i FROM u WHERE i IN (SELECT j FROM t))"""
+_PAIRS = f"""{_SIDES},
 sims AS (SELECT u.i, t.j, list_sum(list_transform(range(1, 65), lambda k: u.v[k] * t.v[k])) AS s FROM u, t WHERE u.i IN (SELECT i FROM n) AND t.j IN (SELECT i FROM n))"""
-EVAL_BATCH = 200
+_BATCHES = f"""{_SIDES},
+sims AS (SELECT u.i, t.j, list_sum(list_transform(range(1, 65), lambda k: u.v[k] * t.v[k])) AS s FROM u JOIN t ON u.i // {EVAL_BATCH} = t.j // {EVAL_BATCH} WHERE u.i IN (SELECT i FROM n) AND t.j IN (SELECT i FROM n))"""
 
 
-def _pair_sims(spark, sf):
-    """One evaluation batch: the first EVAL_BATCH pairs, as the losses and recalls are defined on batches."""
+def _pairs(spark, sf):
+    """The two sides of every pair of the table: (i, u) and (j, v)."""
     e = table(spark, sf, "embeddings")
-    half = lambda r, name, v: e.filter(F.col("vec_id") % 2 == r).select(F.floor(F.col("vec_id") / 2).cast("long").alias(name), F.col("embedding").alias(v)).filter(F.col(name) < EVAL_BATCH)
-    left, right = half(0, "i", "u"), half(1, "j", "v")
-    both = left.select("i").intersect(right.select("j"))
-    return retrieval.similarities(left.join(both, "i"), right.join(both.withColumnRenamed("i", "j"), "j"))
+    half = lambda r, name, v: e.filter(F.col("vec_id") % 2 == r).select(F.floor(F.col("vec_id") / 2).cast("long").alias(name), F.col("embedding").alias(v))
+    return half(0, "i", "u"), half(1, "j", "v")
+
+
+def _batch_sims(spark, sf):
+    """The similarities within every batch of EVAL_BATCH ids; an id is of one batch, so sums by row or column are too."""
+    left, right = _pairs(spark, sf)
+    both = left.join(right, F.col("i") == F.col("j")).select("i", "u", "v", F.floor(F.col("i") / EVAL_BATCH).alias("batch"))
+    return retrieval.similarities(both.select("batch", "i", "u"), both.select("batch", F.col("i").alias("j"), "v"), "batch")
 
 
 @query(
@@ -309,62 +312,52 @@ def _recall_sql() -> str:
 
 @query(_recall_sql())
 def recall_at_k(spark, sf):
-    return retrieval.recall_at_k(_pair_sims(spark, sf))
-
-
-_LSE = "max(x) + ln(sum(exp(x - m)))"
+    return retrieval.recall_at_k(*_pairs(spark, sf))
 
 
 @query(
-    f"""WITH {_PAIRS}, x AS (SELECT i, j, s * 20 AS x FROM sims), a AS (SELECT *, max(x) OVER (PARTITION BY i) AS mi, max(x) OVER (PARTITION BY j) AS mj FROM x),
-    ri AS (SELECT i, max(mi) + ln(sum(exp(x - mi))) AS l FROM a GROUP BY i), rj AS (SELECT j, max(mj) + ln(sum(exp(x - mj))) AS l FROM a GROUP BY j),
+    f"""WITH {_BATCHES}, x AS (SELECT i, j, s * 20 AS x FROM sims),
+    ri AS (SELECT i, ln(sum(exp(x))) AS l FROM x GROUP BY i), rj AS (SELECT j, ln(sum(exp(x))) AS l FROM x GROUP BY j),
     c AS (SELECT ri.l - x.x AS ce FROM x JOIN ri ON x.i = ri.i WHERE x.i = x.j UNION ALL SELECT rj.l - x.x FROM x JOIN rj ON x.j = rj.j WHERE x.i = x.j)
     SELECT round(avg(ce), 6) AS loss FROM c"""
 )
 def info_nce_loss(spark, sf):
-    return losses.info_nce(_pair_sims(spark, sf), 20.0).select(F.round("loss", 6).alias("loss"))
+    return losses.info_nce(_batch_sims(spark, sf), 20.0).select(F.round("loss", 6).alias("loss"))
 
 
 @query(
-    f"""WITH {_PAIRS}, x AS (SELECT i, (CASE WHEN i = j THEN 1 ELSE -1 END) * (10 * s - 10) AS x, i = j AS d FROM sims)
+    f"""WITH {_BATCHES}, x AS (SELECT i, (CASE WHEN i = j THEN 1 ELSE -1 END) * (10 * s - 10) AS x, i = j AS d FROM sims)
     SELECT round(sum(greatest(-x, 0) + ln(1 + exp(-abs(x)))) / count(*) FILTER (WHERE d), 6) AS loss FROM x"""
 )
 def sigmoid_loss(spark, sf):
     import math
 
-    return losses.pairwise_sigmoid(_pair_sims(spark, sf), math.log(10.0), -10.0).select(F.round("loss", 6).alias("loss"))
-
-
-def _all_pairs(spark, sf):
-    """The two sides of every pair of the table: (i, u) and (j, v)."""
-    e = table(spark, sf, "embeddings")
-    half = lambda r, name, v: e.filter(F.col("vec_id") % 2 == r).select(F.floor(F.col("vec_id") / 2).cast("long").alias(name), F.col("embedding").alias(v))
-    return half(0, "i", "u"), half(1, "j", "v")
-
-
-def _batch_sims(spark, sf):
-    """The similarities within every batch of EVAL_BATCH ids; ids are of one batch, so sums by row or column are too."""
-    left, right = _all_pairs(spark, sf)
-    both = left.join(right, F.col("i") == F.col("j")).select("i", "u", "v", F.floor(F.col("i") / EVAL_BATCH).alias("batch"))
-    a, b = both.select("batch", "i", "u"), both.select("batch", F.col("i").alias("j"), "v")
-    return a.join(b, "batch").select("i", "j", vectors.dot(F.col("u"), F.col("v")).alias("s"))
-
-
-@query()
-def recall_at_k_all_pairs(spark, sf):
-    return retrieval.recall_over_all(*_all_pairs(spark, sf))
-
+    return losses.pairwise_sigmoid(_batch_sims(spark, sf), math.log(10.0), -10.0).select(F.round("loss", 6).alias("loss"))
 
-@query()
-def info_nce_loss_all_batches(spark, sf):
-    return losses.info_nce(_batch_sims(spark, sf), 20.0).select(F.round("loss", 6).alias("loss"))
 
+@query(
+    f"""WITH {_SIDES}, z AS (SELECT u.i, t.j, round(list_sum(list_transform(range(1, 65), lambda k: u.v[k] * t.v[k]))
+        / sqrt(list_sum(list_transform(u.v, lambda x: x * x)) * list_sum(list_transform(t.v, lambda x: x * x))), 12) AS s FROM u, t),
+    r AS (SELECT 'i2t' AS side, i AS query_id, j AS vec_id, s, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS r FROM z
+          UNION ALL SELECT 't2i', j, i, s, row_number() OVER (PARTITION BY j ORDER BY s DESC, i) FROM z)
+    SELECT side, query_id, vec_id, CAST(r AS INTEGER) AS rank, round(s, 6) AS score FROM r WHERE r <= 3"""
+)
+def topk_both_ways(spark, sf):
+    return retrieval.top_k_both_ways(*_pairs(spark, sf), 3).select("side", "query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
-@query()
-def sigmoid_loss_all_batches(spark, sf):
-    import math
 
-    return losses.pairwise_sigmoid(_batch_sims(spark, sf), math.log(10.0), -10.0).select(F.round("loss", 6).alias("loss"))
+@query(
+    f"""WITH {_JUDGED}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+    SELECT t.image, t.text, t.pos, t.label, round(list_sum(list_transform(range(1, 65), lambda k: a.v[k] * b.v[k]))
+        / sqrt(list_sum(list_transform(a.v, lambda x: x * x)) * list_sum(list_transform(b.v, lambda x: x * x))), 6) AS s
+    FROM t JOIN e a ON a.vec_id = t.image JOIN e b ON b.vec_id = t.text"""
+)
+def candidate_similarities(spark, sf):
+    e = table(spark, sf, "embeddings")
+    cands = _mined(spark, sf).withColumn("anchor", F.col("image"))
+    vec = lambda name: e.select(F.col("vec_id").alias(name), F.col("embedding").alias("v"))
+    got = retrieval.candidate_similarities(vec("anchor"), cands, vec("text"))
+    return got.select("image", "text", "pos", "label", F.round("s", 6).alias("s"))
 
 
 _CANDS = """c AS (SELECT l_orderkey AS anchor, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, (l_extendedprice / 100000.0::DOUBLE) AS s, l_discount * 10 AS teacher_score, l_tax * 10 AS w FROM lineitem)"""
@@ -539,8 +532,8 @@ def judge_parse(spark, sf):
     label = F.when(F.col("event_id") % 2 == 0, "相关").otherwise("不相关")
     analysis = F.when(F.col("event_id") % 4 == 3, "short").otherwise("the picture shows what the rule names")
     raw = F.concat(F.lit('ok {"label": "'), label, F.lit('", "analysis": "'), analysis, F.lit('", "confidence": '), ((F.col("event_id") % 100) / 100.0).cast("string"), F.lit("} done"))
-    p = jsonx.parse_judgement(jsonx.extract_json(raw))
-    return table(spark, sf, "events").select("event_id", p.alias("p")).select("event_id", "p.label", "p.teacher_score", "p.reason")
+    rows = table(spark, sf, "events").select("event_id", jsonx.extract_json(raw).alias("j"))
+    return rows.select("event_id", jsonx.parse_judgement(F.col("j")).alias("p")).select("event_id", "p.label", "p.teacher_score", "p.reason")
 
 
 @query("SELECT DISTINCT user_id, event_type, sha1(user_id || '|judge|v1|' || event_type) AS key FROM events")
@@ -676,3 +669,191 @@ def total_region_loss(spark, sf):
 def caption_parse(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "text", jsonx.parse_caption(F.col("text")).alias("p"))
     return rows.filter("p.reason is null").select("conv_id", "turn", F.sha1(F.col("text").cast("binary")).alias("sha1"))
+
+
+# --- resumption, grounding, statistics, collation --------------------------------------------------------------------------------
+
+
+@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 30)")
+def resume_images(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("image"), "event_type", "value")
+    return regions.resume_images(e, e.filter("event_type = 'error' and value > 30")).select("event_id")
+
+
+@query(
+    """SELECT DISTINCT l_orderkey AS image, CAST(l_partkey AS VARCHAR) AS expr FROM lineitem
+    WHERE (l_orderkey, l_partkey) NOT IN (SELECT (l_orderkey, l_partkey) FROM lineitem WHERE l_returnflag = 'R')"""
+)
+def resume_expressions(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_partkey").cast("string").alias("expr"), "l_returnflag")
+    nested = li.groupBy("image").agg(F.collect_list(F.struct("expr")).alias("regions"))
+    return regions.resume_expressions(nested, li.filter("l_returnflag = 'R'"))
+
+
+_GROUND = """
+s AS (SELECT o_orderkey AS image, ['first ' || o_orderkey, 'second', 'third ' || o_orderstatus] AS expressions FROM orders),
+i AS (SELECT DISTINCT l_orderkey AS image FROM lineitem WHERE l_linenumber < 7),
+d AS (SELECT l_orderkey AS image, l_linenumber % 4 AS cls, l_partkey * 100000 + l_suppkey AS det_idx, l_quantity / 50.0::DOUBLE AS conf, l_tax * 1000 AS x1 FROM lineitem),
+b AS (SELECT * FROM d WHERE conf > 0.1 QUALIFY row_number() OVER (PARTITION BY image, cls ORDER BY conf DESC, det_idx, x1) = 1),
+f AS (SELECT s.image, b.cls, s.expressions[b.cls + 1] AS expr, round(b.conf, 4) AS conf, round(b.x1 / 640.0::DOUBLE, 6) AS x1 FROM s JOIN i USING (image) JOIN b USING (image) WHERE b.cls < 3)"""
+
+
+def _grounded(spark, sf):
+    samples = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("/data/"), F.col("o_orderkey").cast("string")).alias("image"), F.lit("").alias("caption"),
+        F.array(F.concat(F.lit("first "), F.col("o_orderkey").cast("string")), F.lit("second"), F.concat(F.lit("third "), F.col("o_orderstatus"))).alias("expressions"),
+    )
+    li = table(spark, sf, "lineitem")
+    images = li.filter("l_linenumber < 7").select(F.col("l_orderkey").cast("string").alias("name")).distinct()
+    found = li.select(
+        F.concat(F.lit("/data/"), F.col("l_orderkey").cast("string")).alias("image"), (F.col("l_linenumber") % 4).alias("cls"),
+        F.struct((F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("i"), (F.col("l_tax") * 1000).alias("x")).alias("det_idx"),
+        (F.col("l_tax") * 1000).alias("x1"), F.lit(0.0).alias("y1"), F.lit(64.0).alias("x2"), F.lit(48.0).alias("y2"), (F.col("l_quantity") / 50.0).alias("conf"), F.lit(640).alias("w"), F.lit(480).alias("h"),
+    )
+    return regions.ground(samples, images, found)
+
+
+@query(f"WITH {_GROUND} SELECT '/data/' || image AS image, expr, conf, x1 FROM f")
+def grounding(spark, sf):
+    got, _ = _grounded(spark, sf)
+    return got.select("image", F.inline("regions")).select("image", "expr", "conf", F.round(F.get("bbox", F.lit(0)), 6).alias("x1"))
+
+
+@query(
+    f"""WITH {_GROUND} SELECT (SELECT count(DISTINCT image) FROM f) AS n_images, (SELECT count(*) FROM f) AS n_regions,
+    (SELECT count(*) FROM s WHERE image NOT IN (SELECT image FROM i)) AS n_missing,
+    (SELECT count(*) FROM s WHERE image IN (SELECT image FROM i) AND image NOT IN (SELECT image FROM f)) AS n_dropped"""
+)
+def grounding_report(spark, sf):
+    return _grounded(spark, sf)[1]
+
+
+@query("SELECT p_partkey AS image, c AS whole, CASE WHEN c THEN 7 * p_partkey ELSE p_size + 1 END AS tokens, c AS cached FROM part, (VALUES (true), (false)) t(c)")
+def token_statistics(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("image"), "p_size")
+    cache = part.select("image", (F.col("image") * 7).alias("tokens"))
+    runs = [packing.token_statistics(part, c, F.col("p_size") + 1).withColumn("whole", F.lit(w)) for c, w in ((cache, True), (cache.filter("image % 7 <> 0"), False))]
+    return runs[0].unionByName(runs[1]).select("image", "whole", "tokens", "cached")
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, length(text) % 9 + 1 AS n FROM conversations),
+    o AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS place FROM c)
+    SELECT conv_id, string_agg(list_aggregate(list_transform(range(1, n + 1), lambda k: CAST(k * 10 + turn AS VARCHAR)), 'string_agg', ','), ',' ORDER BY turn) AS packed,
+           string_agg(turn || ':' || n || ':' || place, ',' ORDER BY turn) AS grid, CAST(sum(n) AS INTEGER) AS n_patches FROM o GROUP BY conv_id"""
+)
+def collated_bins(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", (F.length("text") % 9 + 1).cast("int").alias("n"))
+    c = c.withColumn("patches", F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: k * 10 + F.col("turn")))
+    got = packing.collate_bins(c, "conv_id", "turn", "patches", "turn", "n")
+    said = F.transform("grid", lambda g: F.concat_ws(":", g["height"].cast("string"), g["width"].cast("string"), g["offset"].cast("string")))
+    return got.select("conv_id", F.array_join(F.transform("packed", lambda x: x.cast("string")), ",").alias("packed"), F.array_join(said, ",").alias("grid"), "n_patches")
+
+
+# --- defaults, profiles, bounds ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT event_id, label, coalesce(teacher_score, CASE WHEN label = 1 THEN 0.95::DOUBLE ELSE 0.05::DOUBLE END) AS teacher_score, coalesce(conf, 0.5::DOUBLE) AS conf
+    FROM (SELECT event_id, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS label, CASE WHEN event_id % 3 <> 0 THEN value END AS teacher_score, CASE WHEN event_id % 4 <> 0 THEN value / 2 END AS conf FROM events)"""
+)
+def triplet_defaults(spark, sf):
+    rows = table(spark, sf, "events").select(
+        "event_id", triplets.label_of(F.col("event_type"), "view").alias("label"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("teacher_score"), F.when(F.col("event_id") % 4 != 0, F.col("value") / 2).alias("conf")
+    )
+    return triplets.with_defaults(rows)
+
+
+@query("SELECT p_partkey, length(p_brand) >= 2 AND NOT regexp_matches(p_brand, '^(它|这个|那个|这些|那些|其|该)') AS ok FROM part")
+def legacy_expression(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", text.valid_expression(F.col("p_brand"), F.lit(None).cast("string"), text.LEGACY_PROFILE).alias("ok"))
+
+
+@query("SELECT p_partkey, '一个红色的' || p_size AS expr FROM part WHERE p_size % 2 = 0")
+def attribute_fallback(spark, sf):
+    said = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("路边有，一个红色的"), F.col("p_size").cast("string"), F.lit("。"))).otherwise(F.lit("nothing here"))
+    rows = table(spark, sf, "part").select("p_partkey", said.alias("caption"))
+    return regions.expressions(rows).select("p_partkey", F.explode("expressions").alias("expr"))
+
+
+@query(
+    """SELECT event_id, 'R' || i AS reason_id, CASE WHEN i <= event_id % 4 THEN 'e' || i ELSE '' END AS reason_text, CASE WHEN i <= event_id % 4 THEN 'relevant' ELSE 'irrelevant' END AS prior
+    FROM events, range(1, 6) t(i) WHERE event_id % 4 > 0"""
+)
+def candidate_parse(spark, sf):
+    n = (F.col("event_id") % 4).cast("int")
+    said = lambda lo, hi: F.array_join(F.transform(F.filter(F.sequence(F.lit(1), F.lit(5)), lambda i: (i >= lo) & (i <= hi)), lambda i: F.concat(F.lit('{"id": "R'), i.cast("string"), F.lit('", "evidence": "e'), i.cast("string"), F.lit('"}'))), ", ")
+    raw = F.concat(F.lit('answer: {"relevant": ['), said(F.lit(1), n), F.lit('], "irrelevant": ['), said(n + 1, F.lit(5)), F.lit("]}"))
+    rows = table(spark, sf, "events").select("event_id", jsonx.extract_json(raw).alias("j")).select("event_id", jsonx.parse_candidates(F.col("j")).alias("p"))
+    return rows.filter("p.reason is null").select("event_id", F.inline("p.candidates"))
+
+
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS image, event_type AS reason_id FROM events WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 3 = 0)")
+def retry(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("image"), F.col("event_type").alias("reason_id"), "event_id")
+    task = batch.TASKS["judge"]
+    _, bad = batch.split_results(batch.infer(batch.keyed(e, task), task, batch.BACKENDS["echo"]()), task)
+    return batch.retry_failures(bad, batch.keyed(e.filter("event_id % 3 = 0"), task)).select("image", "reason_id")
+
+
+@query("SELECT event_id, round(exp(least(value, ln(100))), 6) AS scale, '<s>' || event_type || '</s>' AS said FROM events")
+def scales_and_wraps(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.round(vectors.clamped_scale(F.col("value")), 6).alias("scale"), text.chat_wrap(F.col("event_type"), "<s>", "</s>").alias("said"))
+
+
+@query("SELECT p_partkey, CAST(p_size * 28 // 14 AS INTEGER) AS gh, CAST(p_partkey % 900 // 14 AS INTEGER) AS gw, CAST((p_size * 28 // 14) * (p_partkey % 900 // 14) // 4 AS INTEGER) AS merged FROM part")
+def grid_dimensions(spark, sf):
+    g = geometry.grid(F.col("p_size") * 28, F.col("p_partkey") % 900)
+    return table(spark, sf, "part").select("p_partkey", g.alias("g")).select("p_partkey", "g.*")
+
+
+@query("SELECT round(sum(greatest(-x, 0) + ln(1 + exp(-abs(x)))) / count(*) FILTER (WHERE d), 6) AS loss FROM (SELECT (CASE WHEN i = j THEN 1 ELSE -1 END) * (10 * s - 10) AS x, i = j AS d FROM (WITH " + _BATCHES + " SELECT * FROM sims WHERE j % 5 <> 0))")
+def sigmoid_loss_valid_keys(spark, sf):
+    import math
+
+    return losses.pairwise_sigmoid(_batch_sims(spark, sf), math.log(10.0), -10.0, F.col("j") % 5 != 0).select(F.round("loss", 6).alias("loss"))
+
+
+_BOUNDS = f"""SELECT source, count(*) AS n_items, CAST(sum(greatest(1, n_chars // 4)) AS BIGINT) AS total, true AS each_once, true AS fits, true AS few_bins
+    FROM documents GROUP BY source"""
+
+
+def _bounds(bins):
+    """What any right packing keeps: every row once, no bin over the budget but one of a single item, and no more bins
+    than first fit decreasing may use (11/9 of the least and one, and one for each item over the budget)."""
+    per = bins.groupBy("source", "bin_id").agg(F.count("*").alias("c"), F.count_distinct("doc_id").alias("d"), F.sum("tokens").alias("t"), F.sum(F.least("tokens", F.lit(BUDGET))).alias("u"))
+    out = per.groupBy("source").agg(
+        F.sum("c").alias("n_items"), F.sum("t").alias("total"), (F.sum("c") == F.sum("d")).alias("each_once"), F.bool_and((F.col("t") <= BUDGET) | (F.col("c") == 1)).alias("fits"), F.count("*").alias("_n"), F.sum("u").alias("_u")
+    )
+    # at least half of any two neighbouring bins is used, whatever the sizes
+    return out.withColumn("few_bins", F.col("_n") <= F.ceil(2 * F.col("_u") / BUDGET) + 1).drop("_n", "_u")
+
+
+@query(_BOUNDS)
+def ffd_bounds(spark, sf):
+    return _bounds(ffd_bins(spark, sf))
+
+
+@query(_BOUNDS)
+def shuffled_bounds(spark, sf):
+    return _bounds(shuffled_bins(spark, sf))
+
+
+@query("SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) AS n_queries, true AS recall_of_nine_in_ten")
+def ann_recall(spark, sf):
+    near = ann_search(spark, sf).select("query_id", "vec_id").withColumn("_f", F.lit(1))
+    got = topk_search(spark, sf).join(near, ["query_id", "vec_id"], "left")
+    return got.agg(F.count_distinct("query_id").alias("n_queries"), (F.sum("_f") >= 0.9 * F.count("*")).alias("recall_of_nine_in_ten"))
+
+
+@query(
+    f"""WITH g(strat, grp) AS (VALUES (1, ['red', 'blue', 'green', 'black', 'white']), (2, ['small', 'large'])),
+    a AS (SELECT p_partkey, p_name, strat, grp, u.w, instr(p_name, u.w) AS pos FROM part, g, unnest(grp) AS u(w)),
+    h AS (SELECT p_partkey, p_name, strat, grp, w, pos FROM a WHERE pos > 0 QUALIFY row_number() OVER (PARTITION BY p_partkey, strat ORDER BY pos, list_position(grp, w)) = 1),
+    c AS ({_RULE_ORDER}), m AS (SELECT c.p_partkey, h.p_name, substr(c.p_name, 1, h.pos - 1) || c.o || substr(c.p_name, h.pos + length(c.w)) AS neg FROM c JOIN h ON c.p_partkey = h.p_partkey AND c.strat = h.strat WHERE c.k <= 2)
+    SELECT p_partkey, neg, true AS similar FROM m WHERE length(neg) > 0 AND neg <> p_name AND length(neg) BETWEEN 0.4 * length(p_name) AND 2.5 * length(p_name) AND p_name <> '' AND length(p_name) >= 12"""
+)
+def plausible_negatives(spark, sf):
+    """Names of 12 characters and more keep more than half of them under one replaced word, so all pass the ratio."""
+    rows = valid_negative(spark, sf).filter(F.length("expr") >= 12)
+    return rows.select("p_partkey", "neg", (F.col("ratio") >= 0.5).alias("similar"))

@@ -36,12 +36,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Unset, a temporary one serves a local master only (tests)."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-")
     sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -54,15 +58,16 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path  # so that ``release`` needs no listing of files
+    return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a table made by ``durable`` once nothing reads it any more."""
-    spark = df.sparkSession
-    top = shared_dir(spark)
-    jvm = spark._jvm
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/table-" in name and name.removeprefix("file:").lstrip("/").startswith(top.removeprefix("file:").lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(name)
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``durable`` once nothing reads them any more; other tables are left alone."""
+    for df in tables:
+        name = getattr(df, "_durable_path", None)
+        if name:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

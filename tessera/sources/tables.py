@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
+MIN_IMAGE_BYTES = 5 * 1024
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
@@ -51,24 +54,67 @@ def list_images(spark: SparkSession, folder: str, with_content: bool = False) ->
     return df.orderBy("name")
 
 
-def fetch(df: DataFrame, get: Callable[[str], bytes | None], url: str = "url") -> DataFrame:
-    """Adds ``content`` by a pluggable fetcher (URL -> bytes or None); failures give null, nothing is raised."""
+def http_get(url: str, timeout: float = 10.0) -> bytes | None:
+    """The body of a URL that answers with status 200 within ``timeout`` seconds, else None."""
+    from urllib.request import urlopen
+
+    try:
+        with urlopen(url, timeout=timeout) as answer:  # noqa: S310 - the caller's own list of URLs
+            return answer.read() if answer.status == 200 else None
+    except (OSError, ValueError):
+        return None
+
+
+def fetch(df: DataFrame, get: Callable[[str], bytes | None] = http_get, url: str = "url", workers: int = 32) -> DataFrame:
+    """Adds ``content`` by a fetcher (URL -> bytes or None); failures and null URLs give null, nothing is raised.
+
+    Each task fetches with ``workers`` threads, at most twenty URLs a thread ahead, so few bodies are held at once.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got = []
-            for u in f[url]:
-                try:
-                    got.append(get(u))
-                except Exception:  # noqa: BLE001 - any failure of one URL is a miss, as a time-out is
-                    got.append(None)
-            yield f.assign(content=got)
+        from concurrent.futures import ThreadPoolExecutor
+
+        def one(u: str | None) -> bytes | None:
+            try:
+                return None if u is None else get(u)
+            except Exception:  # noqa: BLE001 - any failure of one URL is a miss, as a time-out is
+                return None
+
+        with ThreadPoolExecutor(workers) as pool:
+            for f in frames:
+                for at in range(0, len(f), 20 * workers):
+                    part = f.iloc[at : at + 20 * workers]
+                    yield part.assign(content=list(pool.map(one, part[url])))
 
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != "content")
     return df.drop("content").mapInPandas(run, f"{fields}, content binary")
 
 
-def valid_image(n_bytes: Column, width: Column, height: Column, min_bytes: int = 5 * 1024, min_side: int = 64) -> Column:
+def transcode(df: DataFrame, decode: Callable[[bytes], tuple[int, int, bytes] | None], content: str = "content") -> DataFrame:
+    """Rows whose image is valid, with ``width``, ``height`` and ``content`` as ``decode`` keeps it.
+
+    ``decode`` (bytes -> width, height, bytes, or None) is the caller's image library; what it raises counts as
+    undecodable. The size in bytes is checked before, on the built-in path, and the sides after it.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for data in f[content]:
+                try:
+                    rows.append(decode(data) or (None, None, None))
+                except Exception:  # noqa: BLE001 - whatever the library raises, the image cannot be decoded
+                    rows.append((None, None, None))
+            width, height, kept = zip(*rows) if rows else ((), (), ())
+            yield f.assign(width=pd.array(width, dtype="Int32"), height=pd.array(height, dtype="Int32"), **{content: list(kept)})
+
+    rows = df.filter(F.length(content) >= MIN_IMAGE_BYTES).drop("width", "height")
+    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    got = rows.mapInPandas(run, f"{fields}, width int, height int")
+    return got.filter(valid_image(F.lit(MIN_IMAGE_BYTES), F.col("width"), F.col("height")))
+
+
+def valid_image(n_bytes: Column, width: Column, height: Column, min_bytes: int = MIN_IMAGE_BYTES, min_side: int = 64) -> Column:
     """Large enough in bytes and on its shorter side; null sizes (undecodable) are not valid."""
     return F.coalesce((n_bytes >= min_bytes) & (F.least(width, height) >= min_side) & width.isNotNull() & height.isNotNull(), F.lit(False))
 
@@ -78,34 +124,65 @@ def write_split(df: DataFrame, path: str, split: str = "split") -> None:
 
 
 def write_new_blobs(blobs: DataFrame, path: str) -> int:
-    """Appends (sha1, content) rows whose sha1 is not stored yet; returns how many."""
+    """Appends (sha1, content) rows whose sha1 is not stored yet; returns how many.
+
+    The rows are worked out once: they are counted while they are written.
+    """
     spark = blobs.sparkSession
     new = blobs.dropDuplicates(["sha1"])
     try:
         new = new.join(spark.read.parquet(path).select("sha1"), "sha1", "left_anti")
-    except Exception as e:  # no store yet
+    except AnalysisException as e:  # no store yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    before = new.count()
-    new.write.mode("append").parquet(path)
-    return before
+    seen = Observation()
+    new.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside ``path`` and then renames, so readers see the old table or the new one; the rest is cleaned up."""
+    """Writes a new version beside the others in ``path`` and then points the file ``_current`` at it in one rename.
+
+    A reader (``read_table``) sees the old version or the new one. The version before stays until the next replacement,
+    for readers that have begun; older ones go.
+    """
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.tmp", f"{path}.old"))
-    fs = target.getFileSystem(conf)
+    jvm = spark._jvm
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    old = _current(spark, path)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.org.apache.hadoop.fs.Path(path).toUri(), spark._jsc.hadoopConfiguration())
+    fresh, target = jvm.org.apache.hadoop.fs.Path(f"{path}/_current.{name}"), jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(fresh, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(fresh, target, options)
+    for entry in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)):
+        if entry.isDirectory() and entry.getPath().getName() not in (name, old):
+            fs.delete(entry.getPath(), True)
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    fs = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(file):
+        return None
+    data = fs.open(file)
     try:
-        df.write.mode("overwrite").parquet(f"{path}.tmp")
-        fs.delete(old, True)
-        if fs.exists(target):
-            fs.rename(target, old)
-        fs.rename(fresh, target)
+        return bytes(b & 0xFF for b in iter(data.read, -1)).decode()
     finally:
-        fs.delete(fresh, True)
-        fs.delete(old, True)
+        data.close()
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table that ``replace_table`` writes."""
+    name = _current(spark, path)
+    if name is None:
+        raise FileNotFoundError(f"no table in {path}")
+    return spark.read.parquet(f"{path}/{name}")
 
 
 def curve_report(points: DataFrame, out: str, title: str = "metrics") -> None:

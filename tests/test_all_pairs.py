@@ -28,7 +28,7 @@ def test_recall_reads_every_pair(spark, pairs, monkeypatch):
         rank = 1 + (m > np.diag(m)[:, None]).sum(axis=1)
         want |= {f"{name}_R@{k}": round(float((rank <= k).mean()), 4) for k in (1, 5, 10)}
     want["hit@5"] = want["i2t_R@5"]
-    got = {r["metric"]: r["value"] for r in catalog.QUERIES["recall_at_k_all_pairs"](spark, sf).collect()}
+    got = {r["metric"]: r["value"] for r in catalog.QUERIES["recall_at_k"](spark, sf).collect()}
     assert got == pytest.approx(want, abs=1e-4) and 0.1 < want["i2t_R@1"] < 0.9
 
 
@@ -42,5 +42,5 @@ def test_losses_read_every_batch(spark, pairs):
         z = np.where(np.eye(len(s)) > 0, 1, -1) * (10 * s - 10)
         sig += np.log1p(np.exp(-z)).sum()
     one = lambda name: catalog.QUERIES[name](spark, sf).first()["loss"]
-    assert one("info_nce_loss_all_batches") == pytest.approx(np.mean(ce), abs=2e-6)
-    assert one("sigmoid_loss_all_batches") == pytest.approx(sig / N, abs=2e-6)
+    assert one("info_nce_loss") == pytest.approx(np.mean(ce), abs=2e-6)
+    assert one("sigmoid_loss") == pytest.approx(sig / N, abs=2e-6)

@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalog
+from tessera.plans import catalog, connectors  # noqa: F401 - both add to catalog.QUERIES
 
 SF = "/root/testdata/sf0.001"
 

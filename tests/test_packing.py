@@ -37,6 +37,16 @@ def test_first_fit_decreasing_equals_the_scan(tokens, budget):
     assert packing.first_fit_decreasing_ids(np.array(tokens, np.int64), budget).tolist() == want
 
 
+def test_next_fit_over_many_ranges_equals_the_loop(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, i, int(t)) for g, n in (("a", 400), (None, 90), ("c", 3)) for i, t in enumerate(rng.choice([0, 1, 2, 5, 9, 30], n))]
+    df = spark.createDataFrame(rows, "g string, o int, t long").repartition(5)
+    got = {(r["g"], r["o"]): r["bin_id"] for r in packing.next_fit(df, "g", "o", "t", 12, part_rows=17).collect()}
+    for g in ("a", None, "c"):
+        items = [t for h, _, t in rows if h == g]
+        assert [got[g, i] for i in range(len(items))] == loop(items, 12)
+
+
 def test_examples(spark):
     df = spark.createDataFrame([("a", i, t) for i, t in enumerate([5, 4, 3, 9, 1])] + [(None, 0, 20), (None, 1, 1)], "g string, o int, t long")
     got = {(r["g"], r["o"]): r["bin_id"] for r in packing.next_fit(df, "g", "o", "t", 9).collect()}
