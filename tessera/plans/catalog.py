@@ -674,10 +674,10 @@ def caption_parse(spark, sf):
 # --- resumption, grounding, statistics, collation --------------------------------------------------------------------------------
 
 
-@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 30)")
+@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 100)")
 def resume_images(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("image"), "event_type", "value")
-    return regions.resume_images(e, e.filter("event_type = 'error' and value > 30")).select("event_id")
+    return regions.resume_images(e, e.filter("event_type = 'error' and value > 100")).select("event_id")
 
 
 @query(
