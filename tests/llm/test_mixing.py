@@ -47,7 +47,7 @@ def test_schedule(docs):
         by[r["doc_id"]] += r["copy_words"]
     for r in plan.collect():
         if r["doc_id"] != 307:
-            assert by[r["doc_id"]] == r["taken"]
+            assert by[r["doc_id"]] == sum(c["copy_words"] for c in r["copies"])
     # a source's demand integrates to its position at each copy's time
     for r in copies[:50]:
         t, a = r["time"], r["slope"]
@@ -70,6 +70,18 @@ def test_training_order(docs, none):
     for r in mixing.op8(docs).collect():
         taken[r["doc_id"]] += r["taken"]
     assert dict(words) == {d: n for d, n in taken.items() if n}
+    # the document's row has the place of its first copy, and the rows come in that order
+    first = {}
+    for r in got:
+        if r["copy"] == 0 and r["doc_id"] != 307:
+            first[r["doc_id"]] = (r["time"], r["position"])
+    rows = mixing.op8(docs).collect()
+    for r in rows:
+        if r["doc_id"] != 307:
+            assert (r["first_time"], r["first_position"]) == first.get(r["doc_id"], (None, None))
+    at = [r["first_position"] for r in rows]
+    seen = [p for p in at if p is not None]
+    assert at == sorted(seen) + [None] * (len(at) - len(seen))
     # sources with a falling weight are read early, those with a rising one late
     slope = {r["source"]: r["slope"] for r in mixing.plan(docs).select("source", "slope").distinct().collect()}
     for s in {r["source"] for r in got}:
