@@ -1,69 +1,126 @@
 """Document fingerprints by winnowing. DataFrame functions only.
 
-A text's words give one hash for each run of K words (a shorter text with words: one hash of all). In every window of
-W successive hashes the smallest is chosen, the rightmost of equal ones, and positions are kept. Any passage of
-K + W - 1 words that two texts share makes them share a chosen hash. A hash is the low 32 bits of xxHash64 over the K
-words; hash and position are packed in one long, (hash << 31) | (2**31 - 1 - position), so that the smallest long of a
-window is the rightmost of its smallest hashes.
-
-Nulls: a null text counts as empty; a text without words has no hashes. Two fingerprints without hashes are alike (1.0),
-one without and one with are not (0.0). Equal texts have equal fingerprints, since nothing but the words is used.
+A text's code points give one Karp-Rabin hash for each run of K of them, h = sum of c * BASE**(place from the right) mod
+PRIME (a shorter text that is not empty: one hash, as if it went on with zeros). In every window of W successive hashes
+the smallest is chosen, the rightmost of equal ones, and positions are kept. Any passage of K + W - 1 code points that two
+texts share makes them share a chosen hash, whatever the script. Hash and position are packed in one long, (hash << 31) |
+(2**31 - 1 - position), so that the smallest long of a window is the rightmost of its smallest hashes.
+
+Array functions carry no running state, so the hashes are not updated one after another: a pass over the array puts two
+neighbouring hashes of half the length together, h(a + b) = h(a) * BASE**len(b) + h(b), which gives the rolling hash's
+values in a pass for each doubling of K. The windows' minima are doubled likewise. A text is worked through in segments
+of SEGMENT code points, which bounds what is held at once; segments overlap by what a window needs, so they change nothing.
+
+Nulls: a null text counts as empty; a text without characters has no hashes. Two fingerprints without hashes are alike
+(1.0), one without and one with are not (0.0). Equal texts have equal fingerprints, since nothing else is used. Repeated
+rows give repeated rows, an empty table an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import clean_words
 from tessera.session import durable
 
-K = 5
-W = 12
+K = 24
+W = 64
+BASE = 1_000_003
+PRIME = (1 << 31) - 1
 MASK = (1 << 31) - 1
+SEGMENT = 1 << 16
 
 
-def winnow(words: Column) -> Column:
-    """Array of chosen (hash, position), packed, in text order, from an array of words."""
-    return _chosen(_hashes(words))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
-def with_chosen(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: the packed choices of column ``text``. Each stage is a column, so nothing is computed twice."""
-    df = df.withColumn(f"_{out}w", clean_words(F.col(text)))
-    df = df.withColumn(f"_{out}h", _hashes(F.col(f"_{out}w")))
-    return df.withColumn(out, _chosen(F.col(f"_{out}h"))).drop(f"_{out}w", f"_{out}h")
+def _doubled(values: Column, length: int, join: Callable[[Column, Column, int], Column]) -> Column:
+    """From values of single places those of runs of ``length``: join(left, right, places of the right one), no run
+    goes beyond the end. A run is put together of runs of powers of two, the longest first."""
 
+    def beside(left: Column, right: Column, shift: int, n: int) -> Column:
+        count = F.greatest(F.size(right) - shift, F.lit(0))
+        return F.zip_with(F.slice(left, F.lit(1), count), F.slice(right, F.lit(1 + shift), count), lambda x, y: join(x, y, n))
+
+    def grow(have: Column, size: int, made: Column | None, made_size: int) -> Column:
+        # ``have`` are the runs of ``size``, ``made`` those of the lower bits of ``length``
+        if length & size:
+            if made is None:
+                now, now_size = have, size
+            else:
+                return _let(beside(have, made, size, made_size), lambda m: more(have, size, m, made_size + size))
+        else:
+            now, now_size = made, made_size
+        return more(have, size, now, now_size)
+
+    def more(have: Column, size: int, made: Column | None, made_size: int) -> Column:
+        if made_size == length:
+            return made
+        return _let(beside(have, have, size, size), lambda h: grow(h, 2 * size, made, made_size))
+
+    return grow(values, 1, None, 0)
+
+
+def rolling_hashes(text: Column) -> Column:
+    """The Karp-Rabin hashes of all runs of K code points of a text, in order."""
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    join = lambda x, y, n: (x * pow(BASE, n, PRIME) + y) % PRIME
+    return _let(codes, lambda c: _doubled(c, K, join))
+
+
+def _windows(packed: Column) -> Column:
+    """The smallest of each window of W (of all, if there are fewer), repeated ones once."""
+    few = F.when(F.size(packed) > 0, F.array(F.array_min(packed))).otherwise(packed)
+    return F.when(F.size(packed) >= W, F.array_distinct(_doubled(packed, W, lambda x, y, _: F.least(x, y)))).otherwise(few)
+
+
+def chosen(text: Column, offset: Column | int = 0) -> Column:
+    """Array of chosen (hash, position), packed, in text order; positions count from ``offset``."""
+    first = F.lit(offset).cast("long") if isinstance(offset, int) else offset.cast("long")
+
+    def part(t: Column, at: Column) -> Column:
+        packed = lambda h: F.transform(h, lambda x, i: F.shiftleft(x, 31).bitwiseOR(F.lit(MASK) - (at + i)))
+        return _let(rolling_hashes(t), lambda h: _let(packed(h), _windows))
+
+    def whole(t: Column) -> Column:
+        n = F.length(t)
+        full = F.when(n < K, F.rpad(t, K, "\0")).otherwise(t)
+        last = F.greatest(F.floor((n - (K + W - 1)) / SEGMENT), F.lit(0)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda s: part(F.substring(full, s * SEGMENT + 1, F.lit(SEGMENT + K + W - 2)), first + s * SEGMENT))
+        # the choice of one segment's last window may be that of the next one's first
+        return F.when(last > 0, F.array_distinct(F.flatten(parts))).otherwise(F.get(parts, F.lit(0)))
 
-def _hashes(words: Column) -> Column:
-    low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
-    pack = lambda h, i: F.shiftleft(low(h), 31).bitwiseOR(F.lit(MASK) - i)
-    runs = F.transform(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - (K - 1), F.lit(0))),
-        lambda w, i: pack(F.xxhash64(w, *[F.get(words, i + j) for j in range(1, K)]), i),
-    )
-    short = F.array(pack(F.xxhash64(F.array_join(words, " ")), F.lit(0)))
     none = F.expr("cast(array() as array<bigint>)")
-    return F.when(F.size(words) >= K, runs).when(F.get(words, F.lit(0)) != "", short).otherwise(none)
+    return F.when(F.length(text) > 0, _let(text, whole)).otherwise(none)
 
 
-def _chosen(hashes: Column) -> Column:
-    windows = F.transform(
-        F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - (W - 1), F.lit(0))),
-        lambda h, j: F.least(h, *[F.get(hashes, j + d) for d in range(1, W)]),
-    )
-    few = F.when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(hashes)
-    return F.when(F.size(hashes) >= W, F.array_distinct(windows)).otherwise(few)
+def chosen_after_edit(before: Column, edited: Column, same: Column) -> Column:
+    """``chosen`` of an edited text whose first ``same`` code points are those of the text with the choices ``before``.
+
+    Windows within the common part choose what they chose; only those that reach beyond it are worked out. What the
+    windows up to number J chose are the choices up to the place that window J chose, which is the smallest within it.
+    """
+    span = K + W - 1
+    j = same - span  # the last window within the common part
+    kept = lambda p: F.lit(MASK) - p.bitwiseAND(F.lit(MASK))
+    last = F.array_min(F.filter(before, lambda p: (kept(p) >= j) & (kept(p) < j + W)))
+    head = F.when(same >= span, _let(last, lambda m: F.filter(before, lambda p: kept(p) <= kept(m)))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    start = F.when(same >= span, j + 1).otherwise(0)
+    return F.array_union(head, chosen(F.substring(edited, (start + 1).cast("int"), F.length(edited)), start))
 
 
 def hashes_of(chosen: Column) -> Column:
-    """The distinct 32-bit hashes of packed choices, ascending."""
+    """The distinct hashes of packed choices, ascending."""
     return F.sort_array(F.array_distinct(F.transform(chosen, lambda p: F.shiftright(p, 31))))
 
 
 def positions_of(chosen: Column) -> Column:
-    """The word positions of packed choices."""
+    """The positions (code points) of packed choices."""
     return F.transform(chosen, lambda p: F.lit(MASK) - p.bitwiseAND(F.lit(MASK)))
 
 
@@ -78,18 +135,16 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(both / F.greatest(total, F.lit(1)))
 
 
-def next_ids(df: DataFrame, doc_id: str, n_chars: Column, parts: int) -> DataFrame:
+def next_ids(df: DataFrame, doc_id: str, n_chars: Column) -> DataFrame:
     """doc_id -> next_id (the next larger id present; after the last the first) and the longest n_chars of its rows.
 
-    Ids are dealt into ``parts`` ranges at approximate quantiles; the next id is found within a range, and the last of
-    a range takes the first of the next range that has any. Only ids are moved, and no task sees them all. Null ids
-    have no next.
+    Ids of any type that has an order are dealt into ranges, written once; the next id is found within a range, and the
+    last of a range takes the first of the next range that has any. Only ids are moved, and no task sees them all. Null
+    ids have no next.
     """
-    ids = durable(df.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(n_chars).alias("_n")))
-    cuts = [i / parts for i in range(1, parts)]
-    bounds = ids.agg(F.percentile_approx("_id", F.array(*map(F.lit, cuts)), 10000)).first()[0] or []  # parts - 1 numbers
-    at = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.expr("cast(array() as array<bigint>)")
-    ranged = ids.withColumn("_part", F.size(F.filter(at, lambda b: b < F.col("_id"))))
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ids = df.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(n_chars).alias("_n"))
+    ranged = durable(ids.repartitionByRange(parts, "_id").withColumn("_part", F.spark_partition_id()))
     firsts = ranged.groupBy("_part").agg(F.min("_id").alias("_first"))  # at most ``parts`` rows
     edge = Window.orderBy("_part")
     firsts = firsts.withColumn("_after", F.coalesce(F.lead("_first").over(edge), F.min("_first").over(edge.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
@@ -98,34 +153,34 @@ def next_ids(df: DataFrame, doc_id: str, n_chars: Column, parts: int) -> DataFra
 
 
 def edited(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, text, edited, next_hashes: each row with its edited text and the fingerprint of the next document.
+    """doc_id, text, n_chars, choices, same, edited, next_hashes: each row with its choices, its edited text, how many code
+    points that has in common with the text from the start, and the hashes of the next document.
 
-    The texts are moved once, by id: the same exchange serves the documents as themselves and as the next ones, which
-    send their heads and hashes to the id before. Where rows share an id the smallest head stands for the next text;
-    rows with a null id have no next document, so their tail is cut.
+    The choices are made once a row, where it is read, and moved with the text, once and by id: the same exchange serves
+    the documents as themselves and as the next ones, which send their heads and hashes to the id before. Where rows
+    share an id the smallest head stands for the next text; rows with a null id have no next document, so their tail is cut.
     """
-    spark = df.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # an id that has its name already is not aliased: the two reads of the exchange must be equal to the last node
     key = F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id")
     every = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = every.filter(F.col("doc_id").isNotNull())  # said here so that both joins read one and the same exchange
-    order = next_ids(docs, "doc_id", F.length("text"), parts)
+    order = next_ids(docs, "doc_id", F.length("text"))
+    docs = docs.withColumn("choices", chosen(F.col("text")))
     back = order.select(F.col("_next").alias("_to"), F.col("_id").alias("_from"), F.floor(F.col("_n") / 4).cast("int").alias("_q"))
     sent = docs.join(back.hint("shuffle_hash"), docs["doc_id"] == back["_to"])
-    sent = with_chosen(sent, "text", "_fp").select("_from", F.struct(F.expr("substring(text, 1, _q)").alias("head"), hashes_of(F.col("_fp")).alias("hashes")).alias("_sent"))
+    sent = sent.select("_from", F.struct(F.expr("substring(text, 1, _q)").alias("head"), hashes_of(F.col("choices")).alias("hashes")).alias("_sent"))
     sent = sent.groupBy("_from").agg(F.min("_sent").alias("_sent"))
     got = docs.join(sent, docs["doc_id"] == sent["_from"], "left").drop("_from")
-    got = got.unionByName(every.filter(F.col("doc_id").isNull()), allowMissingColumns=True)
-    got = got.withColumn("n_chars", F.length("text").cast("long")).withColumn("_cut", F.floor(F.col("n_chars") / 4).cast("int"))
-    new = F.concat(F.expr("substring(text, 1, n_chars - _cut)"), F.coalesce(F.expr("substring(_sent.head, 1, _cut)"), F.lit("")))
-    return got.select("doc_id", "text", "n_chars", new.alias("edited"), F.coalesce(F.col("_sent.hashes"), F.expr("cast(array() as array<bigint>)")).alias("next_hashes"))
+    got = got.unionByName(every.filter(F.col("doc_id").isNull()).withColumn("choices", chosen(F.col("text"))), allowMissingColumns=True)
+    got = got.withColumn("n_chars", F.length("text").cast("long")).withColumn("same", (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int"))
+    new = F.concat(F.expr("substring(text, 1, same)"), F.coalesce(F.expr("substring(_sent.head, 1, int(n_chars) - same)"), F.lit("")))
+    return got.select("doc_id", "text", "n_chars", "choices", "same", new.alias("edited"), F.coalesce(F.col("_sent.hashes"), F.expr("cast(array() as array<bigint>)")).alias("next_hashes"))
 
 
 def op10(df: DataFrame) -> DataFrame:
     e = edited(df)
-    e = with_chosen(with_chosen(e, "text", "_a"), "edited", "_b")
-    e = e.withColumns({"_ha": hashes_of(F.col("_a")), "_hb": hashes_of(F.col("_b"))})
+    e = e.withColumn("_b", chosen_after_edit(F.col("choices"), F.col("edited"), F.col("same")))
+    e = e.withColumns({"_ha": hashes_of(F.col("choices")), "_hb": hashes_of(F.col("_b"))})
     return e.select(
         "doc_id",
         "n_chars",
@@ -134,5 +189,5 @@ def op10(df: DataFrame) -> DataFrame:
         fingerprint_string(F.col("_hb")).alias("edited_fingerprint"),
         likeness(F.col("_ha"), F.col("_hb")).cast("double").alias("near_edited"),
         likeness(F.col("_ha"), F.col("next_hashes")).cast("double").alias("near_next"),
-        F.array_join(positions_of(F.col("_a")), ",").alias("positions"),
+        F.array_join(positions_of(F.col("choices")), ",").alias("positions"),
     )

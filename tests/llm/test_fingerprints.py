@@ -1,37 +1,71 @@
 import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import fingerprints as fp
 
 
-def winnow(words, hashes):
-    """Rightmost smallest of each window, over the operator's own hashes."""
-    n = len(hashes)
-    if n == 0:
+def rolling(text):
+    """Karp-Rabin hashes, each from the one before."""
+    codes = [ord(c) for c in text]
+    if 0 < len(codes) < fp.K:
+        codes += [0] * (fp.K - len(codes))
+    if not codes:
         return []
-    if n < fp.W:
-        return [max(i for i in range(n) if hashes[i] == min(hashes))]
+    top = pow(fp.BASE, fp.K - 1, fp.PRIME)
+    h = 0
+    for c in codes[: fp.K]:
+        h = (h * fp.BASE + c) % fp.PRIME
+    out = [h]
+    for old, new in zip(codes, codes[fp.K :]):
+        h = ((h - old * top) * fp.BASE + new) % fp.PRIME
+        out.append(h)
+    return out
+
+
+def winnow(text):
+    """(hash, position) of the rightmost smallest hash of each window."""
+    hashes = rolling(text)
+    n = len(hashes)
     out = []
-    for j in range(n - fp.W + 1):
+    for j in range(max(n - fp.W, 0) + 1 if n else 0):
         w = hashes[j : j + fp.W]
-        i = j + max(k for k in range(fp.W) if w[k] == min(w))
-        if not out or out[-1] != i:
-            out.append(i)
+        i = j + max(k for k in range(len(w)) if w[k] == min(w))
+        if not out or out[-1] != (hashes[i], i):
+            out.append((hashes[i], i))
     return out
 
 
-def test_windows_match_brute_force(spark):
-    texts = [" ".join(f"w{(i * i * k) % (3 + k)}" for i in range(k)) for k in range(0, 60)] + [None, "a b c", "a a a a a a a a a a a a a a a a a a a a"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    from pyspark.sql import functions as F
+def unpacked(choices):
+    return [(p >> 31, fp.MASK - (p & fp.MASK)) for p in choices]
+
 
-    rows = df.select("text", fp._hashes(fp.clean_words(F.col("text"))).alias("h"))
-    got = fp.with_chosen(rows, "text", "c").select("text", "h", "c").collect()
+def texts():
+    rng = random.Random(2)
+    said = ["".join(rng.choice("ab é漢🙂\n") for _ in range(n)) for n in (*range(0, 30), 63, 64, 86, 87, 88, 150, 400, 1000)]
+    return said + ["a" * 500, "".join(rng.choice("abcdefghij") for _ in range(3000)), None]
+
+
+@pytest.mark.parametrize("segment", [1 << 16, 100, 7])
+def test_choices_match_a_rolling_hash_and_every_window(spark, monkeypatch, segment):
+    monkeypatch.setattr(fp, "SEGMENT", segment)
+    df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
+    for r in df.select("text", fp.chosen(F.col("text")).alias("c")).collect():
+        assert unpacked(r["c"]) == winnow(r["text"])
+
+
+def test_choices_after_an_edit_are_those_of_the_edited_text(spark):
+    rng = random.Random(6)
+    rows = []
+    for t in texts()[:-1]:
+        for same in {0, len(t) // 2, len(t) - len(t) // 4, len(t)}:
+            rows.append((t, t[:same] + "".join(rng.choice("xyz é🙂") for _ in range(rng.randrange(120))), same))
+    df = spark.createDataFrame(rows, "text string, edited string, same int")
+    got = df.withColumn("c", fp.chosen(F.col("text"))).withColumn("e", fp.chosen_after_edit(F.col("c"), F.col("edited"), F.col("same"))).collect()
     for r in got:
-        hashes = [p >> 31 for p in r["h"]]
-        assert [fp.MASK - (p & fp.MASK) for p in r["h"]] == list(range(len(hashes)))
-        assert len(hashes) == (max(len((r["text"] or "").split()) - fp.K + 1, 1) if (r["text"] or "").split() else 0)
-        assert [fp.MASK - (p & fp.MASK) for p in r["c"]] == winnow(r["text"], hashes)
-        assert all(p in r["h"] for p in r["c"])
+        assert unpacked(r["e"]) == winnow(r["edited"]), (len(r["text"]), r["same"])
 
 
 def test_edited_texts(spark, docs, rows, none):
@@ -54,7 +88,19 @@ def test_edited_texts(spark, docs, rows, none):
 
 
 def test_shared_passages_share_a_choice(spark):
-    passage = " ".join(f"p{i}" for i in range(fp.K + fp.W - 1))
+    rng = random.Random(1)
+    passage = "".join(rng.choice("pqrstuvw") for _ in range(fp.K + fp.W - 1))
     df = spark.createDataFrame([(1, "some words " * 9 + passage + " tail" * 20), (2, "x " * 33 + passage)], "doc_id long, text string")
     a, b = (set(r["fingerprint"].split(",")) for r in fp.op10(df).collect())
     assert a & b
+
+
+def test_texts_without_spaces_and_string_ids(spark):
+    rng = random.Random(4)
+    rows = [("k%02d" % i, "".join(rng.choice("漢字仮名交文章の例") for _ in range(4000)), "clash", 1) for i in range(6)]
+    got = fp.op10(spark.createDataFrame(rows, "doc_id string, text string, choices string, _next int")).collect()
+    assert all(0.5 < r["near_edited"] < 0.7 and r["near_next"] < 0.1 for r in got)
+    by = {d: t for d, t, *_ in rows}
+    for r in got:
+        t, n = by[r["doc_id"]], by["k%02d" % ((int(r["doc_id"][1:]) + 1) % 6)]
+        assert r["edited_sha256"] == hashlib.sha256((t[:3000] + n[:1000]).encode()).hexdigest()
