@@ -9,7 +9,7 @@ texts share makes them share a chosen hash, whatever the script. Hash and positi
 Array functions carry no running state, so the hashes are not updated one after another: a pass over the array puts two
 neighbouring hashes of half the length together, h(a + b) = h(a) * BASE**len(b) + h(b), which gives the rolling hash's
 values in a pass for each doubling of K. The windows' minima are doubled likewise. A text is worked through in segments
-of SEGMENT code points, which bounds what is held at once; segments overlap by what a window needs, so they change nothing.
+of SEGMENT code points, which bounds what is held at once and keeps it near the processor; segments overlap by what a window needs, so they change nothing.
 
 Nulls: a null text counts as empty; a text without characters has no hashes. Two fingerprints without hashes are alike
 (1.0), one without and one with are not (0.0). Equal texts have equal fingerprints, since nothing else is used. Repeated
@@ -26,12 +26,12 @@ from pyspark.sql.window import Window
 
 from tessera.session import durable
 
-K = 24
+K = 16
 W = 64
 BASE = 1_000_003
 PRIME = (1 << 31) - 1
 MASK = (1 << 31) - 1
-SEGMENT = 1 << 16
+SEGMENT = 1 << 11
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -40,43 +40,38 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _doubled(values: Column, length: int, join: Callable[[Column, Column, int], Column]) -> Column:
-    """From values of single places those of runs of ``length``: join(left, right, places of the right one), no run
-    goes beyond the end. A run is put together of runs of powers of two, the longest first."""
-
-    def beside(left: Column, right: Column, shift: int, n: int) -> Column:
-        count = F.greatest(F.size(right) - shift, F.lit(0))
-        return F.zip_with(F.slice(left, F.lit(1), count), F.slice(right, F.lit(1 + shift), count), lambda x, y: join(x, y, n))
-
-    def grow(have: Column, size: int, made: Column | None, made_size: int) -> Column:
-        # ``have`` are the runs of ``size``, ``made`` those of the lower bits of ``length``
-        if length & size:
-            if made is None:
-                now, now_size = have, size
-            else:
-                return _let(beside(have, made, size, made_size), lambda m: more(have, size, m, made_size + size))
-        else:
-            now, now_size = made, made_size
-        return more(have, size, now, now_size)
-
-    def more(have: Column, size: int, made: Column | None, made_size: int) -> Column:
-        if made_size == length:
-            return made
-        return _let(beside(have, have, size, size), lambda h: grow(h, 2 * size, made, made_size))
-
-    return grow(values, 1, None, 0)
-
-
-def rolling_hashes(text: Column) -> Column:
-    """The Karp-Rabin hashes of all runs of K code points of a text, in order."""
+    """From values of single places those of runs of ``length``, a power of two: join(left, right, places of each).
+
+    As many as there are places; the last length - 1 of them run over the end and mean nothing.
+    """
+
+    def grow(have: Column, size: int) -> Column:
+        if size == length:
+            return have
+        return _let(F.zip_with(have, F.slice(have, F.lit(1 + size), F.size(have)), lambda x, y: join(x, y, size)), lambda h: grow(h, 2 * size))
+
+    return grow(values, 1)
+
+
+def _whole_runs(values: Column, length: int) -> Column:
+    return F.slice(values, F.lit(1), F.greatest(F.size(values) - (length - 1), F.lit(0)))
+
+
+def rolling_hashes(text: Column, last: Column) -> Column:
+    """The Karp-Rabin hashes of all runs of K code points of a text, in order, packed: (hash << 31) | (last - place)."""
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
     join = lambda x, y, n: (x * pow(BASE, n, PRIME) + y) % PRIME
-    return _let(codes, lambda c: _doubled(c, K, join))
+    half = K // 2
+    # the last doubling is a pass with the places at hand, so that it packs at once
+    pack = lambda h: F.transform(_whole_runs(h, K), lambda x, i: F.shiftleft(join(x, F.get(h, i + half), half), 31).bitwiseOR(last - i))
+    return _let(codes, lambda c: _let(_doubled(c, half, join), pack))
 
 
 def _windows(packed: Column) -> Column:
     """The smallest of each window of W (of all, if there are fewer), repeated ones once."""
     few = F.when(F.size(packed) > 0, F.array(F.array_min(packed))).otherwise(packed)
-    return F.when(F.size(packed) >= W, F.array_distinct(_doubled(packed, W, lambda x, y, _: F.least(x, y)))).otherwise(few)
+    least = _let(_doubled(packed, W, lambda x, y, _: F.least(x, y)), lambda m: F.array_distinct(_whole_runs(m, W)))
+    return F.when(F.size(packed) >= W, least).otherwise(few)
 
 
 def chosen(text: Column, offset: Column | int = 0) -> Column:
@@ -84,8 +79,7 @@ def chosen(text: Column, offset: Column | int = 0) -> Column:
     first = F.lit(offset).cast("long") if isinstance(offset, int) else offset.cast("long")
 
     def part(t: Column, at: Column) -> Column:
-        packed = lambda h: F.transform(h, lambda x, i: F.shiftleft(x, 31).bitwiseOR(F.lit(MASK) - (at + i)))
-        return _let(rolling_hashes(t), lambda h: _let(packed(h), _windows))
+        return _let(F.lit(MASK) - at, lambda last: _let(rolling_hashes(t, last), _windows))
 
     def whole(t: Column) -> Column:
         n = F.length(t)
