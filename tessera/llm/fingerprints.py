@@ -93,19 +93,33 @@ def chosen(text: Column, offset: Column | int = 0) -> Column:
     return F.when(F.length(text) > 0, _let(text, whole)).otherwise(none)
 
 
-def chosen_after_edit(before: Column, edited: Column, same: Column) -> Column:
-    """``chosen`` of an edited text whose first ``same`` code points are those of the text with the choices ``before``.
+def _place(p: Column) -> Column:
+    return F.lit(MASK) - p.bitwiseAND(F.lit(MASK))
 
-    Windows within the common part choose what they chose; only those that reach beyond it are worked out. What the
-    windows up to number J chose are the choices up to the place that window J chose, which is the smallest within it.
+
+def chosen_within(choices: Column, first: Column) -> Column:
+    """Those of a text's choices that windows within its ``first`` code points made.
+
+    They are the choices up to the place that the last such window chose, which is the smallest within it.
+    """
+    j = first - (K + W - 1)
+    last = F.array_min(F.filter(choices, lambda p: (_place(p) >= j) & (_place(p) < j + W)))
+    none = F.expr("cast(array() as array<bigint>)")
+    return F.when(j >= 0, _let(last, lambda m: F.filter(choices, lambda p: _place(p) <= _place(m)))).otherwise(none)
+
+
+def chosen_when_joined(before: Column, joined: Column, same: Column, after: Column) -> Column:
+    """``chosen`` of a text that is put together of the first ``same`` code points of one and the beginning of another.
+
+    ``before`` and ``after`` are choices of the two texts. Windows within either part choose what they chose there; only
+    those across the seam are worked out, some 2 * (K + W) code points whatever the texts' lengths.
     """
     span = K + W - 1
-    j = same - span  # the last window within the common part
-    kept = lambda p: F.lit(MASK) - p.bitwiseAND(F.lit(MASK))
-    last = F.array_min(F.filter(before, lambda p: (kept(p) >= j) & (kept(p) < j + W)))
-    head = F.when(same >= span, _let(last, lambda m: F.filter(before, lambda p: kept(p) <= kept(m)))).otherwise(F.expr("cast(array() as array<bigint>)"))
-    start = F.when(same >= span, j + 1).otherwise(0)
-    return F.array_union(head, chosen(F.substring(edited, (start + 1).cast("int"), F.length(edited)), start))
+    n = F.length(joined)
+    start = F.greatest(same - (span - 1), F.lit(0))
+    seam = F.when(n < span, joined).when((same > 0) & (same < n), F.substring(joined, (start + 1).cast("int"), (same + span - 1 - start).cast("int"))).otherwise("")
+    rest = F.transform(chosen_within(after, n - same), lambda p: p - same)  # the place counts down in the low bits
+    return F.array_union(F.array_union(chosen_within(before, same), chosen(seam, F.when(n < span, 0).otherwise(start))), rest)
 
 
 def hashes_of(chosen: Column) -> Column:
@@ -147,11 +161,11 @@ def next_ids(df: DataFrame, doc_id: str, n_chars: Column) -> DataFrame:
 
 
 def edited(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, text, n_chars, choices, same, edited, next_hashes: each row with its choices, its edited text, how many code
-    points that has in common with the text from the start, and the hashes of the next document.
+    """doc_id, text, n_chars, choices, same, edited, edited_choices, next_hashes: each row with its choices, its edited
+    text, how many code points that has in common with the text from the start, its choices, and the next document's hashes.
 
     The choices are made once a row, where it is read, and moved with the text, once and by id: the same exchange serves
-    the documents as themselves and as the next ones, which send their heads and hashes to the id before. Where rows
+    the documents as themselves and as the next ones, which send their heads, the heads' choices and all hashes to the id before. Where rows
     share an id the smallest head stands for the next text; rows with a null id have no next document, so their tail is cut.
     """
     # an id that has its name already is not aliased: the two reads of the exchange must be equal to the last node
@@ -162,19 +176,20 @@ def edited(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     docs = docs.withColumn("choices", chosen(F.col("text")))
     back = order.select(F.col("_next").alias("_to"), F.col("_id").alias("_from"), F.floor(F.col("_n") / 4).cast("int").alias("_q"))
     sent = docs.join(back.hint("shuffle_hash"), docs["doc_id"] == back["_to"])
-    sent = sent.select("_from", F.struct(F.expr("substring(text, 1, _q)").alias("head"), hashes_of(F.col("choices")).alias("hashes")).alias("_sent"))
+    sent = sent.select("_from", F.struct(F.expr("substring(text, 1, _q)").alias("head"), chosen_within(F.col("choices"), F.col("_q")).alias("start"), hashes_of(F.col("choices")).alias("hashes")).alias("_sent"))
     sent = sent.groupBy("_from").agg(F.min("_sent").alias("_sent"))
     got = docs.join(sent, docs["doc_id"] == sent["_from"], "left").drop("_from")
     got = got.unionByName(every.filter(F.col("doc_id").isNull()).withColumn("choices", chosen(F.col("text"))), allowMissingColumns=True)
     got = got.withColumn("n_chars", F.length("text").cast("long")).withColumn("same", (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int"))
     new = F.concat(F.expr("substring(text, 1, same)"), F.coalesce(F.expr("substring(_sent.head, 1, int(n_chars) - same)"), F.lit("")))
-    return got.select("doc_id", "text", "n_chars", "choices", "same", new.alias("edited"), F.coalesce(F.col("_sent.hashes"), F.expr("cast(array() as array<bigint>)")).alias("next_hashes"))
+    none = F.expr("cast(array() as array<bigint>)")
+    got = got.withColumn("edited", new)
+    both = chosen_when_joined(F.col("choices"), F.col("edited"), F.col("same"), F.coalesce(F.col("_sent.start"), none))
+    return got.select("doc_id", "text", "n_chars", "choices", "same", "edited", both.alias("edited_choices"), F.coalesce(F.col("_sent.hashes"), none).alias("next_hashes"))
 
 
 def op10(df: DataFrame) -> DataFrame:
-    e = edited(df)
-    e = e.withColumn("_b", chosen_after_edit(F.col("choices"), F.col("edited"), F.col("same")))
-    e = e.withColumns({"_ha": hashes_of(F.col("choices")), "_hb": hashes_of(F.col("_b"))})
+    e = edited(df).withColumns({"_ha": hashes_of(F.col("choices")), "_hb": hashes_of(F.col("edited_choices"))})
     return e.select(
         "doc_id",
         "n_chars",

@@ -56,16 +56,20 @@ def test_choices_match_a_rolling_hash_and_every_window(spark, monkeypatch, segme
         assert unpacked(r["c"]) == winnow(r["text"])
 
 
-def test_choices_after_an_edit_are_those_of_the_edited_text(spark):
+def test_choices_of_joined_texts_are_those_of_the_whole(spark):
     rng = random.Random(6)
     rows = []
     for t in texts()[:-1]:
         for same in {0, len(t) // 2, len(t) - len(t) // 4, len(t)}:
-            rows.append((t, t[:same] + "".join(rng.choice("xyz é🙂") for _ in range(rng.randrange(120))), same))
-    df = spark.createDataFrame(rows, "text string, edited string, same int")
-    got = df.withColumn("c", fp.chosen(F.col("text"))).withColumn("e", fp.chosen_after_edit(F.col("c"), F.col("edited"), F.col("same"))).collect()
+            for n in (0, 5, 79, 160, 400):
+                other = "".join(rng.choice("xyz é🙂") for _ in range(n))
+                q = rng.randrange(n + 1)
+                rows.append((t, other, t[:same] + other[:q], same))
+    df = spark.createDataFrame(rows, "text string, other string, joined string, same int")
+    got = df.withColumn("a", fp.chosen(F.col("text"))).withColumn("b", fp.chosen(F.col("other")))
+    got = got.withColumn("c", fp.chosen_when_joined(F.col("a"), F.col("joined"), F.col("same"), F.col("b"))).collect()
     for r in got:
-        assert unpacked(r["e"]) == winnow(r["edited"]), (len(r["text"]), r["same"])
+        assert unpacked(r["c"]) == winnow(r["joined"]), (len(r["text"]), r["same"], len(r["joined"]))
 
 
 def test_edited_texts(spark, docs, rows, none):
