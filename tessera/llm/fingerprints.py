@@ -102,10 +102,13 @@ def chosen_within(choices: Column, first: Column) -> Column:
 
     They are the choices up to the place that the last such window chose, which is the smallest within it.
     """
-    j = first - (K + W - 1)
-    last = F.array_min(F.filter(choices, lambda p: (_place(p) >= j) & (_place(p) < j + W)))
     none = F.expr("cast(array() as array<bigint>)")
-    return F.when(j >= 0, _let(last, lambda m: F.filter(choices, lambda p: _place(p) <= _place(m)))).otherwise(none)
+
+    def upto(j: Column) -> Column:
+        last = F.array_min(F.filter(choices, lambda p: (_place(p) >= j) & (_place(p) < j + W)))
+        return F.when(j >= 0, _let(last, lambda m: F.filter(choices, lambda p: _place(p) <= _place(m)))).otherwise(none)
+
+    return _let(first - (K + W - 1), upto)  # a number, not an expression to be worked out for each choice
 
 
 def chosen_when_joined(before: Column, joined: Column, same: Column, after: Column) -> Column:
