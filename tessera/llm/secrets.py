@@ -2,20 +2,23 @@
 
 Rules give spans of three kinds (``assign``, ``access``, ``hex``). The battery adds spans of kind ``random``:
 
-1. Candidates are maximal runs of token characters of ``MIN_RUN`` or more that touch no rule span.
-2. Each gets the encoding of the smallest alphabet that holds it (hex, base32, base36, base62, base64, base64url).
-3. Chi-squared statistic of uniformity over that alphabet, Wald-Wolfowitz runs about the alphabet's middle, and
-   lag-1 serial correlation of the digit values. A candidate must not be rejected as random by any of the three
-   (Bonferroni over the three, level ``ALPHA``).
-4. The p-value against the null "written by a person": the chi-squared statistic of a string with the letter
-   coincidence ``PROSE_KAPPA`` of prose is about normal with mean k(1+(n-1)kappa)-n and a variance that grows with
-   n, so the same evenness is stronger evidence in a longer string; it is multiplied by the chance that prose stays
-   within the alphabet over n characters.
+1. Candidates are maximal runs of token characters of ``MIN_RUN`` or more that touch no rule span, and the parts of
+   letters and digits of ``MIN_RUN`` or more in a run with separators (paths, slugs). A part counts only where the whole
+   run is not found.
+2. Each gets the encoding of the smallest alphabet that holds it (hex, base32, base36, base62, base64, base64url, and
+   their union for runs with the signs of both).
+3. Three tests: chi-squared statistic of uniformity over that alphabet, Wald-Wolfowitz runs of kinds of characters
+   (digits, capitals, small letters, signs), lag-1 serial correlation of the digit values. Each has two tails. A candidate must not be rejected as random by
+   any of the three (Bonferroni over the three, level ``ALPHA``). And each gives a p-value against the null "written by a
+   person": that null repeats letters (coincidence ``PROSE_KAPPA``, so that the statistic is about normal with mean
+   k(1+(n-1)kappa)-n), changes between kinds at a rate of at most ``PROSE_CHANGES`` (bounded by Chernoff), and has
+   values that go with their neighbours (correlation ``PROSE_SERIAL`` in strings of several kinds).
+4. The three p-values are combined by their harmonic mean, which holds whatever depends on what; that one is controlled.
 5. Benjamini-Hochberg at rate ``FDR`` within each length class over the candidates of the whole corpus. The p-values
    are counted in bins of 1/20 of a decade and each counts as its bin's upper edge, so the step is a sum over at most
    a few thousand bins, never a sort of all candidates, and errs on the side of fewer discoveries.
 
-Nulls: a null text counts as empty; rows with null ids, repeated rows and empty tables give one row per input row.
+Nulls: a null text counts as empty. Rows with null ids and repeated rows give one row each, an empty table an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 ALPHA = 1e-3
 FDR = 0.01
 PROSE_KAPPA = 0.06
+PROSE_CHANGES = 0.1
+PROSE_SERIAL = 0.25
 LENGTH_CLASSES = (28, 40, 64, 128)
 BINS_PER_DECADE = 20
 FLOOR_P = 1e-290
@@ -45,29 +50,39 @@ FLOOR_P = 1e-290
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
 DIGITS = "0123456789"
-#: name, pattern of the whole run, alphabet in digit order, chance that a prose character is in it.
+#: name, pattern of the whole run, alphabet in digit order.
 ENCODINGS = (
-    ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", 0.35),
-    ("base32", "^[A-Z2-7]+={0,2}$", UPPER + "234567", 0.2),
-    ("base36", "^[a-z0-9]+$", DIGITS + LOWER, 0.98),
-    ("base62", "^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER, 0.99),
-    ("base64", "^[A-Za-z0-9+/]+={0,2}$", UPPER + LOWER + DIGITS + "+/", 1.0),
-    ("base64url", "^[A-Za-z0-9_-]+={0,2}$", UPPER + LOWER + DIGITS + "-_", 1.0),
+    ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef"),
+    ("base32", "^[A-Z2-7]+={0,2}$", UPPER + "234567"),
+    ("base36", "^[a-z0-9]+$", DIGITS + LOWER),
+    ("base62", "^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER),
+    ("base64", "^[A-Za-z0-9+/]+={0,2}$", UPPER + LOWER + DIGITS + "+/"),
+    ("base64url", "^[A-Za-z0-9_-]+={0,2}$", UPPER + LOWER + DIGITS + "-_"),
+    ("union", "^[A-Za-z0-9+/_-]+={0,2}$", UPPER + LOWER + DIGITS + "+/-_"),
 )
+PART = r"[A-Za-z0-9]{20,}"
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+def _running(steps: Column) -> Column:
+    """Exclusive running sums of an int array as longs, level by level: sums of blocks of BLOCK, of blocks of those, and
+    back down, so that n entries take about n * 2 * BLOCK steps however many there are."""
+    block = 16
+    add = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x)
+    deepest = 6  # 16 ** 6 matches and more cannot stand in a string of 2 ** 31 bytes
 
+    def climb(values: Column, depth: int) -> Column:
+        if depth == deepest:
+            return F.transform(values, lambda _, i: add(F.slice(values, F.lit(1), i)))
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda b: add(F.slice(values, b * block + 1, F.lit(block))))
+        above = _let(sums, lambda v: F.when(F.size(v) > 1, climb(v, depth + 1)).otherwise(F.array(F.lit(0).cast("long"))))
+        return _let(above, lambda up: F.transform(values, lambda _, i: F.get(up, F.floor(i / block).cast("int")) + add(F.slice(values, F.floor(i / block).cast("int") * block + 1, i % block))))
 
-def _starts(steps: Column) -> Column:
-    """Exclusive running sums of an int array, through sums of blocks of 64: n * (n / 64 + 64) steps."""
-    block = 64
-    sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / block).cast("int")), lambda b: _sum(F.slice(steps, b * block + 1, F.lit(block))))
-    return F.transform(
-        steps,
-        lambda _, i: _sum(F.slice(sums, F.lit(1), F.floor(i / block).cast("int"))) + _sum(F.slice(steps, F.floor(i / block).cast("int") * block + 1, i % block)),
-    )
+    return _let(F.transform(steps, lambda x: x.cast("long")), lambda v: climb(v, 1))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
 def _find(df: DataFrame, text: str, kind: str, pattern: str, value_group: int | None = None) -> DataFrame:
@@ -81,7 +96,7 @@ def _find(df: DataFrame, text: str, kind: str, pattern: str, value_group: int |
     if value_group:
         df = df.withColumn("_val", F.when(hit, F.regexp_extract_all(col, pat, F.lit(value_group))).otherwise(empty))
     df = df.withColumn("_step", F.when(hit, F.zip_with("_gap", "_m", lambda g, m: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(m), F.lit(0)))))
-    df = df.withColumn("_at", F.when(hit, _starts(F.col("_step"))))
+    df = df.withColumn("_at", F.when(hit, _running(F.col("_step"))))
     body = F.col("_val") if value_group else F.col("_m")
     spans = F.transform(
         "_m",
@@ -119,31 +134,30 @@ def _chi2_z(x: Column, df: Column) -> Column:
 
 
 def battery(df: DataFrame, body: str = "body") -> DataFrame:
-    """Adds ``encoding``, ``p_uniform``, ``p_runs``, ``p_serial`` and ``p_prose`` for a column of strings.
+    """Adds ``encoding``, ``p_uniform``, ``p_runs``, ``p_serial`` (against random strings), ``h_uniform``, ``h_runs``, ``h_serial``
+    (against written ones) and ``p`` (the last three combined) for a column of strings.
 
-    Strings outside all alphabets, and null or empty ones, get nulls. Two-sided tests on constant strings give 0.
+    Strings outside all alphabets, of fewer than two characters, and null ones get nulls. Two-sided tests on constant
+    strings give 0.
     """
     core = F.regexp_replace(F.col(body), "=+$", "")
-    name = F.lit(None).cast("string")
-    low, size, stay, bits = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("string")
-    for enc, pattern, alphabet, chance in reversed(ENCODINGS):
+    name, low, size = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("double")
+    for enc, pattern, alphabet in reversed(ENCODINGS):
         is_it = F.col(body).rlike(pattern)
         name = F.when(is_it, F.lit(enc)).otherwise(name)
         low = F.when(is_it, F.lit(alphabet)).otherwise(low)
         size = F.when(is_it, F.lit(float(len(alphabet)))).otherwise(size)
-        stay = F.when(is_it, F.lit(chance)).otherwise(stay)
-        half = len(alphabet) // 2
-        value = F.lower(core) if enc == "hex" else core
-        bits = F.when(is_it, F.translate(value, alphabet, "0" * half + "1" * (len(alphabet) - half))).otherwise(bits)
-    df = df.withColumns({"encoding": name, "_abc": low, "_k": size, "_stay": stay, "_bits": bits, "_core": F.when(name == "hex", F.lower(core)).otherwise(core)})
+    df = df.withColumns({"encoding": name, "_abc": low, "_k": size, "_core": F.when(name == "hex", F.lower(core)).otherwise(core)})
     df = df.withColumn("_n", F.length("_core").cast("double"))
     df = df.withColumn("_chars", F.split("_core", ""))
     df = df.withColumn("_sq", F.aggregate(F.array_distinct("_chars"), F.lit(0.0), lambda a, d: a + F.pow((F.length("_core") - F.length(F.replace("_core", d, F.lit("")))).cast("double"), F.lit(2.0))))
-    df = df.withColumn("_x2", F.col("_k") * F.col("_sq") / F.col("_n") - F.col("_n"))
-    df = df.withColumn("_ones", F.length(F.replace("_bits", F.lit("0"), F.lit(""))).cast("double"))
-    df = df.withColumn("_runs", F.length(F.regexp_replace("_bits", r"0+|1+", "x")).cast("double"))
+    df = df.withColumn("_x2", F.try_divide(F.col("_k") * F.col("_sq"), F.col("_n")) - F.col("_n"))
+    df = df.withColumn("_runs", F.length(F.regexp_replace("_core", r"[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]+", "x")).cast("double"))
+    # how many characters are of each kind, and so the chance that two random ones in a row differ in kind
+    share = lambda pattern: F.pow(F.try_divide(F.length(F.regexp_replace("_abc", pattern, "")).cast("double"), F.col("_k")), F.lit(2.0))
+    df = df.withColumn("_alike", share("[^0-9]+") + share("[^A-Z]+") + share("[^a-z]+") + share("[0-9A-Za-z]+"))
     df = df.withColumn("_v", F.transform("_chars", lambda c: F.call_function("instr", F.col("_abc"), c).cast("double")))
-    df = df.withColumn("_mean", F.aggregate("_v", F.lit(0.0), lambda a, x: a + x) / F.col("_n"))
+    df = df.withColumn("_mean", F.try_divide(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x), F.col("_n")))
     df = df.withColumn("_var", F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean"))))
     df = df.withColumn(
         "_lag",
@@ -153,28 +167,36 @@ def battery(df: DataFrame, body: str = "body") -> DataFrame:
             lambda a, x: a + x,
         ),
     )
-    n, ones, k = F.col("_n"), F.col("_ones"), F.col("_k")
-    zeros = n - ones
-    mean_runs = 2 * ones * zeros / n + 1
-    var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
-    z_runs = F.when(var_runs > 0, (F.col("_runs") - mean_runs) / F.sqrt(var_runs)).otherwise(F.lit(-40.0))
-    z_serial = F.when(F.col("_var") > 0, (F.col("_lag") / F.col("_var") + 1 / n) * F.sqrt(n)).otherwise(F.lit(40.0))
+    df = df.withColumn("_r", F.try_divide(F.col("_lag"), F.col("_var")))
+    n, k = F.col("_n"), F.col("_k")
+    steps, changes = n - 1, F.col("_runs") - 1
+    # changes of kind along a random string: each with the chance 1 - alike, nearly independent of one another
+    mean, var = steps * (1 - F.col("_alike")), steps * (1 - F.col("_alike")) * F.col("_alike")
+    z_runs = F.when(F.col("_alike") > 0.999, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(changes - mean, F.sqrt(var)), F.lit(-40.0)))
+    z_serial = F.when(F.col("_var") > 0, (F.col("_r") + F.try_divide(F.lit(1.0), n)) * F.sqrt(n)).otherwise(F.lit(40.0))
     expect = k * (1 + (n - 1) * PROSE_KAPPA) - n
     surplus = F.greatest(expect - (k - 1), F.lit(0.0))
     z_prose = (F.col("_x2") - expect) / F.sqrt(2 * (k - 1 + 2 * surplus))
+    z_human = F.when(F.col("_runs") > 1, (F.col("_r") - PROSE_SERIAL) * F.sqrt(n)).otherwise(F.lit(0.0))
+    # Chernoff's bound of a binomial upper tail: exp(-steps * divergence of the rate seen from the null's)
+    rate = F.least(F.greatest(F.try_divide(changes, steps), F.lit(PROSE_CHANGES)), F.lit(1 - 1e-9))
+    away = rate * F.log(rate / PROSE_CHANGES) + (1 - rate) * F.log((1 - rate) / (1 - PROSE_CHANGES))
     known = F.col("encoding").isNotNull() & (n > 1)
-    # each z is a column of its own, and the four tails one lambda over their array: the expression trees stay small
-    df = df.withColumn("_z", F.array(_chi2_z(F.col("_x2"), k - 1), -F.abs(z_runs), -F.abs(z_serial), z_prose))
+    # each z is a column of its own, and the tails one lambda over their array: the expression trees stay small
+    df = df.withColumn("_z", F.when(known, F.array(_chi2_z(F.col("_x2"), k - 1), -F.abs(z_runs), -F.abs(z_serial), z_prose, z_human)))
     df = df.withColumn("_p", F.transform("_z", _normal_cdf))
     df = df.withColumns(
         {
             "p_uniform": F.when(known, F.get("_p", F.lit(0))),
             "p_runs": F.when(known, 2 * F.get("_p", F.lit(1))),
             "p_serial": F.when(known, 2 * F.get("_p", F.lit(2))),
-            "p_prose": F.when(known, F.greatest(F.get("_p", F.lit(3)) * F.exp(n * F.log(F.col("_stay"))), F.lit(FLOOR_P))),
+            "h_uniform": F.when(known, F.greatest(F.get("_p", F.lit(3)), F.lit(FLOOR_P))),
+            "h_runs": F.when(known, F.greatest(F.exp(-steps * away), F.lit(FLOOR_P))),
+            "h_serial": F.when(known, F.greatest(F.get("_p", F.lit(4)), F.lit(FLOOR_P))),
         }
     )
-    return df.drop("_z", "_p", "_abc", "_k", "_stay", "_bits", "_core", "_n", "_chars", "_sq", "_x2", "_ones", "_runs", "_v", "_mean", "_var", "_lag")
+    df = df.withColumn("p", F.when(known, 3 / (1 / F.col("h_uniform") + 1 / F.col("h_runs") + 1 / F.col("h_serial"))))
+    return df.drop("_z", "_p", "_abc", "_k", "_core", "_n", "_chars", "_sq", "_x2", "_runs", "_alike", "_v", "_mean", "_var", "_lag", "_r")
 
 
 def _length_class(n: Column) -> Column:
@@ -215,13 +237,18 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",))
     df = df.withColumn("cand", F.filter("cand", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
     df = durable(df.withColumn("base", F.transform("base", lambda s: F.struct(s["start"], s["end"], s["kind"]))).withColumn("_row", F.expr("uuid()")))
     cands = df.select("_row", F.explode("cand").alias("c")).select("_row", "c.start", "c.end", "c.kind", "c.body")
-    cands = battery(cands).select(
-        "_row", "start", "end", "kind", (F.least("p_uniform", "p_runs", "p_serial") >= ALPHA / 3).alias("even"), _length_class(F.length("body")).alias("lc"), _bin(F.col("p_prose")).alias("bin")
+    # the parts of letters and digits of runs with separators stand beside the runs
+    parts = _find(cands.filter(F.col("body").rlike("[+/_-]")), "body", "random", PART).select("_row", F.col("start").alias("_s"), F.explode("_sp_random").alias("c"))
+    parts = parts.select("_row", (F.col("_s") + F.col("c.start")).alias("start"), (F.col("_s") + F.col("c.end")).alias("end"), "c.kind", "c.body")
+    cands = battery(cands.unionByName(parts)).select(
+        "_row", "start", "end", "kind", (F.least("p_uniform", "p_runs", "p_serial") >= ALPHA / 3).alias("even"), _length_class(F.length("body")).alias("lc"), _bin(F.col("p")).alias("bin")
     )
     cands = durable(cands).filter(F.col("bin").isNotNull())
     limits = discovery_limits(cands)
     found = cands.join(F.broadcast(limits), "lc").filter(F.col("even") & (F.col("bin") >= F.col("limit")))  # one row per length class
-    found = found.groupBy("_row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("more"))
+    found = found.groupBy("_row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("more"))  # what one text holds
+    inside = lambda s: F.exists("more", lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"]))
+    found = found.withColumn("more", F.filter("more", lambda s: ~inside(s)))
     empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,kind:int>>)")
     out = df.join(found, "_row", "left").withColumn("_all", F.concat("base", F.coalesce("more", empty)))
     order = F.transform("_all", lambda s: F.struct(s["start"], s["kind"], s["end"]))
@@ -235,15 +262,19 @@ def span_string(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each maximal run of overlapping spans replaced by ``mark``."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The text with each maximal run of overlapping spans replaced by ``mark``.
+
+    The pieces between spans are cut out one by one and put together once, so the text is not copied for each span.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<at:bigint,to:bigint>>)").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
+        gap = F.array(F.struct(acc["at"].alias("at"), s["start"].alias("to")))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    cut = lambda a, z: F.substring(text, (a + 1).cast("int"), (z - a).cast("int"))
+    last = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), F.length(text).cast("long").alias("to"))))
+    return F.array_join(F.transform(F.aggregate(spans, start, step, last), lambda g: cut(g["at"], g["to"])), mark)
 
 
 def op1(df: DataFrame) -> DataFrame:
