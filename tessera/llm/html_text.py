@@ -2,11 +2,14 @@
 
 ``parse`` builds a tree the way browsers do where it matters for text: raw-text elements, void elements, end tags that
 are implied (p, li, dt/dd, option, table parts), a table's missing body, and end tags without a start. ``render`` gives
-the visible text: nothing from head, script, style, template or hidden elements (the hidden attribute, display:none or
-visibility:hidden in a style attribute or for a plain selector of a style sheet; aria-hidden does not hide), block spacing, list markers with nesting, preformatted text as it is, and
-tables with cells aligned by column.
-
-Nulls: a null page gives a null text, an empty one an empty text. Pages are handled row by row, whatever their length.
+the visible text: nothing from head, script, style, template or elements that are not displayed (the hidden attribute, or
+display:none in a style attribute or for a plain selector of a style sheet; aria-hidden does not hide), no text where
+visibility is hidden by the same means and not made visible again further in, block spacing, list markers with nesting,
+preformatted text as it is, and tables with cells aligned by column over column and row spans. Text that stands in a
+table outside of its cells comes before the table, as browsers place it.
+
+Nulls: a null page gives a null text, an empty one an empty text. Pages are handled row by row, whatever their length and
+depth: nothing here calls itself. Repeated rows give repeated rows, an empty table an empty result.
 """
 
 from __future__ import annotations
@@ -57,19 +60,20 @@ SCOPE = frozenset("table td th caption html template object".split())
 
 TAG = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<end>[A-Za-z][^\s/>]*)[^>]*>|<(?P<start>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
-HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+NOT_DISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
-
-
-#: Tables nested deeper than this are rendered as plain blocks.
-DEEPEST = 50
+#: The most that the standard lets a cell span, and the numbers that lists can count to.
+MOST_COLUMNS, MOST_ROWS, MOST_COUNT = 1000, 65534, (1 << 31) - 1
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "shown", "lines")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.kids = tag, attrs, []
+        self.shown = True  # whether its own text is visible
+        self.lines: list[str] | None = None  # of a table, once it is laid out
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -85,7 +89,8 @@ def parse(html: str) -> Node:
     """The tree of a page."""
     root = Node("html", {})
     stack = [root]
-    rules: set[str] = set()
+    gone: set[str] = set()
+    unseen: set[str] = set()
     opened: Counter[str] = Counter()  # of the stack, so that what is not open is not looked for
     at, n = 0, len(html)
 
@@ -116,6 +121,8 @@ def parse(html: str) -> Node:
         m = TAG.search(html, at)
         text = html[at : m.start()] if m else html[at:]
         if text:
+            if stack[-1].tag == "head" and text.strip():
+                cut_at(len(stack) - 1)  # bare text ends a head
             stack[-1].kids.append(unescape(text))
         if not m:
             break
@@ -163,27 +170,37 @@ def parse(html: str) -> Node:
                 node.kids.append(unescape(body) if tag in ESCAPABLE else body)
                 at = end.end() if end else n
                 if tag == "style":
-                    rules |= hiding_selectors(body)
+                    for found, rule in ((gone, NOT_DISPLAYED), (unseen, VISIBILITY)):
+                        found |= hiding_selectors(body, rule)
                 continue
             push(node)
-    if rules:
-        todo = [root]
-        while todo:
-            node = todo.pop()
-            names = {node.tag, f"#{node.attrs.get('id')}", *(f".{c}" for c in node.attrs.get("class", "").split())}
-            if rules & (names | {f"{node.tag}{x}" for x in names}):
-                node.attrs["hidden"] = ""
-            todo.extend(kid for kid in node.kids if not isinstance(kid, str))
+    todo = [root] if gone or unseen or "visibility" in html.lower() else []
+    while todo:  # parents come before their children, which take over what they do not set
+        node = todo.pop()
+        names = {node.tag, f"#{node.attrs.get('id')}", *(f".{c}" for c in node.attrs.get("class", "").split())}
+        names |= {f"{node.tag}{x}" for x in names}
+        if gone & names:
+            node.attrs["hidden"] = ""
+        said = VISIBILITY.findall(node.attrs.get("style", ""))
+        if said:
+            node.shown = said[-1].lower() == "visible"
+        elif unseen & names:
+            node.shown = False
+        for kid in node.kids:
+            if not isinstance(kid, str):
+                kid.shown = node.shown
+                todo.append(kid)
     return root
 
 
-def hiding_selectors(css: str) -> set[str]:
-    """The plain selectors (tag, .class, #id, tag.class, tag#id) that a style sheet hides outside of @-rules."""
+def hiding_selectors(css: str, rule: re.Pattern) -> set[str]:
+    """The plain selectors (tag, .class, #id, tag.class, tag#id) that a style sheet hides by ``rule`` outside of @-rules."""
     css = re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.S)
     css = re.sub(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}|@[^{};]*;", "", css)
     found: set[str] = set()
     for names, body in re.findall(r"([^{}]+)\{([^{}]*)\}", css):
-        if HIDES.search(body):
+        hit = rule.search(body)
+        if hit and not (hit.groups() and hit[1].lower() == "visible"):
             found |= {x for x in (y.strip() for y in names.split(",")) if re.fullmatch(r"[A-Za-z][\w-]*|(?:[A-Za-z][\w-]*)?[.#][\w-]+", x)}
     return {x if x[0] in ".#" else re.sub(r"^[^.#]+", lambda m: m[0].lower(), x) for x in found}
 
@@ -194,7 +211,7 @@ def hidden(node: Node) -> bool:
     if node.attrs:
         if "hidden" in node.attrs and node.attrs["hidden"].lower() != "until-found":
             return True
-        if "style" in node.attrs and HIDES.search(node.attrs["style"]):
+        if "style" in node.attrs and NOT_DISPLAYED.search(node.attrs["style"]):
             return True
         if node.tag == "input" and node.attrs.get("type", "").lower() == "hidden":
             return True
@@ -248,6 +265,15 @@ class Writer:
         self.mark = ""
         self.lines.append((lead + s).rstrip())
 
+    def whole(self, lines: list[str]) -> None:
+        """Lines as they are, all at once where no indent is to be put before them."""
+        if self.indent or self.mark or not lines:
+            for s in lines:
+                self.line(s)
+        else:
+            self.line(lines[0])
+            self.lines.extend(lines[1:])
+
     def end(self) -> None:
         if self.now:
             self.lines.append("".join(self.now).rstrip())
@@ -263,55 +289,122 @@ def width(s: str) -> int:
     return len(s) if s.isascii() else sum(2 if east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def _number(value: str | None, default: int, low: int = 1, high: int = 1000) -> int:
-    m = re.match(r"\s*([+-]?\d{1,6})", value or "")
+def _number(value: str | None, default: int, low: int, high: int) -> int:
+    m = re.match(r"\s*([+-]?\d{1,12})", value or "")
     return min(high, max(low, int(m[1]))) if m else default
 
 
-def table_lines(table: Node, depth: int) -> list[str]:
-    """The table's rows with columns padded to the widest cell; cells that span columns count for their first."""
-    rows: list[list[list[str]]] = []
-    captions: list[str] = []
-    todo = list(reversed(table.kids))
+def _rows(table: Node) -> tuple[list, list[Node], list[list[tuple[int, Node]]]]:
+    """What of a table stands outside of its cells, its captions, and its rows of (column, cell).
+
+    A cell takes the first column that no row span from above holds.
+    """
+    stray: list = []
+    captions: list[Node] = []
+    rows: list[list[tuple[int, Node]]] = []
+    held: dict[int, int] = {}  # column -> rows that a span still covers, the next one included
+    todo: list = [("", kid) for kid in reversed(table.kids)]
     while todo:
-        kid = todo.pop()
-        if isinstance(kid, str) or hidden(kid):
-            if isinstance(kid, str) and kid.strip():
-                captions.append(SPACES.sub(" ", kid).strip())
+        group, kid = todo.pop()
+        if kid == "/":
+            held.clear()  # spans end with their group of rows
+        elif isinstance(kid, str):
+            stray.append(kid) if kid.strip() else None
+        elif hidden(kid) or kid.tag in ("col", "colgroup"):
             continue
-        if kid.tag in ("tbody", "thead", "tfoot"):
-            todo.extend(reversed(kid.kids))
+        elif kid.tag == "caption":
+            captions.append(kid)
+        elif kid.tag in ("tbody", "thead", "tfoot") and not group:
+            todo.append((kid.tag, "/"))
+            todo.extend((kid.tag, k) for k in reversed(kid.kids))
         elif kid.tag == "tr":
-            cells: list[list[str]] = []
+            cells: list[tuple[int, Node]] = []
+            column = 0
+            new: dict[int, int] = {}
             for cell in kid.kids:
-                if isinstance(cell, str) or hidden(cell):
+                if isinstance(cell, str) or cell.tag not in ("td", "th"):
+                    if not isinstance(cell, str) or cell.strip():
+                        stray.append(cell)
                     continue
-                cells.append(_render(cell.kids, depth))
-                cells.extend([] for _ in range(_number(cell.attrs.get("colspan"), 1, 1, 100) - 1))
-            if cells:
-                rows.append(cells)
-        elif kid.tag not in ("col", "colgroup"):
-            captions.extend(_render([kid], depth))
-    wide = [0] * max((len(r) for r in rows), default=0)
-    for r in rows:
-        for i, cell in enumerate(r):
-            wide[i] = max([wide[i], *map(width, cell)])
-    used = [i for i, w in enumerate(wide) if w]
-    out = list(captions)
-    for r in rows:
-        for k in range(max((len(c) for c in r), default=0)):
-            line = []
-            for i in used:
-                s = r[i][k] if i < len(r) and k < len(r[i]) else ""
-                line.append(s + " " * (wide[i] - width(s)))
-            out.append("  ".join(line).rstrip())
+                if hidden(cell):
+                    continue
+                while column in held:
+                    column += 1
+                cells.append((column, cell))
+                wide = _number(cell.attrs.get("colspan"), 1, 1, MOST_COLUMNS)
+                high = _number(cell.attrs.get("rowspan"), 1, 0, MOST_ROWS) or MOST_ROWS  # 0: to the group's end
+                if high > 1:
+                    new.update((c, high) for c in range(column, column + wide))
+                column += wide
+            held.update(new)
+            held = {c: n - 1 for c, n in held.items() if n > 1}
+            rows.append(cells)
+        else:
+            stray.append(kid)
+    return stray, captions, rows
+
+
+def table_lines(table: Node) -> list[str]:
+    """The table's rows with columns padded to the widest cell. A cell that spans columns goes over their widths and the
+    gaps between; where it is wider the last of them widens."""
+    stray, captions, rows = _rows(table)
+    out = _render(stray) if stray else []
+    for c in captions:
+        out.extend(_render([c]))
+    laid = [[(column, _number(cell.attrs.get("colspan"), 1, 1, MOST_COLUMNS), _render(cell.kids, cell)) for column, cell in row] for row in rows]
+    used = sorted({column for row in laid for column, _, lines in row if lines})
+    if len(used) <= 1:
+        for row in laid:
+            for _, _, lines in row:
+                out.extend(lines)
+        return out
+    wide = dict.fromkeys(used, 0)
+    spans: list[tuple[list[int], int]] = []
+    for row in laid:
+        for column, span, lines in row:
+            if lines:
+                most = max(map(width, lines))
+                over = [c for c in used if column <= c < column + span] if span > 1 else [column]
+                if len(over) > 1:
+                    spans.append((over, most))
+                else:
+                    wide[column] = max(wide[column], most)
+    for over, most in sorted(spans, key=lambda x: (len(x[0]), x[0])):
+        wide[over[-1]] += max(0, most - sum(wide[c] for c in over) - 2 * (len(over) - 1))
+    starts, at = {}, 0
+    for c in used:
+        starts[c] = at
+        at += wide[c] + 2
+    for row in laid:
+        row = [(starts[column], lines) for column, _, lines in row if lines]
+        for k in range(max((len(lines) for _, lines in row), default=0)):
+            line, end = [], 0
+            for start, lines in row:
+                if k < len(lines) and lines[k]:
+                    line.append(" " * (start - end) + lines[k])
+                    end = start + width(lines[k])
+            out.append("".join(line).rstrip())
     return out
 
 
-def _render(kids: list, depth: int = 0) -> list[str]:
+def lay_out(root: Node) -> None:
+    """Lays out every table below ``root``, the inner ones first."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "table":
+            order.append(node)
+        todo.extend(kid for kid in node.kids if not isinstance(kid, str))
+    for table in reversed(order):
+        table.lines = table_lines(table)
+
+
+def _render(kids: list, parent: Node | None = None) -> list[str]:
+    """The lines of ``kids``, whose tables are laid out already; bare strings are as visible as ``parent``."""
     w = Writer()
     # an explicit stack: pages may nest deeper than Python's calls
-    todo: list = [("open", k, 0) for k in reversed(kids)]
+    shown = parent is None or parent.shown
+    todo: list = [("open", k, shown) for k in reversed(kids)]
     lists: list[list] = []
     pre = 0
     while todo:
@@ -327,10 +420,12 @@ def _render(kids: list, depth: int = 0) -> list[str]:
                 w.mark = ""
             if item.tag in BLOCK:
                 w.block(2 if item.tag in SPACED and not (lists and item.tag in ("ul", "ol")) else 1)
-            elif item.tag == "q":
+            elif item.tag == "q" and item.shown:
                 w.text("”")
             continue
         if isinstance(item, str):
+            if not extra:
+                continue
             if pre:
                 first, *rest = item.replace("\r\n", "\n").split("\n")
                 if first:
@@ -349,41 +444,43 @@ def _render(kids: list, depth: int = 0) -> list[str]:
             continue
         if hidden(item):
             continue
-        tag, extra = item.tag, 0
+        tag, extra, shown = item.tag, 0, item.shown
         if tag == "br":
             if w.now:
                 w.end()
             else:
                 w.gap = max(w.gap, 1) + 1 if w.gap else 1
             continue
-        if tag == "img" and item.attrs.get("alt"):
-            w.text(item.attrs["alt"])
+        if tag == "img":
+            if item.attrs.get("alt") and shown:
+                w.text(item.attrs["alt"])
             continue
-        if tag == "input" and item.attrs.get("value") and item.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel"):
-            w.text(f" {item.attrs['value']} ")
+        if tag == "input":
+            if item.attrs.get("value") and shown and item.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel"):
+                w.text(f" {item.attrs['value']} ")
             continue
         if tag in BLOCK:
             w.block(2 if tag in SPACED and not (lists and tag in ("ul", "ol")) else 1)
         if tag == "hr":
-            w.line("---")
+            if shown:
+                w.line("---")
             w.block(2)
             continue
-        if tag == "table" and depth < DEEPEST:
-            for s in table_lines(item, depth + 1):
-                w.line(s)
+        if tag == "table":
+            w.whole(item.lines or [])
             w.block(2)
             continue
         if tag in ("ul", "ol", "menu", "dir"):
-            lists.append([tag, _number(item.attrs.get("start"), 1, -100000, 100000) if tag == "ol" else 0])
+            lists.append([tag, _number(item.attrs.get("start"), 1, -MOST_COUNT, MOST_COUNT) if tag == "ol" else 0])
         elif tag == "li":
             mark = "- "
             if lists and lists[-1][0] == "ol":
-                value = _number(item.attrs.get("value"), lists[-1][1], -100000, 100000)
+                value = _number(item.attrs.get("value"), lists[-1][1], -MOST_COUNT, MOST_COUNT)
                 lists[-1][1] = value + 1
                 mark = f"{value}. "
             extra = len(mark)
             w.indent += " " * extra
-            w.mark = mark
+            w.mark = mark if shown else ""
         elif tag == "blockquote":
             extra = 2
             w.indent += "  "
@@ -394,12 +491,12 @@ def _render(kids: list, depth: int = 0) -> list[str]:
             pre += 1
             if item.kids and isinstance(item.kids[0], str) and item.kids[0].startswith("\n"):
                 item.kids[0] = item.kids[0][1:]
-        elif tag == "q":
+        elif tag == "q" and shown:
             w.text("“")
         elif tag in ("td", "th"):
             w.blank = True
         todo.append(("close", item, extra))
-        todo.extend(("open", k, 0) for k in reversed(item.kids))
+        todo.extend(("open", k, shown) for k in reversed(item.kids))
     w.end()
     lines = w.lines
     while lines and not lines[-1]:
@@ -409,7 +506,11 @@ def _render(kids: list, depth: int = 0) -> list[str]:
 
 def render(html: str | None) -> str | None:
     """The visible text of a page."""
-    return None if html is None else "\n".join(_render(parse(html).kids))
+    if html is None:
+        return None
+    root = parse(html)
+    lay_out(root)
+    return "\n".join(_render(root.kids))
 
 
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
