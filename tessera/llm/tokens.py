@@ -1,7 +1,7 @@
-"""Token counts and best-fit packing inputs: what needs a public tokenizer's vocabulary file.
+"""Token counts by the compiled transducer (see transducer.py) over Arrow batches.
 
-``count_tokens`` counts by the compiled transducer (see transducer.py), ``piece_table`` cuts documents into pieces of
-at most one sequence. Both run over Arrow batches; state per worker is bounded whatever the input.
+Null texts count as empty. Null ids and repeated rows give one row each, an empty table an empty result. The state of a
+worker is bounded whatever the input: states and words are dropped at a limit, and freed at once.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
     src = df.select(*[F.col(c).alias(k) for c, k in zip(keep, names)], F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the automaton is acyclic garbage-free work: collecting would walk all its states again and again
+        # dropped states are undone by hand, so there is nothing to collect; looking for it would walk all states again and again
         gc.disable()
         try:
             count = machine(path).count

@@ -13,20 +13,24 @@ be negative when a merge takes earlier tokens back.
 States are built when first reached (lazy determinisation) and dropped together when there are MAX_STATES, so memory
 is bounded and results are the same. Special strings cut the text, as the library does, and count one each.
 
-A chunk of text has a state map: entry state -> (exit state, count). From the first change from non-space to space on,
-every entry state leads to the same state, so the map is kept as the text before it (``head``), the count after it and
-the exit state; a chunk without such a change maps as its own text. Maps compose associatively: a chunk that begins at
-such a change has a constant map, so those compose by adding counts, and longer stretches without one are evaluated as
-a balanced tree of compositions over chunks of CHUNK characters.
+A text of more than CHUNK characters is cut there, wherever that is. A chunk has a state map, entry state -> (exit state,
+count). It is worked out for the states in which the text before may end: those that the transducer reaches when it
+begins 1, 2, 4, .. LOOK characters earlier. Runs from different entries soon meet in one state; from there on they are one
+run, and from the first change from non-space to space on all are the same, so that this part is counted once, by words.
+Maps compose associatively, (a then b)(s) = b(exit of a(s)) with the counts added, and an inclusive prefix scan in rounds of
+doubled distance gives the map of all chunks up to each. An entry that was not foreseen is run when it is asked for.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
-CHUNK = 1 << 15
+CHUNK = 1 << 13
+LOOK = 64
+SYNC = 256
 MAX_STATES = 200_000
 MAX_STARTS = 400_000
 FEW = 6
@@ -78,6 +82,70 @@ class Words(dict):
         return n
 
 
+class ChunkMap:
+    """The state map of one chunk. States are named by their keys, which outlive a drop of the built states."""
+
+    def __init__(self, machine: "Machine", text: str, entries: Iterable[tuple] = ()):
+        self.machine, self.known = machine, {}
+        cut = CUTS.search(text)
+        self.head, self.tail = (text, None) if cut is None else (text[: cut.start()], text[cut.start() :])
+        if self.tail is not None:
+            *whole, last = CUTS.split(self.tail)
+            node, n = machine.run(machine.begin, last)
+            self.exit, self.rest = machine.key(node), n + sum(machine.words[w] for w in whole)
+        self.path: list[tuple[Node, int]] = []  # of the first run: state and count after each of the first SYNC characters
+        for entry in entries:
+            self(entry)
+
+    def __call__(self, entry: tuple) -> tuple[tuple, int]:
+        got = self.known.get(entry)
+        if got is None:
+            node, n = self._run(self.machine.node(entry))
+            got = self.known[entry] = (self.machine.key(node), n) if self.tail is None else (self.exit, n + self.rest)
+        return got
+
+    def _run(self, node: Node) -> tuple[Node, int]:
+        m, n = self.machine, 0
+        first = not self.path
+        for i, ch in enumerate(self.head[:SYNC]):
+            node, more = node[ch]
+            n += more
+            if first:
+                self.path.append((node, n))
+            elif i < len(self.path) and self.path[i][0] is node:
+                return m.node(self.end[0]), self.end[1] + n - self.path[i][1]
+        node, more = m.run(node, self.head[SYNC:])
+        if first:
+            self.end = (m.key(node), n + more)
+        return node, n + more
+
+
+class Composed:
+    """One map after another."""
+
+    def __init__(self, a: "ChunkMap | Composed", b: "ChunkMap | Composed"):
+        self.a, self.b, self.known = a, b, {}
+        for entry in a.known:
+            self(entry)
+
+    def __call__(self, entry: tuple) -> tuple[tuple, int]:
+        got = self.known.get(entry)
+        if got is None:
+            middle, n = self.a(entry)
+            out, more = self.b(middle)
+            got = self.known[entry] = (out, n + more)
+        return got
+
+
+def prefix_scan(maps: list) -> list:
+    """The maps of chunks 1..i for each i, in rounds of doubled distance; the compositions of a round do not need each other."""
+    distance = 1
+    while distance < len(maps):
+        maps = [Composed(maps[i - distance], m) if i >= distance else m for i, m in enumerate(maps)]
+        distance *= 2
+    return maps
+
+
 class Machine:
     def __init__(self, path: str):
         spec = json.load(open(path))
@@ -117,6 +185,9 @@ class Machine:
         self.reset()
 
     def reset(self) -> None:
+        """Drop all states. They refer to one another in circles, which are undone here: nothing is left to be collected."""
+        for node in getattr(self, "nodes", {}).values():
+            node.clear()
         self.nodes: dict[tuple[int, int, str], Node] = {}
         self.merges: dict[tuple, int] = {}
         self.states: list[tuple] = []
@@ -279,46 +350,39 @@ class Machine:
             n += more
         return node, n
 
-    def chunk_map(self, text: str) -> tuple:
-        """(head, exit state or None, count): None where the whole chunk is head."""
-        kind, before = self.kind, SPACES
-        for i, ch in enumerate(text):
-            now = kind(ch)
-            if now == SPACES and before != SPACES:
-                node, n = self.run(self.begin, text[i:])
-                return text[:i], node, n
-            before = now
-        return text, None, 0
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of two neighbouring chunks."""
-        if a[1] is None:
-            if b[1] is None or not a[0]:
-                return a[0] + b[0], b[1], b[2]
-            # the cut may itself be a change from non-space to space; then b's head is empty and starts with a space
-            return a[0] + b[0], b[1], b[2]
-        node, n = self.run(a[1], b[0])
-        return (a[0], node, a[2] + n) if b[1] is None else (a[0], b[1], a[2] + n + b[2])
+    def key(self, node: Node) -> tuple:
+        """What tells a state from others, whatever has been built or dropped."""
+        return node.mode, self.states[node.merge], node.held
+
+    def node(self, key: tuple) -> Node:
+        mode, merge, held = key
+        return self._node(mode, self._state(merge), held)
 
     def count_piece(self, text: str) -> int:
-        """Cut where every state map is constant and add; without such places compose maps of chunks."""
+        """Cut where every state map is constant and add; longer texts are counted by the maps of their chunks."""
+        if len(text) > CHUNK:
+            return self.count_long(text)
         pieces = PIECES.findall(text)
         if sum(map(len, pieces)) != len(text):
             pieces = CUTS.split(text)
         words = self.words
-        return sum([words[p] if len(p) <= CHUNK else self.count_long(p) for p in pieces])
+        return sum([words[p] for p in pieces])
+
+    def entries(self, before: str) -> list[tuple]:
+        """States in which ``before`` may end, by beginning a little earlier and earlier."""
+        found, back = {}, 1
+        while True:
+            node, _ = self.run(self.begin, before[-back:])
+            found[self.key(node)] = None
+            if back >= min(len(before), LOOK):
+                return list(found)
+            back *= 2
 
     def count_long(self, text: str) -> int:
-        maps = []
-        at = 0
-        while at < len(text):
-            maps.append(self.chunk_map(text[at : at + CHUNK]))
-            at += CHUNK
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, node, n = maps[0]
-        exit_node, more = self.run(self.begin, head)
-        return more + n
+        cuts = range(0, len(text), CHUNK)
+        begin = self.key(self.begin)
+        maps = [ChunkMap(self, text[at : at + CHUNK], self.entries(text[max(0, at - LOOK) : at]) if at else [begin]) for at in cuts]
+        return prefix_scan(maps)[-1](begin)[1]
 
     def count(self, text: str) -> int:
         for i, mark in enumerate(self.special):
