@@ -6,21 +6,24 @@ Removed is each byte inside a string of LENGTH bytes that also starts anywhere e
    equals), a function of the window's bytes alone. Equal windows have equal anchors at equal offsets. A run of windows
    with one anchor occurrence is a context: about (LENGTH - GRAM) / 2 window starts and the bytes under them. A
    document sends one row of numbers per context, no bytes.
-2. An anchor that occurs once has no repeated window; most rows end here. A context whose bytes occur twice is repeated
-   as a whole, however many copies there are. Both are sums, pre-aggregated before the shuffle.
-3. What is left are different contexts around one anchor, the edges of repeated passages. One of each goes on with its
-   bytes, cut into blocks of BLOCK window starts; a block is keyed by its core, the bytes that all its windows share,
-   so only blocks that agree in the core meet, and an anchor with very many contexts is spread over its cores.
-4. Column-wise construction. The strings of a core are aligned on their anchor. From the right, each round puts one
+2. An anchor that occurs once has no repeated window; most rows end here. Of what is left, contexts with equal bytes (128
+   bits of hashes) are one: one of them goes on with its bytes and the number of its occurrences.
+3. Contexts are cut into blocks of BLOCKS[0] window starts; a block is keyed by its core, the bytes that all its windows
+   share, so only blocks that agree in the core meet. A core with more than CORE blocks has them cut into shorter ones, whose
+   cores are longer, and so on; at one window a block the core is the window. So no task holds more than CORE strings of
+   a core, however often a passage occurs.
+4. Column-wise construction. The strings of a core are aligned on their anchor, one that occurs several times stands there
+   twice. From the right, each round puts one
    symbol before every string: the order of the strings by their suffix from this column on is a stable sort of the last
    order by that symbol (the transform of the column), and the common prefix of neighbours is one more than the least
    common prefix between them in the last order, or zero where the symbols differ. Where a prefix reaches LENGTH the
    window starting at this column is repeated. A string that begins later ends in a symbol of its own. Columns already
-   done are dropped: aligned strings match in one column only.
+   done are dropped: aligned strings match in one column only. Every repeated window is found here.
 5. Windows that are repeated make intervals per document; their union is cut out in one pass over the bytes.
 
-Instead of external files per column the state of a batch of cores stays in arrays, BATCH strings or one core: the
-partition into cores, in sorted shuffle files, has taken the place of the files. Texts are moved by a hash of their content and length.
+Instead of external files per column the state of a batch of cores stays in arrays, BATCH strings and one core more: the
+partition into cores, in sorted shuffle files, has taken the place of the files. Texts are moved by a hash of their content
+and length. Joins on anchors and contexts take the few keys that are very frequent apart (``hot_join``).
 
 Nulls: a null text counts as empty. Equal rows and equal texts count as several occurrences. Texts shorter than LENGTH
 bytes keep everything. An empty table gives an empty result.
@@ -29,7 +32,7 @@ bytes keep everything. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,12 @@ from tessera.session import durable, release, ship
 
 LENGTH = 200
 GRAM = 40
-BLOCK = 48
+#: Window starts of a block, and what blocks of an overfull core are cut into, step by step.
+BLOCKS = (48, 12, 3, 1)
+CORE = 1 << 14
 BATCH = 4096
+#: A key is hot from this many rows and this share of all rows on, so that there are at most HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 100_000, 1000
 SEGMENT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -116,18 +123,51 @@ def anchor_table(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("nb") >= LENGTH).select("key", "nb", "text").mapInArrow(run, "key long, nb int, h long, c long, start int, nwin short")
 
 
+def hot_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """big joined with small on ``keys``; ``small`` has each key once, and in ``rows`` its number of rows of ``big``.
+
+    Keys with HOT_ROWS rows and a HOT_SHARE-th of all are at most HOT_SHARE, so they are broadcast and their rows stay
+    where they are; the others are joined by a shuffle that no key makes uneven.
+    """
+    least = max(HOT_ROWS, big.count() // HOT_SHARE)
+    hot = F.broadcast(small.filter(F.col(rows) >= least))  # at most HOT_SHARE keys
+    cold = big.join(hot.select(*keys), keys, "left_anti").join(small.filter(F.col(rows) < least), keys)
+    return big.join(hot, keys).select(*cold.columns).unionByName(cold)
+
+
+BLOCK_COLUMNS = ("core", "h", "c", "n", "first", "shift", "nwin", "bytes")
+BLOCK_SCHEMA = "core long, h long, c long, n long, first int, shift int, nwin int, bytes binary"
+BLOCK_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+
+
+def cut_blocks(data: bytes, high: int, low: int, h: int, size: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(core, first, shift, nwin, bytes) of the blocks of a string whose windows have the shifts ``high`` down to ``low``.
+
+    A shift is how far before the anchor a window begins. Blocks lie on the grid of shifts; ``first`` counts from ``high``.
+    """
+    from xxhash import xxh3_64_intdigest as digest
+
+    for k in range(low // size, high // size + 1):
+        a, z = min(high, (k + 1) * size - 1), max(low, k * size)
+        core = data[high - k * size : high - (k + 1) * size + 1 + LENGTH]
+        yield digest(core, (h ^ size) & 0xFFFFFFFF) - (1 << 63), high - a, z, a - z + 1, data[high - a : high - z + LENGTH]
+
+
+def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * len(BLOCK_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, BLOCK_TYPES)], names=list(BLOCK_COLUMNS))
+
+
 def block_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """core, h, c, first (window's place in its context), shift (of the last window), nwin, bytes: blocks of contexts.
+    """core, h, c, n, first (window's place in its context), shift (of the last window), nwin, bytes: blocks of contexts.
 
-    ``wanted`` has key, nb and ``spots``, the contexts to cut: (start, nwin, h, c).
+    ``wanted`` has key, nb and ``spots``, the contexts to cut: (start, nwin, h, c, n).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest as digest
-
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
-                rows: list[list] = [[], [], [], [], [], [], []]
+                rows: list[tuple] = []
                 part = batch.slice(lo, 64)
                 for text, spots in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     data = text.encode()
@@ -136,22 +176,30 @@ def block_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         place.update(zip(first.tolist(), pos.tolist()))
                     for s in spots:
                         start, nwin, h = s["start"], s["nwin"], s["h"]
-                        anchor = place[start]
-                        # window start w has shift anchor - w; blocks lie on the grid of shifts
-                        high, low = anchor - start, anchor - (start + nwin - 1)
-                        for k in range(low // BLOCK, high // BLOCK + 1):
-                            a, z = min(high, (k + 1) * BLOCK - 1), max(low, k * BLOCK)
-                            core = data[anchor - k * BLOCK : anchor - (k + 1) * BLOCK + 1 + LENGTH]
-                            for r, v in zip(rows, (digest(core, h & 0xFFFFFFFF) - (1 << 63), h, s["c"], anchor - a - start, z, a - z + 1, data[anchor - a : anchor - z + LENGTH])):
-                                r.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=["core", "h", "c", "first", "shift", "nwin", "bytes"])
+                        high = place[start] - start  # window start w has the shift anchor - w
+                        for core, first, shift, n, piece in cut_blocks(data[start : start + nwin - 1 + LENGTH], high, high - nwin + 1, h, BLOCKS[0]):
+                            rows.append((core, h, s["c"], s["n"], first, shift, n, piece))
+                yield _block_batch(rows)
 
     # one row of each text is enough, and joined by its id too, copies of one text are spread over the tasks
     rows = docs.groupBy("key", "nb").agg(F.min("doc_id").alias("_low")).join(wanted, ["key", "nb"])
     rows = rows.select(F.col("key").alias("_key"), F.col("nb").alias("_nb"), "_low", "spots")
     got = docs.join(rows, (F.col("key") == F.col("_key")) & (F.col("nb") == F.col("_nb")) & F.col("doc_id").eqNullSafe(F.col("_low"))).select("text", "spots")
-    return got.mapInArrow(run, "core long, h long, c long, first int, shift int, nwin int, bytes binary")
+    return got.mapInArrow(run, BLOCK_SCHEMA)
+
+
+def shorter_blocks(blocks: DataFrame, size: int) -> DataFrame:
+    """The blocks cut into blocks of ``size`` windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for r in b.to_pylist():
+                for core, first, shift, n, piece in cut_blocks(r["bytes"], r["shift"] + r["nwin"] - 1, r["shift"], r["h"], size):
+                    rows.append((core, r["h"], r["c"], r["n"], r["first"] + first, shift, n, piece))
+            yield _block_batch(rows)
+
+    return blocks.mapInArrow(run, BLOCK_SCHEMA)
 
 
 def repeated_columns(strings: list[bytes], shifts: list[int], length: int = LENGTH) -> list[np.ndarray]:
@@ -209,8 +257,11 @@ def _least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.nda
     return out
 
 
+RUN_SCHEMA = "h long, c long, n long, first int, count int"
+
+
 def repeated_blocks(blocks: DataFrame) -> DataFrame:
-    """h, c, first, count: runs of repeated windows, by their place in the context."""
+    """h, c, n, first, count: runs of repeated windows, by their place in the context. No core has more than CORE blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: dict[tuple, dict] = {}
@@ -218,23 +269,25 @@ def repeated_blocks(blocks: DataFrame) -> DataFrame:
         core = None
 
         def close() -> None:
-            """The core is complete: one string has no like, several join the batch (equal windows have equal cores)."""
-            if len(group) > 1:
+            """The core is complete: what occurs once and is alone has no like, the rest joins the batch (equal windows have equal cores)."""
+            if len(group) > 1 or any(g["n"] > 1 for g in group.values()):
                 ready.extend(group.values())
             group.clear()
 
         def solve() -> pa.RecordBatch:
-            rows: list[tuple[int, int, int, int]] = []
+            rows: list[tuple[int, int, int, int, int]] = []
             if ready:
-                for g, cols in zip(ready, repeated_columns([g["bytes"] for g in ready], [g["shift"] for g in ready])):
+                copies = [g for g in ready if g["n"] > 1]  # a context that occurs again stands there a second time
+                both = ready + copies
+                for g, cols in zip(ready, repeated_columns([g["bytes"] for g in both], [g["shift"] for g in both])):
                     if len(cols):
                         cut = np.flatnonzero(np.diff(cols) > 1)
                         for a, z in zip(np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(cols) - 1]))):
-                            rows.append((g["h"], g["c"], g["first"] + int(cols[a]), int(cols[z] - cols[a]) + 1))
+                            rows.append((g["h"], g["c"], g["n"], g["first"] + int(cols[a]), int(cols[z] - cols[a]) + 1))
                 ready.clear()
-            cols = list(zip(*rows)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["h", "c", "first", "count"])
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["h", "c", "n", "first", "count"])
 
         for b in batches:
             for r in b.to_pylist():
@@ -248,22 +301,45 @@ def repeated_blocks(blocks: DataFrame) -> DataFrame:
         yield solve()
 
     # rows of one core come together and in order; a core with one row costs nothing
-    return blocks.repartition("core").sortWithinPartitions("core").mapInArrow(run, "h long, c long, first int, count int")
+    return blocks.repartition("core").sortWithinPartitions("core").mapInArrow(run, RUN_SCHEMA)
+
+
+def repeated_runs(blocks: DataFrame) -> list[DataFrame]:
+    """Tables as ``repeated_blocks`` gives them, which together have the runs of all blocks."""
+    out = []
+    for size in [*BLOCKS[1:], None]:
+        counts = blocks.groupBy("core").agg(F.count("*").alias("_rows"))
+        full = durable(counts.filter(F.col("_rows") > CORE))
+        if full.isEmpty():
+            out.append(durable(repeated_blocks(blocks)))
+            release(blocks)
+            return out
+        # an overfull core has CORE rows at least, so that few are; their rows may be many
+        out.append(durable(repeated_blocks(blocks.join(full, "core", "left_anti"))))
+        many = hot_join(blocks, full, ["core"], "_rows").drop("_rows")
+        if size is None:
+            # a block is one window and its core is that window: all of them are repeated
+            out.append(durable(many.select("h", "c", "n", "first", F.col("nwin").alias("count"))))
+            release(blocks)
+            return out
+        now = durable(shorter_blocks(many, size))
+        release(blocks, full)
+        blocks = now
+    return out
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """key, nb, ``cuts``: for each distinct text the starts of repeated windows as (start, count)."""
     anchors = durable(anchor_table(docs))
-    often = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("n > 1")
-    known = durable(anchors.join(often.select("h", (F.col("c0") != F.col("c1")).alias("mixed")), "h"))
+    often = anchors.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1")
+    known = durable(hot_join(anchors, often, ["h"], "_n").drop("_n"))
     release(anchors)
-    counts = known.groupBy("h", "c").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("key", "nb", "start", "nwin")).alias("one"))
-    counts = durable(counts)
-    wanted = counts.filter("mixed").select("one.*", "h", "c").groupBy("key", "nb").agg(F.collect_list(F.struct("start", "nwin", "h", "c")).alias("spots"))
-    runs = durable(repeated_blocks(block_table(docs, wanted)))
-    whole = known.join(counts.filter("n > 1").select("h", "c"), ["h", "c"]).select("key", "nb", "start", F.col("nwin").cast("int").alias("count"))
-    parts = known.join(counts.filter("n = 1 and mixed").select("h", "c"), ["h", "c"]).join(runs, ["h", "c"]).select("key", "nb", (F.col("start") + F.col("first")).cast("int").alias("start"), "count")
-    return whole.unionByName(parts).groupBy("key", "nb").agg(F.collect_set(F.struct("start", "count")).alias("cuts"))
+    counts = known.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "nb", "start", "nwin")).alias("one"))
+    wanted = counts.select("one.*", "h", "c", "n").groupBy("key", "nb").agg(F.collect_list(F.struct("start", "nwin", "h", "c", "n")).alias("spots"))  # the contexts of one text
+    runs = repeated_runs(durable(block_table(docs, wanted)))
+    found = reduce(DataFrame.unionByName, runs).groupBy("h", "c").agg(F.max("n").alias("n"), F.collect_list(F.struct("first", "count")).alias("runs"))  # of one context's blocks
+    parts = hot_join(known, durable(found), ["h", "c"], "n").select("key", "nb", "start", F.explode("runs").alias("r"))
+    return parts.groupBy("key", "nb").agg(F.collect_set(F.struct((F.col("start") + F.col("r.first")).cast("int").alias("start"), F.col("r.count").alias("count"))).alias("cuts"))
 
 
 def removed_runs(cuts: list) -> list[tuple[int, int]]:

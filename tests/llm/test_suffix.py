@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tessera.llm import suffix_dedup
 
 
@@ -44,6 +46,28 @@ def test_periodic_shared_and_edge_cases(spark):
     check(spark, texts)
 
 
+def test_hot_anchors_and_overfull_cores(spark, monkeypatch):
+    """Every branch of hot keys and of shorter and shorter blocks, against brute force."""
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 3)
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 40)
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core, tail = word(170), word(40)
+    texts = [word(60) + core + word(60) for _ in range(30)]  # one passage below the length in many surroundings
+    texts += [word(rng.randrange(50)) + word(3) + core + tail[: rng.randrange(41)] + word(30) for _ in range(30)]
+    texts += [texts[0]] * 5 + [texts[40][10:]] * 3 + [word(20) + core[:150] + tail for _ in range(10)]
+    for most in (2, 20, 1000):
+        monkeypatch.setattr(suffix_dedup, "CORE", most)
+        check(spark, texts)
+
+
+def test_other_columns_and_string_ids(spark):
+    text = "one passage that stands here twice over and over " * 6
+    df = spark.createDataFrame([("a", text, 1), ("b", text + "x", 2), (None, text, 3)], "doc_id string, text string, nb int").withColumn("key", F.lit("k")).withColumn("cuts", F.lit(0)).withColumn("h", F.lit(1))
+    got = suffix_dedup.op3(df).collect()
+    assert len(got) == 3 and all(r["n_removed"] >= 290 for r in got)
+
+
 def test_empty(none):
     assert suffix_dedup.op3(none).count() == 0
 
