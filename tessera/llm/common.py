@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import durable, ship
+from tessera.session import ship
 
 #: The separators between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 #: The same as a word pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["SPACE", "WORD", "documents", "durable", "ship", "table", "word_array"]
+#: A key is hot from this many rows and this share of all rows on, so that there are at most HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 100_000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +41,19 @@ def clean_words(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """The number of words as long."""
     return F.size(word_array(text)).cast("long")
+
+
+def hot_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str, total: int | None = None) -> DataFrame:
+    """big joined with small on ``keys``; ``small`` has each key once, and in ``rows`` its number of rows of ``big``.
+
+    Keys with HOT_ROWS rows and a HOT_SHARE-th of all are at most HOT_SHARE, so they are broadcast and their rows stay
+    where they are; the others are joined by a shuffle that no key makes uneven. ``total`` is the number of rows of ``big``
+    where that is known.
+    """
+    total = big.count() if total is None else total
+    if total < HOT_ROWS:
+        return big.join(small, keys)  # no key can be hot
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(small.filter(F.col(rows) >= least))  # at most HOT_SHARE keys
+    cold = big.join(hot.select(*keys), keys, "left_anti").join(small.filter(F.col(rows) < least), keys)
+    return big.join(hot, keys).select(*cold.columns).unionByName(cold)

@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import hot_join
 from tessera.session import durable, release, ship
 
 LENGTH = 200
@@ -47,8 +48,6 @@ GRAM = 40
 BLOCKS = (48, 12, 3, 1)
 CORE = 1 << 14
 BATCH = 4096
-#: A key is hot from this many rows and this share of all rows on, so that there are at most HOT_SHARE hot keys.
-HOT_ROWS, HOT_SHARE = 100_000, 1000
 SEGMENT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -123,18 +122,6 @@ def anchor_table(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("nb") >= LENGTH).select("key", "nb", "text").mapInArrow(run, "key long, nb int, h long, c long, start int, nwin short")
 
 
-def hot_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str) -> DataFrame:
-    """big joined with small on ``keys``; ``small`` has each key once, and in ``rows`` its number of rows of ``big``.
-
-    Keys with HOT_ROWS rows and a HOT_SHARE-th of all are at most HOT_SHARE, so they are broadcast and their rows stay
-    where they are; the others are joined by a shuffle that no key makes uneven.
-    """
-    least = max(HOT_ROWS, big.count() // HOT_SHARE)
-    hot = F.broadcast(small.filter(F.col(rows) >= least))  # at most HOT_SHARE keys
-    cold = big.join(hot.select(*keys), keys, "left_anti").join(small.filter(F.col(rows) < least), keys)
-    return big.join(hot, keys).select(*cold.columns).unionByName(cold)
-
-
 BLOCK_COLUMNS = ("core", "h", "c", "n", "first", "shift", "nwin", "bytes")
 BLOCK_SCHEMA = "core long, h long, c long, n long, first int, shift int, nwin int, bytes binary"
 BLOCK_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())

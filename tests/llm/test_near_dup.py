@@ -1,8 +1,10 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql.functions import lit
 
-from tessera.llm import near_dup
+from tessera.llm import common, near_dup
 
 
 def brute(rows):
@@ -75,7 +77,9 @@ def test_alignment_respects_order():
     assert near_dup.alignment_similarity(a, a[:75]) == 0.0 and near_dup.alignment_similarity(a, a[:80]) > 0.8
 
 
-def test_components_of_long_paths_and_hubs(spark):
+@pytest.mark.parametrize("hot", [100_000, 10])
+def test_components_of_long_paths_and_hubs(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("z000", f"z{i:03d}") for i in range(1, 50)]
     got = dict(near_dup.components(spark.createDataFrame(edges, "a string, b string")).collect())
     assert all(got[f"n{i:03d}"] == "n000" for i in range(61)) and all(got[f"z{i:03d}"] == "z000" for i in range(50))
@@ -154,3 +158,33 @@ def test_bins_never_drop_a_pair():
     same = np.zeros(900, np.uint64)
     full = np.frombuffer(near_dup.bins(same), np.uint8)[None, :]
     assert near_dup.may_match(full, full, np.array([900]), np.array([900]), 0.8)[0]
+
+
+def _links(texts):
+    """All pairs of different texts that align with 0.8 or more: exact candidates by prefixes of rare shingles, each aligned."""
+    sh = {t: near_dup.shingles(t) for t in texts if t and t.split()}
+    freq = Counter(x for a in sh.values() for x in a.tolist())
+    index, pairs = defaultdict(list), set()
+    for t, a in sorted(sh.items(), key=lambda x: len(x[1])):
+        order = sorted(a.tolist(), key=lambda x: (freq[x], x))
+        for x in order[: len(order) - int(np.ceil(0.8 * len(order) - 1e-9)) + 1]:
+            pairs |= {(u, t) for u in index[x]}
+            index[x].append(t)
+    return [(u, t) for u, t in pairs if near_dup.alignment_similarity(sh[u], sh[t]) >= 0.8 - 1e-9]
+
+
+def test_no_link_of_the_test_tables_is_lost(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    ids = defaultdict(list)
+    for r in rows.collect():
+        ids[r["text"]].append(r["doc_id"])
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.op9(rows).collect()}
+    links = _links(ids)
+    assert links and all(got[ids[u][0]] == got[ids[t][0]] for u, t in links)
+    assert all(len({got[i] for i in same}) == 1 for t, same in ids.items() if t and t.split())
+
+
+def test_other_columns_and_string_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([("a", text, 1), ("b", text + " x", 2), ("c", "other", 3)], "doc_id string, text string, node int").withColumns({c: lit(0) for c in ("code", "key", "root", "low")})
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.op9(df).collect()} == {"a": "a", "b": "a", "c": "c"}

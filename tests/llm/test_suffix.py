@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tessera.llm import suffix_dedup
+from tessera.llm import common, suffix_dedup
 
 
 def brute(texts, length=200):
@@ -48,8 +48,8 @@ def test_periodic_shared_and_edge_cases(spark):
 
 def test_hot_anchors_and_overfull_cores(spark, monkeypatch):
     """Every branch of hot keys and of shorter and shorter blocks, against brute force."""
-    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 3)
-    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 40)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_SHARE", 40)
     rng = random.Random(9)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     core, tail = word(170), word(40)
