@@ -1,7 +1,9 @@
 """A training-data pipeline over ``documents``: each stage works on all that the one before it kept.
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; ``run`` writes each result as Parquet in the shared folder and
-reads it again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+reads it again as the next stage's ``docs``. All but the last return the columns of ``documents``. An empty table goes through
+all stages and gives an empty result; null texts and texts without words are scored like others, are like no other text,
+hold no secret and are not taken by the mix; rows with null ids are rows like others.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import mixing, near_dup, packing, quality, secrets
 from tessera.llm.common import table
-from tessera.session import durable, ship
+from tessera.session import durable, release, ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,10 +24,12 @@ ORACLE_SQL = None
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: documents scored below the cut go. Empty texts are scored like others."""
+    """Quality classifier: documents scored below the cut go. Empty texts are scored like others, repeated rows stay
+    repeated; without labels every document has the score 0.5 and stays."""
     ship(spark)
     described = durable(quality.describe(docs))
     model = quality.fit(described, table(spark, sf_dir, "labels"))
+    release(described)
     return quality.score(docs.select(*COLUMNS), model).filter(F.col("score") >= quality.CUT).select(*COLUMNS)
 
 
@@ -46,7 +50,8 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scan: every span, by rule or by the randomness battery, is replaced by a mark."""
+    """Secret scan: every span, by rule or by the randomness battery, is replaced by a mark. Every row stays; n_chars is
+    that of the new text where a span was found."""
     ship(spark)
     found = secrets.scan(docs, keep=("doc_id", "text", "lang", "source", "n_chars"))
     new = F.when(F.size("spans") > 0, secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
@@ -66,7 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing: the place of every piece of every copy."""
+    """Best-fit packing: the place of every piece of every copy. A repeated row is packed as often as it occurs."""
     ship(spark)
     return packing.op6(docs)
 
@@ -83,5 +88,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        kept = durable(stage(spark, docs, sf_dir))
+        release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
