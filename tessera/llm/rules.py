@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import word_array
+from tessera.llm.common import hot_join, word_array
 from tessera.session import durable, release
 
 MIN_WORDS = 50
@@ -47,6 +47,8 @@ CONSISTENCY = 2.112
 CUT = 18.467
 #: Bins of the squared distance to a power of two.
 FINE = 256
+#: Estimates of up to this many groups, 30 numbers each, are broadcast; those of more are joined by ``hot_join``.
+FEW_GROUPS = 20_000
 
 
 def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -132,29 +134,35 @@ def _with_factor(got: DataFrame, p: int) -> DataFrame:
     return got.withColumn("det", det)
 
 
+def _beside(rows: DataFrame, groups: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """``rows`` with the columns of their group; ``n`` of ``groups`` is its number of rows."""
+    return rows.join(F.broadcast(groups), keys) if few else hot_join(rows, groups, keys, "n")  # at most FEW_GROUPS rows
+
+
 def minimum_covariance(rows: DataFrame, p: int) -> DataFrame:
     """gid -> n, m<i>, c<i><j> (of the nearest half) of a table with ``gid`` and whole numbers x0..x<p-1>."""
     mid = durable(_medians(rows, [F.col(f"x{i}") for i in range(p)], [f"a{i}" for i in range(p)]))
     # from here on numbers are counted from the group's medians, so that their products stay small
-    rows = durable(rows.join(mid, "gid").select("gid", "n", *[(F.col(f"x{i}") - F.col(f"a{i}")).alias(f"x{i}") for i in range(p)]))
+    few = mid.count() <= FEW_GROUPS
+    rows = durable(_beside(rows, mid, ["gid"], few).select("gid", *[(F.col(f"x{i}") - F.col(f"a{i}")).alias(f"x{i}") for i in range(p)]))
     dev = _medians(rows, [F.abs(F.col(f"x{i}")) for i in range(p)], [f"d{i}" for i in range(p)])
     zero = {f"m{i}": F.lit(0.0) for i in range(p)}
     apart = lambda size: {f"c{i}{j}": size(i) if i == j else F.lit(0.0) for i, j in _pairs(p)}
     first = _with_factor(dev.withColumns(zero | apart(lambda i: F.pow(1.4826 * F.col(f"d{i}"), F.lit(2.0)))), p)
     third = _with_factor(dev.withColumns(zero | apart(lambda i: F.lit(0.0))), p)
-    state = ["gid", "start", *[f"m{i}" for i in range(p)], *[f"c{i}{j}" for i, j in _pairs(p)], *[f"l{i}{j}" for i, j in _pairs(p)], "det"]
+    state = ["gid", "start", "n", *[f"m{i}" for i in range(p)], *[f"c{i}{j}" for i, j in _pairs(p)], *[f"l{i}{j}" for i, j in _pairs(p)], "det"]
     now = first.withColumn("start", F.lit(0)).select(*state)
-    now = now.unionByName(_moments(rows, p, "gid").withColumn("start", F.lit(1)).select(*state)).unionByName(third.withColumn("start", F.lit(2)).select(*state))
+    now = now.unionByName(_moments(rows, p, "gid").withColumns({"start": F.lit(1), "n": F.col("k")}).select(*state)).unionByName(third.withColumn("start", F.lit(2)).select(*state))
     now = durable(now)
     each = rows.withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
     best = None
     for step in range(MAX_STEPS):
-        far = _distance(each.join(now, ["gid", "start"]), p).withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-20) * FINE).cast("int"))
+        far = _distance(_beside(each, now, ["gid", "start"], few), p).withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-20) * FINE).cast("int"))
         counts = far.groupBy("gid", "start", "bin").agg(F.count("*").alias("c"), F.max("n").alias("n"))
         up = Window.partitionBy("gid", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        limit = counts.withColumn("cum", F.sum("c").over(up)).filter(2 * F.col("cum") >= F.least(F.col("n") + p + 1, 2 * F.col("n"))).groupBy("gid", "start").agg(F.min("bin").alias("limit"))
-        near = far.select("gid", "start", "bin", *[f"x{i}" for i in range(p)]).join(limit, ["gid", "start"]).filter("bin <= limit")
-        new = durable(_moments(near, p, "gid", "start").select(*state))
+        limit = counts.withColumn("cum", F.sum("c").over(up)).filter(2 * F.col("cum") >= F.least(F.col("n") + p + 1, 2 * F.col("n"))).groupBy("gid", "start").agg(F.min("bin").alias("limit"), F.max("n").alias("n"))
+        near = _beside(far.select("gid", "start", "bin", *[f"x{i}" for i in range(p)]), limit, ["gid", "start"], few).filter("bin <= limit")
+        new = durable(_moments(near, p, "gid", "start").join(limit.select("gid", "start", "n"), ["gid", "start"]).select(*state))
         # after the first step the starts' determinants are those of halves and can be compared
         falls = step == 0 or not new.join(now.select("gid", "start", F.col("det").alias("before")), ["gid", "start"]).filter(F.col("det") < F.col("before") - SETTLED).isEmpty()
         release(now)
@@ -193,13 +201,14 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     fit = rows.filter(~F.col("base_failed"))
     named = [F.coalesce("lang", F.lit("")), F.col("lang").isNull(), F.coalesce("source", F.lit("")), F.col("source").isNull()]
     levels = [F.xxhash64(F.lit(0), *named), F.xxhash64(F.lit(1), *named[:2]), F.xxhash64(F.lit(2))]
-    groups = durable(fit.groupBy("lang", "source").agg(F.lit(1).alias("_")).select(*[g.alias(f"g{i}") for i, g in enumerate(levels)]))
+    groups = durable(fit.groupBy("lang", "source").agg(F.count("*").alias("n")).select("n", *[g.alias(f"g{i}") for i, g in enumerate(levels)]))
     spread = durable(fit.select(F.explode(F.array(*levels)).alias("gid"), *[f"x{i}" for i in range(p)]))
     estimates = minimum_covariance(spread, p)
     release(spread)
     fitted = durable(_blended(groups, estimates, len(levels), p).drop("g1", "g2"))
     release(groups, estimates)
-    judged = _distance(rows.withColumn("g0", levels[0]).join(fitted, "g0", "left"), p).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
+    judged = _distance(_beside(fit.withColumn("g0", levels[0]), fitted, ["g0"], fitted.count() <= FEW_GROUPS), p)
+    judged = judged.unionByName(rows.filter("base_failed"), allowMissingColumns=True)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return judged.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *counts, "d2", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUT)).alias("kept"))
 

@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import rules
+from tessera.llm import common, rules
 
 
 def test_base_counts(docs, rows):
@@ -67,10 +67,13 @@ def test_estimates_are_those_of_the_best_half_of_all_halves(spark):
         assert have <= want * 2 and np.abs([r[f"m{i}"] for i in range(4)] - best.mean(axis=0)).max() < 150
 
 
-def test_how_rows_are_dealt_out_and_other_columns_do_not_matter(spark, docs):
+def test_how_rows_are_dealt_out_and_other_columns_do_not_matter(spark, docs, monkeypatch):
     want = sorted(map(str, rules.op4(docs).collect()))
     other = docs.repartition(7).withColumn("gid", F.lit("x")).withColumn("d2", F.lit(1)).withColumn("n_words", F.lit(None).cast("string"))
     assert sorted(map(str, rules.op4(other).collect())) == want
+    monkeypatch.setattr(rules, "FEW_GROUPS", 0)  # nothing is broadcast but hot groups
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    assert sorted(map(str, rules.op4(docs).collect())) == want
 
 
 def test_empty(none):
