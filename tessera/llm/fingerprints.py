@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing. DataFrame functions only.
 
 A text's code points give one Karp-Rabin hash for each run of K of them, h = sum of c * BASE**(place from the right) mod
-PRIME (a shorter text that is not empty: one hash, as if it went on with zeros). In every window of W successive hashes
+PRIME, where c is the CRC-32 of the code point's bytes (a shorter text that is not empty: one hash, as if it went on with
+zero characters). In every window of W successive hashes
 the smallest is chosen, the rightmost of equal ones, and positions are kept. Any passage of K + W - 1 code points that two
 texts share makes them share a chosen hash, whatever the script. Hash and position are packed in one long, (hash << 31) |
 (2**31 - 1 - position), so that the smallest long of a window is the rightmost of its smallest hashes.
@@ -26,12 +27,12 @@ from pyspark.sql.window import Window
 
 from tessera.session import durable
 
-K = 16
-W = 64
+K = 16  # a power of two
+W = 64  # a power of four
 BASE = 1_000_003
 PRIME = (1 << 31) - 1
 MASK = (1 << 31) - 1
-SEGMENT = 1 << 11
+SEGMENT = 1 << 12
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,7 +60,7 @@ def _whole_runs(values: Column, length: int) -> Column:
 
 def rolling_hashes(text: Column, last: Column) -> Column:
     """The Karp-Rabin hashes of all runs of K code points of a text, in order, packed: (hash << 31) | (last - place)."""
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    codes = F.transform(F.split(text, ""), lambda c: F.crc32(c.cast("binary")))
     join = lambda x, y, n: (x * pow(BASE, n, PRIME) + y) % PRIME
     half = K // 2
     # the last doubling is a pass with the places at hand, so that it packs at once
@@ -70,8 +71,15 @@ def rolling_hashes(text: Column, last: Column) -> Column:
 def _windows(packed: Column) -> Column:
     """The smallest of each window of W (of all, if there are fewer), repeated ones once."""
     few = F.when(F.size(packed) > 0, F.array(F.array_min(packed))).otherwise(packed)
-    least = _let(_doubled(packed, W, lambda x, y, _: F.least(x, y)), lambda m: F.array_distinct(_whole_runs(m, W)))
-    return F.when(F.size(packed) >= W, least).otherwise(few)
+
+    def grow(have: Column, size: int) -> Column:
+        if size == W:
+            return F.array_distinct(_whole_runs(have, W))
+        # four neighbours at once; beyond the end there are nulls, which ``least`` takes no notice of
+        wider = F.transform(have, lambda x, i: F.least(x, *[F.get(have, i + F.lit(k * size)) for k in (1, 2, 3)]))
+        return _let(wider, lambda v: grow(v, 4 * size))
+
+    return F.when(F.size(packed) >= W, grow(packed, 1)).otherwise(few)
 
 
 def chosen(text: Column, offset: Column | int = 0) -> Column:

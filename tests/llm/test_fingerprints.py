@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +10,9 @@ from tessera.llm import fingerprints as fp
 
 def rolling(text):
     """Karp-Rabin hashes, each from the one before."""
-    codes = [ord(c) for c in text]
-    if 0 < len(codes) < fp.K:
-        codes += [0] * (fp.K - len(codes))
+    if 0 < len(text) < fp.K:
+        text += "\0" * (fp.K - len(text))
+    codes = [zlib.crc32(c.encode()) for c in text]
     if not codes:
         return []
     top = pow(fp.BASE, fp.K - 1, fp.PRIME)
