@@ -7,7 +7,8 @@ Removed is each byte inside a string of LENGTH bytes that also starts anywhere e
    with one anchor occurrence is a context: about (LENGTH - GRAM) / 2 window starts and the bytes under them. A
    document sends one row of numbers per context, no bytes.
 2. An anchor that occurs once has no repeated window; most rows end here. Of what is left, contexts with equal bytes (128
-   bits of hashes) are one: one of them goes on with its bytes and the number of its occurrences.
+   bits of hashes) are one. An anchor all of whose contexts are one is repeated as a whole: copies have nothing to be
+   ordered by. The contexts of all other anchors go on, one of each with its bytes and the number of its occurrences.
 3. Contexts are cut into blocks of BLOCKS[0] window starts; a block is keyed by its core, the bytes that all its windows
    share, so only blocks that agree in the core meet. A core with more than CORE blocks has them cut into shorter ones, whose
    cores are longer, and so on; at one window a block the core is the window. So no task holds more than CORE strings of
@@ -18,7 +19,7 @@ Removed is each byte inside a string of LENGTH bytes that also starts anywhere e
    order by that symbol (the transform of the column), and the common prefix of neighbours is one more than the least
    common prefix between them in the last order, or zero where the symbols differ. Where a prefix reaches LENGTH the
    window starting at this column is repeated. A string that begins later ends in a symbol of its own. Columns already
-   done are dropped: aligned strings match in one column only. Every repeated window is found here.
+   done are dropped: aligned strings match in one column only.
 5. Windows that are repeated make intervals per document; their union is cut out in one pass over the bytes.
 
 Instead of external files per column the state of a batch of cores stays in arrays, BATCH strings and one core more: the
@@ -153,9 +154,9 @@ def block_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
+            for lo in range(0, batch.num_rows, 16):
                 rows: list[tuple] = []
-                part = batch.slice(lo, 64)
+                part = batch.slice(lo, 16)
                 for text, spots in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     data = text.encode()
                     place = {}
@@ -318,14 +319,18 @@ def repeated_runs(blocks: DataFrame) -> list[DataFrame]:
 def repeats(docs: DataFrame) -> DataFrame:
     """key, nb, ``cuts``: for each distinct text the starts of repeated windows as (start, count)."""
     anchors = durable(anchor_table(docs))
-    often = anchors.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1")
+    often = anchors.groupBy("h").agg(F.count("*").alias("_n"), (F.min("c") != F.max("c")).alias("mixed")).filter("_n > 1")
     known = durable(hot_join(anchors, often, ["h"], "_n").drop("_n"))
     release(anchors)
-    counts = known.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "nb", "start", "nwin")).alias("one"))
-    wanted = counts.select("one.*", "h", "c", "n").groupBy("key", "nb").agg(F.collect_list(F.struct("start", "nwin", "h", "c", "n")).alias("spots"))  # the contexts of one text
+    counts = durable(known.groupBy("h", "c").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("key", "nb", "start", "nwin")).alias("one")))
+    wanted = counts.filter("mixed").select("one.*", "h", "c", "n").groupBy("key", "nb").agg(F.collect_list(F.struct("start", "nwin", "h", "c", "n")).alias("spots"))  # the contexts of one text
     runs = repeated_runs(durable(block_table(docs, wanted)))
-    found = reduce(DataFrame.unionByName, runs).groupBy("h", "c").agg(F.max("n").alias("n"), F.collect_list(F.struct("first", "count")).alias("runs"))  # of one context's blocks
-    parts = hot_join(known, durable(found), ["h", "c"], "n").select("key", "nb", "start", F.explode("runs").alias("r"))
+    rounds = reduce(DataFrame.unionByName, runs).groupBy("h", "c").agg(F.max("n").alias("n"), F.collect_list(F.struct("first", "count")).alias("runs"))  # of one context's blocks
+    # an anchor with one context only: its occurrences are copies of one another, so there is nothing to be ordered
+    alike = counts.filter("not mixed").select("h", "c", "n", F.array(F.struct(F.lit(0).alias("first"), F.col("one.nwin").cast("int").alias("count"))).alias("runs"))
+    found = durable(rounds.unionByName(alike))
+    release(counts, *runs)
+    parts = hot_join(known.drop("mixed"), found, ["h", "c"], "n").select("key", "nb", "start", F.explode("runs").alias("r"))
     return parts.groupBy("key", "nb").agg(F.collect_set(F.struct((F.col("start") + F.col("r.first")).cast("int").alias("start"), F.col("r.count").alias("count"))).alias("cuts"))
 
 
