@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+BATCH_ROWS = 2000
 
 
 def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -28,7 +29,13 @@ def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started from."""
+    """Let Python workers import this package wherever the driver was started from.
+
+    Batches for Python hold at most BATCH_ROWS rows where the session has not set another number: with Spark's own 10000,
+    a batch of long texts can fill a worker.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in have:
