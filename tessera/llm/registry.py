@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import fingerprints, html_text, mixing, near_dup, packing, quality, rules, secrets, suffix_dedup, tokens
+from tessera.llm import divergence, fingerprints, html_text, mining, mixing, near_dup, packing, quality, rules, secrets, suffix_dedup, token_files, tokens
 from tessera.llm.common import documents, ship, table
 
 QUERIES = {
@@ -17,5 +17,8 @@ QUERIES = {
     "op8_source_mixing": lambda spark, sf: mixing.op8(documents(spark, sf)),
     "op8_training_order": lambda spark, sf: mixing.training_order(documents(spark, sf)),
     "op9_order_minhash": lambda spark, sf: near_dup.op9(documents(spark, sf)),
+    "op11_hard_negatives": lambda spark, sf: (ship(spark), mining.op11(table(spark, sf, "embeddings")))[1],
+    "op12_source_divergence": lambda spark, sf: divergence.op12(documents(spark, sf)),
+    "op13_token_files": lambda spark, sf: token_files.op13(documents(spark, sf)),
 }
-ORACLES: dict[str, str] = {"op8_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op8_source_mixing": mixing.ORACLE, "op11_hard_negatives": mining.ORACLE, "op12_source_divergence": divergence.ORACLE}
