@@ -60,14 +60,13 @@ def _wide(m: np.ndarray, dims: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T as 64-bit integers, exact: in doubles where no sum can reach 2**53, else in integers."""
+    """a @ b.T as 64-bit integers, exact: in doubles where no sum can reach 2**53, else in integers
+    (``visit`` has checked that they fit)."""
     if not a.size or not b.size:
         return np.zeros((len(a), len(b)), np.int64)
     most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1]
     if most < 2.0**53:
         return (a @ b.T).astype(np.int64)
-    if most >= 2.0**63:
-        raise OverflowError("a score may be beyond 64 bits")
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
@@ -143,6 +142,8 @@ def visit(lists: Lists, x: np.ndarray, labels: np.ndarray, own: np.ndarray, low:
     middle, reach = x @ lists.centres.T, norms[:, None] * lists.radii[None, :]
     slack = 1e-6 + 1e-9 * (norms[:, None] * np.sqrt((lists.centres**2).sum(axis=1))[None, :] + reach)
     upper, lower = middle + reach + slack, middle - reach - slack
+    if max(upper.max(), -lower.min()) >= 2.0**63:
+        raise OverflowError("a score may be beyond 64 bits")
     upper[(upper < low[:, None]) | (lower > high[:, None])] = -np.inf  # outside of the window
     order = np.argsort(-upper, axis=1, kind="stable")
     going, made = np.arange(n), 0
