@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import sigmoid, softplus_neg
+from tessera.functions.vectors import dot, sigmoid, softplus_neg
+from tessera.operators import tiles
+from tessera.operators.metrics import padded
 
 
 def _log_sum_exp(x: Column, bound: float) -> Column:
@@ -37,6 +40,58 @@ def pairwise_sigmoid(sims: DataFrame, log_scale: float, bias: float, valid: Colu
     return rows.agg((F.sum(per) / F.greatest(n, F.lit(1))).alias("loss")).filter("loss is not null")
 
 
+def _lines(pairs: DataFrame, keys: DataFrame, value, log: bool) -> DataFrame:
+    """Each pair of ``pairs`` (i, u, v, own, ...) with ``totals``: its row's and its column's total over ``keys``."""
+    n, m = pairs.count(), keys.count()
+    texts = pairs.join(keys, "i", "left_semi")
+    states = tiles.line_states(tiles.pack(pairs, "i", "u", n), tiles.pack(texts, "i", "v", m), n, m, value, log)
+    both = states.groupBy("line").agg(*[F.max(F.when(F.col("side") == k, F.col("total"))).alias(name) for k, name in ((0, "row"), (1, "col"))])
+    return pairs.join(both, F.col("i") == F.col("line"))
+
+
+def batch_info_nce(pairs: DataFrame, scale: float) -> DataFrame:
+    """loss: ``info_nce`` of one batch of any size; ``pairs`` is (i, u, v), and every u meets every v.
+
+    The similarities are never rows: a tile hands on the largest logit and the scaled sum of each of its lines, so the
+    result is that of one softmax over the whole line whatever the tiles, the scale and the size. No row if empty.
+    """
+    if pairs.isEmpty():
+        return pairs.sparkSession.createDataFrame([], "loss double")
+    got = _lines(pairs, pairs.select("i"), lambda s, i, j: s * scale, True)
+    return got.agg(F.avg((F.col("row") + F.col("col")) / 2 - scale * dot(F.col("u"), F.col("v"))).alias("loss"))
+
+
+def batch_sigmoid(pairs: DataFrame, log_scale: float, bias: float, rank: str | None = None, valid: Column | None = None) -> DataFrame:
+    """loss (with ``rank``: rank, n, padding, loss): the pairwise sigmoid loss of one batch of any size.
+
+    Every row of a rank meets the keys of all ranks, in both directions; its loss is the sum over its rows divided by their
+    number, whatever the numbers of the other ranks. Padding up to the largest rank is only counted, as no padded key is
+    ever made. Keys that are not ``valid`` are left out; their rows still ask.
+    """
+    spark, column = pairs.sparkSession, [] if rank is None else [rank]
+    if pairs.isEmpty():
+        kinds = "" if rank is None else f"`{rank}` {dict(pairs.dtypes)[rank]}, n long, padding long, "
+        return spark.createDataFrame([], f"{kinds}loss double")
+    keys = (pairs if valid is None else pairs.filter(valid)).select("i")
+    factor = float(np.exp(log_scale))
+
+    def value(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        x = np.where(i == j, 1.0, -1.0) * (factor * s + bias)
+        return np.maximum(-x, 0) + np.log1p(np.exp(-np.abs(x)))
+
+    rows = pairs.select("i", "u", "v", *column)
+    n, m = rows.count(), keys.count()
+    parts = []
+    for ask, key in (("u", "v"), ("v", "u")):  # images ask texts, texts ask images
+        sums = tiles.line_states(tiles.pack(rows, "i", ask, n), tiles.pack(rows.join(keys, "i", "left_semi"), "i", key, m), n, m, value, False)
+        parts.append(sums.filter("side = 0").select("line", "total"))
+    per = parts[0].unionByName(parts[1]).groupBy("line").agg((F.sum("total") / 2).alias("total"))
+    if rank is None:
+        return per.agg((F.coalesce(F.sum("total"), F.lit(0.0)) / F.lit(n)).alias("loss"))
+    ranks = rows.select("i", rank).join(per, F.col("i") == F.col("line"), "left").groupBy(rank).agg(F.count("*").alias("n"), (F.coalesce(F.sum("total"), F.lit(0.0)) / F.count("*")).alias("loss"))
+    return padded(ranks).select(rank, "n", "padding", "loss")
+
+
 def triplet_loss(cands: DataFrame, margin: float = 0.2, anchor: str = "anchor") -> DataFrame:
     """loss: mean over anchors with both kinds of relu(margin + hardest negative - mean positive); 0 without any."""
     pos, neg = F.col("label") == 1, F.col("label") != 1

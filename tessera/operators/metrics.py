@@ -38,8 +38,11 @@ def mean_of_means(rows: DataFrame, rank: str, value: str) -> DataFrame:
     return rows.groupBy(rank).agg(F.avg(value).alias("m")).agg(F.avg("m").alias("value"))
 
 
+def padded(counts: DataFrame) -> DataFrame:
+    """Adds ``padding``: what each row's ``n`` lacks of the largest."""
+    return counts.withColumn("padding", counts.agg(F.max("n")).scalar() - F.col("n"))
+
+
 def counts_by_rank(rows: DataFrame, rank: str) -> DataFrame:
     """rank, n, padding up to the largest rank."""
-    per = rows.groupBy(rank).agg(F.count("*").alias("n"))
-    top = per.agg(F.max("n").alias("top"), F.lit(1).alias("_k"))
-    return per.withColumn("_k", F.lit(1)).join(top, "_k").select(rank, "n", (F.col("top") - F.col("n")).alias("padding"))
+    return padded(rows.groupBy(rank).agg(F.count("*").alias("n")))

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from tessera.functions.vectors import dot, l2_normalise
-
-BLOCK_ROWS = 4096
+from tessera.operators import tiles
+from tessera.session import durable
 
 
 def similarities(left: DataFrame, right: DataFrame, batch: str) -> DataFrame:
@@ -35,47 +34,16 @@ def candidate_similarities(anchors: DataFrame, candidates: DataFrame, texts: Dat
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, normalise: bool = True) -> DataFrame:
-    """query_id, rank, vec_id, score: the k largest inner products, ties by the smaller id.
+    """query_id, rank, vec_id, score: the k largest inner products, ties by the smaller id; scores are compared at 12 digits.
 
-    ``queries`` (query_id, v) is a stated set that is cut into blocks of BLOCK_ROWS; each block meets each partition of
-    the corpus once and only its best k leave the task, so the shuffle holds queries * partitions * k rows.
+    Any number of queries: both sides are cut into blocks of near vectors, and only those tiles are worked through that can
+    hold one of the k best (see ``tiles``).
     """
-    spark = queries.sparkSession
-    q = queries.select("query_id", (l2_normalise(F.col("v")) if normalise else F.col("v")).alias("v"))
-    c = corpus.select("vec_id", (l2_normalise(F.col("v")) if normalise else F.col("v")).alias("v"))
-    parts = []
-    block = q.withColumn("_b", F.lit(0))
-    n = queries.count()
-    n_blocks = max(1, -(-n // BLOCK_ROWS))
-    if n_blocks > 1:
-        block = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-    for b in range(n_blocks):
-        rows = block.filter(F.col("_b") == b).orderBy("query_id").collect()  # one block of about BLOCK_ROWS vectors
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], float)))
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, mat = shared.value
-            best_s = np.full((len(ids), 0), -np.inf)
-            best_i = np.full((len(ids), 0), -1, np.int64)
-            for f in frames:
-                if not len(f):
-                    continue
-                s = mat @ np.stack(f["v"].to_numpy()).astype(float).T
-                s = np.concatenate([best_s, np.round(s, 12)], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(f["vec_id"].to_numpy(), (len(ids), len(f)))], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            if best_s.shape[1]:
-                yield pd.DataFrame({"query_id": np.repeat(ids, best_s.shape[1]), "vec_id": best_i.ravel(), "score": best_s.ravel()})
-
-        parts.append(c.mapInPandas(run, "query_id long, vec_id long, score double"))
-    out = parts[0] if parts else spark.createDataFrame([], "query_id long, vec_id long, score double")
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    unit = lambda df, name: df.select(name, (l2_normalise(F.col("v")) if normalise else F.col("v")).alias("v"))
+    n, m = queries.count(), corpus.count()
+    if not n or not m:
+        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    return tiles.top_k(tiles.pack(unit(queries, "query_id"), "query_id", "v", n), tiles.pack(unit(corpus, "vec_id"), "vec_id", "v", m), n, m, k)
 
 
 def top_k_both_ways(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
@@ -88,54 +56,39 @@ def top_k_both_ways(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     return rows.unionByName(top_k(b, turn(a), k).withColumn("side", F.lit("t2i")))
 
 
+@F.pandas_udf(DoubleType())
+def _score(u: pd.Series, v: pd.Series) -> pd.Series:
+    """The inner product of two vectors as the tiles work it out, to 12 digits."""
+    return pd.Series([round(float(np.dot(a, b)), tiles.DIGITS) for a, b in zip(u, v)], dtype="float64")
+
+
+def complete_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """i, u, v of the ids that both sides have."""
+    return left.join(right, F.col("i") == F.col("j")).select("i", F.col("u").cast("array<double>").alias("u"), F.col("v").cast("array<double>").alias("v"))
+
+
 def recall_at_k(left: DataFrame, right: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """metric, value: R@k both ways and hit@5 for (i, u) and (j, v) of any number of pairs; gold is i = j.
 
-    The rank of gold is one plus the number of better ones (ties: smaller index first), so nothing is sorted. Names use
-    k clipped to n; no rows for an empty table.
-
-    Blocks of BLOCK_ROWS queries meet each partition of the other side once; a task hands on one count a query. Scores
-    are compared at 12 digits.
+    The rank of gold is one plus the number of better ones (ties: smaller index first), so nothing is sorted; tiles whose
+    scores all lie below the gold scores of their rows are not worked through. Names use k clipped to n; no rows for an
+    empty table. Scores are compared at 12 digits.
     """
     spark = left.sparkSession
-    gold = left.join(right, F.col("i") == F.col("j")).select("i", "u", "v")
+    gold = complete_pairs(left, right).withColumn("own", _score("u", "v"))
     n = gold.count()
     if n == 0:
         return spark.createDataFrame([], "metric string, value double")
+    gold = durable(gold) if n > tiles.BLOCK_ROWS else gold
     clipped = sorted({min(k, n) for k in ks})
-    n_blocks = -(-n // BLOCK_ROWS)
-
-    def side(queries: DataFrame, corpus: DataFrame, name: str) -> DataFrame:
-        parts = []
-        for b in range(n_blocks):
-            rows = queries.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b).collect()  # one block of about BLOCK_ROWS pairs
-            if not rows:
-                continue
-            shared = spark.sparkContext.broadcast((np.array([r["i"] for r in rows], np.int64), np.array([r["a"] for r in rows], float), np.array([r["b"] for r in rows], float)))
-
-            def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-                ids, mat, own = shared.value
-                best = np.round((mat * own).sum(axis=1), 12)[:, None]
-                better = np.zeros(len(ids), np.int64)
-                for f in frames:
-                    if len(f):
-                        s, other = np.round(mat @ np.stack(f["x"].to_numpy()).astype(float).T, 12), f["id"].to_numpy()[None, :]
-                        better += ((other != ids[:, None]) & ((s > best) | ((s == best) & (other < ids[:, None])))).sum(axis=1)
-                yield pd.DataFrame({"i": ids, "better": better})
-
-            parts.append(corpus.mapInPandas(run, "i long, better long"))
-        counts = parts[0]
-        for part in parts[1:]:
-            counts = counts.unionByName(part)
-        ranks = counts.groupBy("i").agg((1 + F.sum("better")).alias("rank"))
-        wide = ranks.agg(*[F.round(F.avg((F.col("rank") <= k).cast("double")), 4).alias(f"r{k}") for k in clipped])
-        return wide.select(F.explode(F.array(*[F.struct(F.lit(f"{name}_R@{k}").alias("metric"), F.col(f"r{k}").alias("value")) for k in clipped])).alias("m")).select("m.*")
-
-    i2t = side(gold.select("i", F.col("u").alias("a"), F.col("v").alias("b")), gold.select(F.col("i").alias("id"), F.col("v").alias("x")), "i2t")
-    t2i = side(gold.select("i", F.col("v").alias("a"), F.col("u").alias("b")), gold.select(F.col("i").alias("id"), F.col("u").alias("x")), "t2i")
-    both = i2t.unionByName(t2i)
-    hit = both.filter(F.col("metric") == (f"i2t_R@{min(5, n)}" if 5 in clipped else "i2t_R@1")).select(F.lit("hit@5").alias("metric"), "value")
-    return both.unionByName(hit)
+    images, texts = (tiles.pack(gold, "i", c, n, F.col("own")) for c in ("u", "v"))
+    sides = [tiles.count_better(a, b, n, n).withColumn("side", F.lit(name)) for name, a, b in (("i2t", images, texts), ("t2i", texts, images))]
+    share = lambda k: F.round(F.avg((F.col("better") < k).cast("double")), 4)
+    wide = sides[0].unionByName(sides[1]).groupBy("side").agg(*[share(k).alias(f"r{k}") for k in clipped])
+    named = [F.struct(F.concat("side", F.lit(f"_R@{k}")).alias("metric"), F.col(f"r{k}").alias("value")) for k in clipped]
+    hit = F.struct(F.lit("hit@5").alias("metric"), F.col(f"r{min(5, n)}" if 5 in ks else f"r{clipped[0]}").alias("value"))
+    rows = F.when(F.col("side") == "i2t", F.array(*named, hit)).otherwise(F.array(*named))
+    return wide.select(F.inline(rows))
 
 
 def train_cells(corpus: DataFrame, n_cells: int, seed: int = 42, sample: int = 100_000, rounds: int = 10) -> np.ndarray:

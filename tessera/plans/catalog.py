@@ -335,6 +335,45 @@ def sigmoid_loss(spark, sf):
     return losses.pairwise_sigmoid(_batch_sims(spark, sf), math.log(10.0), -10.0).select(F.round("loss", 6).alias("loss"))
 
 
+def _all_pairs(spark, sf):
+    return retrieval.complete_pairs(*_pairs(spark, sf))
+
+
+@query(
+    f"""WITH {_PAIRS}, x AS (SELECT i, j, s * 100 AS x FROM sims), mi AS (SELECT i, max(x) AS m FROM x GROUP BY i), mj AS (SELECT j, max(x) AS m FROM x GROUP BY j),
+    ri AS (SELECT x.i, any_value(m) + ln(sum(exp(x - m))) AS l FROM x JOIN mi ON x.i = mi.i GROUP BY x.i), rj AS (SELECT x.j, any_value(m) + ln(sum(exp(x - m))) AS l FROM x JOIN mj ON x.j = mj.j GROUP BY x.j)
+    SELECT round(avg((ri.l + rj.l) / 2 - x.x), 6) AS loss FROM x JOIN ri ON x.i = ri.i JOIN rj ON x.j = rj.j WHERE x.i = x.j"""
+)
+def info_nce_one_batch(spark, sf):
+    """All pairs of the table are one batch."""
+    return losses.batch_info_nce(_all_pairs(spark, sf), 100.0).select(F.round("loss", 6).alias("loss"))
+
+
+_SOFTPLUS = "greatest(-x, 0) + ln(1 + exp(-abs(x)))"
+
+
+@query(f"WITH {_PAIRS}, x AS (SELECT i, (CASE WHEN i = j THEN 1 ELSE -1 END) * (10 * s - 10) AS x FROM sims) SELECT round(sum({_SOFTPLUS}) / count(DISTINCT i), 6) AS loss FROM x")
+def sigmoid_one_batch(spark, sf):
+    import math
+
+    return losses.batch_sigmoid(_all_pairs(spark, sf), math.log(10.0), -10.0).select(F.round("loss", 6).alias("loss"))
+
+
+@query(
+    f"""WITH {_PAIRS}, x AS (SELECT i, j, (CASE WHEN i = j THEN 1 ELSE -1 END) * (10 * s - 10) AS x FROM sims),
+    one AS (SELECT i, {_SOFTPLUS} AS l FROM x WHERE j % 5 <> 0 UNION ALL SELECT j, {_SOFTPLUS} FROM x WHERE i % 5 <> 0),
+    r AS (SELECT least(i % 7, 3) AS rank, count(DISTINCT i) AS n, sum(l) / 2 / count(DISTINCT i) AS loss FROM one GROUP BY 1)
+    SELECT CAST(rank AS BIGINT) AS rank, n, max(n) OVER () - n AS padding, round(loss, 6) AS loss FROM r"""
+)
+def sigmoid_by_rank(spark, sf):
+    """Ranks of unequal numbers of rows share one batch; keys with an id divisible by 5 are not valid."""
+    import math
+
+    rows = _all_pairs(spark, sf).withColumn("rank", F.least(F.col("i") % 7, F.lit(3)))
+    got = losses.batch_sigmoid(rows, math.log(10.0), -10.0, "rank", F.col("i") % 5 != 0)
+    return got.select("rank", "n", "padding", F.round("loss", 6).alias("loss"))
+
+
 @query(
     f"""WITH {_SIDES}, z AS (SELECT u.i, t.j, round(list_sum(list_transform(range(1, 65), lambda k: u.v[k] * t.v[k]))
         / sqrt(list_sum(list_transform(u.v, lambda x: x * x)) * list_sum(list_transform(t.v, lambda x: x * x))), 12) AS s FROM u, t),

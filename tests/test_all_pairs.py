@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import retrieval
+from tessera.operators import losses, retrieval, tiles
 from tessera.plans import catalog
 
 N = 450
@@ -20,7 +21,7 @@ def pairs(spark, tmp_path_factory):
 
 
 def test_recall_reads_every_pair(spark, pairs, monkeypatch):
-    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(tiles, "BLOCK_ROWS", 60)
     sf, u, v = pairs
     s = u @ v.T
     want = {}
@@ -44,3 +45,63 @@ def test_losses_read_every_batch(spark, pairs):
     one = lambda name: catalog.QUERIES[name](spark, sf).first()["loss"]
     assert one("info_nce_loss") == pytest.approx(np.mean(ce), abs=2e-6)
     assert one("sigmoid_loss") == pytest.approx(sig / N, abs=2e-6)
+
+
+def test_top_k_by_tiles(spark, monkeypatch):
+    """Many blocks, stripes and seeds; ties over blocks; clustered vectors, so that most tiles are out of reach."""
+    for name, value in (("BLOCK_ROWS", 40), ("STRIPE", 2), ("GROUP", 3)):
+        monkeypatch.setattr(tiles, name, value)
+    rng = np.random.default_rng(9)
+    centres = np.eye(12) * 5
+    data = np.round(centres[rng.integers(0, 12, 700)] + rng.normal(0, 0.3, (700, 12)), 2)
+    data[100:160] = data[100]  # ties
+    rows = [(int(i), data[i].tolist()) for i in rng.permutation(700)]
+    corpus = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    queries = corpus.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    got = {}
+    for r in retrieval.top_k(queries, corpus, 7, normalise=False).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    s = np.round(data @ data.T, 12)
+    for q in range(0, 700, 3):
+        want = np.lexsort((np.arange(700), -s[q]))[:7].tolist()
+        assert [got[q][k][0] for k in range(1, 8)] == want
+        assert [got[q][k][1] for k in range(1, 8)] == pytest.approx(s[q][want].tolist())
+    assert len(got) == 234
+
+
+def test_tiles_out_of_reach_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(2)
+    data = (np.eye(10) * 10)[np.repeat(np.arange(10), 50)] + rng.normal(0, 0.05, (500, 10))
+    df = spark.createDataFrame([(i, v.tolist(), float((v * v).sum()) - 1) for i, v in enumerate(data)], "id long, v array<double>, need double")
+    blocks = tiles.pack(df, "id", "v", 500, F.col("need"))
+    n = blocks.count()
+    pairs = tiles.plan(blocks, blocks, 500, 500, tiles.within_reach).collect()
+    assert n >= 10 and n <= len(pairs) < n * n / 2
+
+
+@pytest.mark.parametrize("size", [1, 130])
+def test_one_batch_of_any_size(spark, monkeypatch, size):
+    monkeypatch.setattr(tiles, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(tiles, "STRIPE", 2)
+    rng = np.random.default_rng(size)
+    u, v = rng.normal(size=(size, 8)) * 4, rng.normal(size=(size, 8)) * 4  # logits of thousands: no exponential of them is finite
+    rows = spark.createDataFrame([(i, u[i].tolist(), v[i].tolist(), i % 3 // 2) for i in range(size)], "i long, u array<double>, v array<double>, rank int")
+    s = u @ v.T
+    lse = lambda m: m.max(axis=1) + np.log(np.exp(m - m.max(axis=1, keepdims=True)).sum(axis=1))
+    want = np.mean([lse(50 * s) - 50 * np.diag(s), lse(50 * s.T) - 50 * np.diag(s)])
+    assert losses.batch_info_nce(rows, 50.0).first()["loss"] == pytest.approx(want)
+    x = np.where(np.eye(size) > 0, 1, -1) * (3 * s + 0.5)
+    per = np.maximum(-x, 0) + np.log1p(np.exp(-np.abs(x)))
+    assert losses.batch_sigmoid(rows, np.log(3.0), 0.5).first()["loss"] == pytest.approx(per.sum() / size)
+    one = (per.sum(axis=1) + per.sum(axis=0)) / 2
+    got = {r["rank"]: r for r in losses.batch_sigmoid(rows, np.log(3.0), 0.5, "rank").collect()}
+    ranks = np.arange(size) % 3 // 2
+    for r in set(ranks.tolist()):
+        assert got[r]["loss"] == pytest.approx(one[ranks == r].mean()) and got[r]["n"] == (ranks == r).sum()
+    assert min(r["padding"] for r in got.values()) == 0
+
+
+def test_no_pairs(spark):
+    none = spark.createDataFrame([], "i long, u array<double>, v array<double>, rank int")
+    assert losses.batch_info_nce(none, 1.0).count() == losses.batch_sigmoid(none, 1.0, 1.0).count() == losses.batch_sigmoid(none, 1.0, 1.0, "rank").count() == 0
