@@ -40,7 +40,7 @@ MIN_DOCS = 10
 TOP = 10
 SCALE = 1_000_000_000
 #: Bytes of terms in one block of the vocabulary, entries that a task counts before it hands them on, postings of a bucket.
-BLOCK_BYTES, MAX_ENTRIES, BUCKET_ROWS = 4_000_000, 400_000, 50_000
+BLOCK_BYTES, MAX_ENTRIES, BUCKET_ROWS = 4_000_000, 400_000, 20_000
 
 #: What a byte of UTF-8 text becomes: A-Z their small letters; a-z and all bytes of characters beyond ASCII stay; else a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

@@ -11,9 +11,11 @@ Rules give spans of three kinds (``assign``, ``access``, ``hex``). The battery a
    (digits, capitals, small letters, signs), lag-1 serial correlation of the digit values. Each has two tails. A candidate must not be rejected as random by
    any of the three (Bonferroni over the three, level ``ALPHA``). And each gives a p-value against the null "written by a
    person": that null repeats letters (coincidence ``PROSE_KAPPA``, so that the statistic is about normal with mean
-   k(1+(n-1)kappa)-n), changes between kinds at a rate of at most ``PROSE_CHANGES`` (bounded by Chernoff), and has
+   k(1+(n-1)kappa)-n), changes between kinds at a rate of at most ``PROSE_CHANGES`` (Chernoff's bound, sharpened), and has
    values that go with their neighbours (correlation ``PROSE_SERIAL`` in strings of several kinds).
-4. The three p-values are combined by their harmonic mean, which holds whatever depends on what; that one is controlled.
+4. Three times the smallest of the three p-values, and at most 1, is a p-value whatever depends on what (Bonferroni); that
+   one is controlled. The harmonic mean alone is none: it may be too small by a factor of 2.7, and with that factor it is
+   the larger of the two unless the three are about equal.
 5. Benjamini-Hochberg at rate ``FDR`` within each length class over the candidates of the whole corpus. The p-values
    are counted in bins of 1/20 of a decade and each counts as its bin's upper edge, so the step is a sum over at most
    a few thousand bins, never a sort of all candidates, and errs on the side of fewer discoveries.
@@ -23,6 +25,8 @@ Nulls: a null text counts as empty. Rows with null ids and repeated rows give on
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -181,6 +185,9 @@ def battery(df: DataFrame, body: str = "body") -> DataFrame:
     # Chernoff's bound of a binomial upper tail: exp(-steps * divergence of the rate seen from the null's)
     rate = F.least(F.greatest(F.try_divide(changes, steps), F.lit(PROSE_CHANGES)), F.lit(1 - 1e-9))
     away = rate * F.log(rate / PROSE_CHANGES) + (1 - rate) * F.log((1 - rate) / (1 - PROSE_CHANGES))
+    # the tail is at most its first term times a geometric sum, and Stirling's formula bounds that term
+    first = F.sqrt(steps / (2 * math.pi * changes * (steps - changes))) * (changes + 1) * (1 - PROSE_CHANGES) / (changes + 1 - (steps + 1) * PROSE_CHANGES)
+    sharper = F.when((changes < steps) & (changes > steps * PROSE_CHANGES), F.least(first, F.lit(1.0))).otherwise(F.lit(1.0))
     known = F.col("encoding").isNotNull() & (n > 1)
     # each z is a column of its own, and the tails one lambda over their array: the expression trees stay small
     df = df.withColumn("_z", F.when(known, F.array(_chi2_z(F.col("_x2"), k - 1), -F.abs(z_runs), -F.abs(z_serial), z_prose, z_human)))
@@ -191,14 +198,19 @@ def battery(df: DataFrame, body: str = "body") -> DataFrame:
             "p_runs": F.when(known, 2 * F.get("_p", F.lit(1))),
             "p_serial": F.when(known, 2 * F.get("_p", F.lit(2))),
             "h_uniform": F.when(known, F.greatest(F.get("_p", F.lit(3)), F.lit(FLOOR_P))),
-            "h_runs": F.when(known, F.greatest(F.exp(-steps * away), F.lit(FLOOR_P))),
+            "h_runs": F.when(known, F.greatest(sharper * F.exp(-steps * away), F.lit(FLOOR_P))),
             "h_serial": F.when(known, F.greatest(F.get("_p", F.lit(4)), F.lit(FLOOR_P))),
         }
     )
-    df = df.withColumn("p", F.when(known, 3 / (1 / F.col("h_uniform") + 1 / F.col("h_runs") + 1 / F.col("h_serial"))))
+    df = df.withColumn("p", F.when(known, combined(F.col("h_uniform"), F.col("h_runs"), F.col("h_serial"))))
     return df.drop("_z", "_p", "_abc", "_k", "_core", "_n", "_chars", "_sq", "_x2", "_runs", "_alike", "_v", "_mean", "_var", "_lag", "_r")
 
 
+def combined(*ps: Column) -> Column:
+    """One p-value of several that may depend on each other in any way."""
+    return F.least(F.lit(1.0), len(ps) * F.least(*ps))
+
+
 def _length_class(n: Column) -> Column:
     return sum((F.when(n >= cut, 1).otherwise(0) for cut in LENGTH_CLASSES[1:]), F.when(n >= LENGTH_CLASSES[0], 1).otherwise(0))
 

@@ -81,7 +81,7 @@ def test_battery_by_hand(spark):
     }
     for name, value in want.items():
         assert math.isclose(r[0][name], value, rel_tol=1e-3, abs_tol=1e-7), name
-    assert math.isclose(r[0]["p"], 3 / sum(1 / r[0][h] for h in ("h_uniform", "h_runs", "h_serial")), rel_tol=1e-9)
+    assert math.isclose(r[0]["p"], min(1, 3 * min(r[0][h] for h in ("h_uniform", "h_runs", "h_serial"))), rel_tol=1e-9)
     assert all(x["p"] is None for x in r[1:4]) and r[4]["p_uniform"] < 1e-9
 
 
@@ -106,3 +106,38 @@ def test_redact_and_empty(spark, none):
 
 def test_long_texts_and_rows(docs, rows):
     assert secrets.op1(docs).count() == len(rows)
+
+
+def test_combined_p_holds_for_dependent_ones(spark):
+    """The worst cases: three p-values that depend on each other so that their harmonic mean alone is too small."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    u = rng.random(60_000)
+    same = [u, u, u]
+    turned = [u, (u + 1 / 3) % 1, (u + 2 / 3) % 1]
+    # one of the three is below, the others are as large as uniform margins let them be
+    which = rng.integers(0, 3, len(u))
+    level = 0.05
+    apart = [np.where(u < 3 * level, np.where(which == k, u / 3, level + 2 * level * rng.random(len(u))), u) for k in range(3)]
+    for ps in (same, turned, apart):
+        df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*ps)], "a double, b double, c double")
+        got = df.select(secrets.combined(F.col("a"), F.col("b"), F.col("c")).alias("p")).toPandas()["p"].to_numpy()
+        assert got.max() <= 1
+        for at in (0.01, 0.05, 0.2):
+            assert (got <= at).mean() <= at + 4 * np.sqrt(at / len(u))
+
+
+def test_runs_p_is_an_upper_bound_of_the_binomial_tail(spark):
+    """Strings with 1 to 22 changes of kind between 24 characters."""
+    texts = []
+    for changes in range(1, 24):
+        kinds = [i % 2 for i in range(changes + 1)] + [(changes % 2)] * (23 - changes)
+        texts.append("".join("a1"[k] for k in kinds))
+    got = {r["body"]: r["h_runs"] for r in secrets.battery(spark.createDataFrame([(t,) for t in texts], "body string")).collect()}
+    q = secrets.PROSE_CHANGES
+    for changes, t in enumerate(texts, 1):
+        tail = sum(math.comb(23, k) * q**k * (1 - q) ** (23 - k) for k in range(changes, 24))
+        assert tail <= got[t] * (1 + 1e-6)
+        if changes > 23 * q + 2:
+            assert got[t] <= 1.6 * tail
