@@ -41,7 +41,7 @@ def next_fit(df: DataFrame, group: str, order: str, tokens: str, budget: int, pa
     composed in order per group, and then every range is numbered from its true entry.
     """
     key = F.struct(F.col(group).isNull().alias("n"), F.col(group).alias("g"))
-    rows = _ranged(df, group, order, part_rows).withColumn("_g", key)
+    rows = _ranged(df, [group, order], part_rows).withColumn("_g", key)
     entry = _entries(rows, order, tokens, budget)
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     names = [*df.columns]
@@ -60,15 +60,15 @@ def next_fit(df: DataFrame, group: str, order: str, tokens: str, budget: int, pa
     return got.groupBy("_g", "_part").applyInPandas(number, f"{fields}, bin_id long")
 
 
-def _ranged(df: DataFrame, group: str, order: str, part_rows: int) -> DataFrame:
-    """Adds ``_part``: the number of the row's range, ascending in (group, order).
+def _ranged(df: DataFrame, by: list[str], part_rows: int) -> DataFrame:
+    """Adds ``_part``: the number of the row's range, ascending in the columns ``by``.
 
     The ranges come from a sample, so they are written once: both readers see the same ones.
     """
     n_parts = -(-df.count() // part_rows)
     if n_parts <= 1:
         return df.withColumn("_part", F.lit(0))
-    return durable(df.repartitionByRange(n_parts, F.col(group), F.col(order)).withColumn("_part", F.spark_partition_id()))
+    return durable(df.repartitionByRange(n_parts, *by).withColumn("_part", F.spark_partition_id()))
 
 
 def _entries(rows: DataFrame, order: str, tokens: str, budget: int) -> DataFrame:
@@ -126,43 +126,79 @@ def _entries(rows: DataFrame, order: str, tokens: str, budget: int) -> DataFrame
     return ordered.mapInPandas(lambda frames: (compose(f) for f in frames), f"_g {kind}, _part int, _fill long, _bin long")
 
 
-def first_fit_decreasing_ids(tokens: np.ndarray, budget: int) -> np.ndarray:
-    """Bin number of each item: largest first (ties in order), each into the first bin with room, else a new one.
+def first_fit_runs(lengths: np.ndarray, counts: np.ndarray, budget: int) -> list[tuple[int, int, int, int, int]]:
+    """First fit decreasing of a histogram: entries (length, first rank, items, first bin, items a bin).
 
-    A tree of maxima over the bins finds the first with room in log steps. An item over the budget gets its own bin.
+    Items of one length are alike, and what they meet is runs of neighbouring bins with the same room. Each bin of a run
+    with room takes items until the next one no longer fits, so the items of a length fill the runs in order: the running
+    sum of what the runs can take tells how far they get, the last run they reach is split, and what is left opens a run of
+    new bins. An item over the budget has its own bin. Runs grow by at most four a length, whatever the counts are.
     """
-    n = len(tokens)
-    size = 1 << max(1, n).bit_length()
-    tree = np.full(2 * size, budget, np.int64)  # all bins that may be needed, still empty
-    out = np.empty(n, np.int64)
-    for i in np.argsort(-tokens, kind="stable").tolist():
-        t = int(tokens[i])
-        k = 1
-        if t > budget:
-            # the first empty bin
-            while k < size:
-                k = 2 * k if tree[2 * k] == budget else 2 * k + 1
-            tree[k] = -1
-        else:
-            while k < size:
-                k = 2 * k if tree[2 * k] >= t else 2 * k + 1
-            tree[k] -= t
-        out[i] = k - size
-        while k > 1:
-            k //= 2
-            tree[k] = max(tree[2 * k], tree[2 * k + 1])
-    return out
-
-
-def first_fit_decreasing(df: DataFrame, group: str, order: str, tokens: str, budget: int) -> DataFrame:
-    """Adds ``bin_id`` by first fit decreasing within each pack group."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order, kind="stable")
-        return f.assign(bin_id=first_fit_decreasing_ids(f[tokens].to_numpy(), budget))
-
-    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.groupBy(group).applyInPandas(run, f"{fields}, bin_id long")
+    first = size = room = np.empty(0, np.int64)
+    bins, entries = 0, []
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        t, c = int(lengths[i]), int(counts[i])
+        per = np.where(room >= t, room // t if t > 0 else c, 0)
+        ends = np.cumsum(per * size)
+        took = min(c, int(ends[-1])) if len(ends) else 0
+        if took:
+            k = int(np.searchsorted(ends, took))  # the last run that takes any
+            for j in np.flatnonzero(per[: k + 1]).tolist():
+                start = int(ends[j] - per[j] * size[j])
+                entries.append((t, start, min(took, int(ends[j])) - start, int(first[j]), int(per[j])))
+            whole, extra = divmod(entries[-1][2], int(per[k]))
+            parts = [(whole, room[k] - per[k] * t), (min(extra, 1), room[k] - extra * t), (int(size[k]) - whole - min(extra, 1), room[k])]
+            room[:k] -= per[:k] * t
+            first, size, room = _split(first, size, room, k, parts)
+        if c > took:
+            rest = c - took
+            each = 1 if t > budget else budget // t if t > 0 else rest
+            whole, extra = divmod(rest, each)
+            entries.append((t, took, rest, bins, each))
+            for n, left in ((whole, budget - each * t), (min(extra, 1), budget - extra * t)):
+                if n:
+                    first, size, room = np.append(first, bins), np.append(size, n), np.append(room, left)
+                    bins += n
+    return entries
+
+
+def _split(first: np.ndarray, size: np.ndarray, room: np.ndarray, k: int, parts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs with run ``k`` cut into ``parts`` (bins, room) from its front on."""
+    n, left = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64)
+    begin = first[k] + np.concatenate(([0], np.cumsum(n)[:-1]))
+    keep = n > 0
+    join = lambda x, mid: np.concatenate([x[:k], mid[keep], x[k + 1 :]])
+    return join(first, begin), join(size, n), join(room, left)
+
+
+def first_fit_decreasing(df: DataFrame, group: str, order: str, tokens: str, budget: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """Adds ``bin_id`` by first fit decreasing within each pack group; items of one length in ``order``.
+
+    No task holds a group: the bins follow from the group's histogram of lengths alone (``first_fit_runs``). An item then
+    needs its rank among those of its length, which is counted in ranges of about ``part_rows`` rows and carried over them,
+    and looks its bin up in the plan. A plan has at most as many entries as there are lengths and runs of bins.
+    """
+    key = F.struct(F.col(group).isNull().alias("n"), F.col(group).alias("g"))
+    ranged = _ranged(df, [group, tokens, order], part_rows).withColumn("_g", key)
+    kind = ranged.schema["_g"].dataType.simpleString()
+
+    def plan(f: pd.DataFrame) -> pd.DataFrame:
+        rows = first_fit_runs(f["_t"].to_numpy(np.int64), f["_c"].to_numpy(np.int64), budget)
+        return pd.DataFrame(rows, columns=["_t", "_from", "_n", "_first", "_per"]).assign(_g=[f["_g"].iloc[0]] * len(rows))[["_g", "_t", "_from", "_n", "_first", "_per"]]
+
+    sums = ranged.groupBy("_g", F.col(tokens).cast("long").alias("_t"), "_part").agg(F.count("*").alias("_c"))
+    lengths = sums.groupBy("_g", "_t").agg(F.sum("_c").alias("_c"))
+    entries = lengths.groupBy("_g").applyInPandas(plan, f"_g {kind}, _t long, _from long, _n long, _first long, _per long")
+    plans = entries.groupBy("_g", "_t").agg(F.collect_list(F.struct("_from", "_first", "_per")).alias("_plan"))  # the runs that one length meets
+    before = F.sum("_c").over(Window.partitionBy("_g", "_t").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    known = sums.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_c").join(plans, ["_g", "_t"])
+
+    rank = F.row_number().over(Window.partitionBy("_g", "_t", "_part").orderBy(order)) - 1
+    rows = ranged.withColumn("_t", F.col(tokens).cast("long")).withColumn("_r", rank).join(known, ["_g", "_t", "_part"])
+    at = F.col("_r") + F.col("_before")
+    entry = F.array_max(F.filter("_plan", lambda e: e["_from"] <= at))  # entries begin at different ranks
+    out = rows.withColumn("_e", entry).withColumn("bin_id", F.col("_e._first") + F.floor((at - F.col("_e._from")) / F.col("_e._per")).cast("long"))
+    return out.select(*df.columns, "bin_id")
 
 
 def build_bins(df: DataFrame, group: str, order: str, tokens: str, budget: int, strategy: str = "online", seed: int = 42) -> DataFrame:

@@ -218,13 +218,23 @@ def rank_shards(spark, sf):
     return rows.groupBy("rank").agg(F.count_distinct(F.concat_ws("/", "source", "bin_id")).alias("n_bins"), F.sum("tokens").alias("tokens"))
 
 
-@query()
+def _first_fit(order: str) -> str:
+    """First fit decreasing by a recursion: the rooms of a source's bins are a list, each document goes to the first with room."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, source, greatest(1, n_chars // 4) AS tokens, row_number() OVER (PARTITION BY source ORDER BY greatest(1, n_chars // 4) DESC, {order}) AS r FROM documents),
+    b AS (SELECT source, r, doc_id, tokens, 1::BIGINT AS p, [4000 - tokens] AS room FROM d WHERE r = 1
+      UNION ALL
+      SELECT source, r, doc_id, tokens, p, CASE WHEN p > len(room) THEN list_append(room, 4000 - tokens) ELSE list_transform(room, lambda x, i: CASE WHEN i = p THEN x - tokens ELSE x END) END
+      FROM (SELECT d.source, d.r, d.doc_id, d.tokens, b.room, coalesce(list_position(list_transform(b.room, lambda x: x >= d.tokens), true), len(b.room) + 1) AS p FROM b JOIN d ON d.source = b.source AND d.r = b.r + 1))
+    SELECT doc_id, source, tokens, p - 1 AS bin_id FROM b"""
+
+
+@query(_first_fit("doc_id"))
 def ffd_bins(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", F.greatest(F.lit(1), F.floor(F.col("n_chars") / 4)).cast("long").alias("tokens"))
     return packing.first_fit_decreasing(d, "source", "doc_id", "tokens", BUDGET)
 
 
-@query()
+@query(_first_fit("sha1('42|' || doc_id)"))
 def shuffled_bins(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", F.greatest(F.lit(1), F.floor(F.col("n_chars") / 4)).cast("long").alias("tokens"))
     return packing.build_bins(d, "source", "doc_id", "tokens", BUDGET, strategy="offline")

@@ -10,7 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-BATCH_ROWS = 2000
+#: Bytes of a batch for Python workers, where the session names no bound of its own.
+BATCH_BYTES = 8 << 20
 
 
 def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -31,11 +32,12 @@ def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSe
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package wherever the driver was started from.
 
-    Batches for Python hold at most BATCH_ROWS rows where the session has not set another number: with Spark's own 10000,
-    a batch of long texts can fill a worker.
+    Batches for Python are bounded in bytes, as rows may be long texts: with Spark's own bound a batch, its copies and what
+    is made of it can fill a worker. A bound that the session names already is left alone; so is the number of rows.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if bound not in spark.conf.getAll:
+        spark.conf.set(bound, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in have:
