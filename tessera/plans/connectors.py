@@ -11,7 +11,7 @@ from tessera.operators import batch, ingest, regions
 from tessera.plans.catalog import query, table
 from tessera.session import shared_dir
 from tessera.sources import tables
-from tessera.streaming import jobs
+from tessera.streaming import jobs, ordered
 
 
 def _folder(spark) -> str:
@@ -164,6 +164,29 @@ def stream_packing(spark, sf):
     return _drain(jobs.online_pack(stream, "source", "doc_id", "tokens", 4000)).select("doc_id", "bin_id")
 
 
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id, source, greatest(1, n_chars // 4) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+    b AS (SELECT source, r, doc_id, tokens, 0::BIGINT AS bin_id, tokens AS fill FROM d WHERE r = 1
+      UNION ALL
+      SELECT d.source, d.r, d.doc_id, d.tokens, CASE WHEN b.fill + d.tokens > 4000 THEN b.bin_id + 1 ELSE b.bin_id END,
+             CASE WHEN b.fill + d.tokens > 4000 THEN d.tokens ELSE b.fill + d.tokens END
+      FROM b JOIN d ON d.source = b.source AND d.r = b.r + 1)
+    SELECT source, bin_id, count(*) AS n_items, CAST(sum(tokens) AS BIGINT) AS tokens, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS items FROM b GROUP BY 1, 2"""
+)
+def stream_packing_in_order(spark, sf):
+    """A second a document; each comes up to 300 places late or early, in many files and micro-batches. The last file is a
+    heartbeat."""
+    path = _folder(spark)
+    docs = table(spark, sf, "documents").select("source", "doc_id", F.greatest(F.lit(1), F.floor(F.col("n_chars") / 4)).cast("long").alias("tokens"), F.timestamp_seconds(F.col("doc_id") + 86_400).alias("at"))
+    arrival = F.floor((F.col("doc_id") + F.pmod(F.xxhash64("doc_id"), F.lit(300))) / 250)
+    tables.write_jsonl(docs.repartitionByRange(8, arrival, F.xxhash64("doc_id", F.lit(1))), path)
+    tables.write_jsonl(docs.agg(F.max("at").alias("at")).select(F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tokens"), F.timestamp_seconds(F.unix_timestamp("at") + 2000).alias("at")), path, append=True)
+    stream = tables.stream_jsonl(spark, path, "source string, doc_id long, tokens long, at timestamp", files_per_batch=2)
+    with ordered.state_store(spark):
+        bins = _drain(ordered.pack_in_order(stream, "source", "doc_id", "tokens", "at", 4000, "1000 seconds"))
+    return bins.select("source", "bin_id", "n_items", "tokens", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
+
+
 @query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS image FROM events WHERE length('Describe the image in detail. [' || user_id || ']') >= 20")
 def stream_inference(spark, sf):
     ok, bad = _folder(spark), _folder(spark)

@@ -4,32 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators import batch as batch_ops
+from tessera.operators.packing import next_fit_ids
 
 
 def online_pack(stream: DataFrame, shard: str, order: str, tokens: str, budget: int) -> DataFrame:
     """shard, order, tokens, bin_id: next fit per shard across micro-batches.
 
-    The state is the open bin's number and fill. Rows of a micro-batch are put in the order of their sequence number;
-    a bin is closed by the item that does not fit, so the last one needs no flush: every row has its bin at once.
+    The state is the open bin's number and fill. Rows of a micro-batch are put in the order of their sequence number, and
+    batches are taken as they come (``ordered.pack_in_order`` waits for late rows instead); a bin is closed by the item that
+    does not fit, so the last one needs no flush: every row has its bin at once.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         bin_id, fill, used = (*state.get, True) if state.exists else (0, 0, False)
         f = pd.concat(list(frames)).sort_values(order, kind="stable")
-        out = []
-        for t in f[tokens].tolist():
-            if used and fill + t > budget:
-                bin_id, fill = bin_id + 1, 0
-            fill, used = fill + t, True
-            out.append(bin_id)
-        state.update((bin_id, fill))
-        yield pd.DataFrame({shard: key[0], order: f[order].to_numpy(), tokens: f[tokens].to_numpy(), "bin_id": out})
+        items = f[tokens].to_numpy(np.int64)
+        before = [fill] if used else []  # the open bin is an item before the others
+        ids = bin_id + next_fit_ids(np.concatenate((before, items)).astype(np.int64), budget)[len(before) :]
+        last = ids == ids[-1]
+        state.update((int(ids[-1]), int(items[last].sum()) + (fill if used and ids[-1] == bin_id else 0)))
+        yield pd.DataFrame({shard: key[0], order: f[order].to_numpy(), tokens: f[tokens].to_numpy(), "bin_id": ids})
 
     kinds = dict(stream.dtypes)
     schema = f"{shard} {kinds[shard]}, {order} {kinds[order]}, {tokens} {kinds[tokens]}, bin_id long"
