@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators import batch, ingest, regions
 from tessera.plans.catalog import query, table
 from tessera.session import shared_dir
-from tessera.sources import tables
+from tessera.sources import feed, tables
 from tessera.streaming import jobs, ordered
 
 
@@ -206,3 +206,53 @@ def stream_windows(spark, sf):
     rows = table(spark, sf, "events").select("ts", "value")
     stream = _arrivals(spark, sf, "events", "ts timestamp, value double", rows)
     return _drain(jobs.metric_windows(stream, "ts", "value", "1 hour")).select(F.unix_timestamp("window_start").alias("window_start"), "n", F.round("mean", 6).alias("mean"))
+
+
+def _shard_rows(spark, sf):
+    """Lines of a feed: one in seven turns is cut off, one in five has no URL."""
+    c = table(spark, sf, "conversations")
+    url = F.when(c["turn"] % 5 == 4, F.lit(None)).otherwise(F.concat(F.lit("https://example.org/"), c["conv_id"].cast("string"), F.lit("/"), c["turn"].cast("string")))
+    line = F.to_json(F.struct(url.alias("url"), F.concat_ws(" ", "role", c["turn"].cast("string")).alias("text")))
+    return c.select("conv_id", F.when((c["conv_id"] + c["turn"]) % 7 == 0, F.substring(line, 1, 10)).otherwise(line).alias("value"))
+
+
+_FEED = """WITH l AS (SELECT conv_id, turn, (conv_id + turn) % 7 = 0 AS cut, turn % 5 = 4 AS none FROM conversations),
+    r AS (SELECT conv_id, turn, CASE WHEN cut THEN 'not JSON' WHEN none THEN 'no url' ELSE 'good' END AS kind FROM l)"""
+
+
+@query(f"{_FEED} SELECT kind, count(*) AS n, CAST(coalesce(sum(CASE WHEN kind = 'good' THEN conv_id * 100 + turn END), 0) AS BIGINT) AS ids FROM r GROUP BY 1")
+def feed_batch(spark, sf):
+    """A feed in shards that are read in ranges of 4000 bytes."""
+    path = _folder(spark)
+    _shard_rows(spark, sf).select("value").repartition(3).write.text(path)
+    rows = feed.read_feed(spark, path, 4000)
+    place = F.split(F.regexp_replace("url", "https://example.org/", ""), "/")
+    ids = F.get(place, F.lit(0)).cast("long") * 100 + F.get(place, F.lit(1)).cast("long")
+    return rows.groupBy(F.coalesce("error", F.lit("good")).alias("kind")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("error").isNull(), ids)), F.lit(0)).alias("ids"))
+
+
+@query(f"{_FEED} SELECT kind, CAST(conv_id % 2 AS INTEGER) AS run, count(*) AS n FROM r GROUP BY 1, 2")
+def feed_stream(spark, sf):
+    """Two runs of one stream with a checkpoint: the second begins behind the shards of the first. Good rows are fetched,
+    bad ones are in quarantine; the run is told by the batch."""
+    path, good, bad, state = (_folder(spark) for _ in range(4))
+    rows = _shard_rows(spark, sf)
+    fetch = lambda df: tables.fetch(df, lambda url: url.encode())
+    for run in (0, 1):
+        part = f"{path}-{run}"
+        rows.filter(F.col("conv_id") % 2 == run).select("value").repartition(2).write.text(part)
+        _add_shards(spark, part, path, f"run{run}")
+        feed.ingest_stream(feed.stream_feed(spark, path, 4000), good, bad, state, fetch).awaitTermination()
+    whole = spark.read.parquet(good).filter(F.col("content") == F.col("url").cast("binary")).select(F.lit("good").alias("kind"), "batch")
+    rows = whole.unionByName(spark.read.parquet(bad).select(F.col("error").alias("kind"), "batch"))
+    return rows.groupBy("kind", F.col("batch").cast("int").alias("run")).agg(F.count("*").alias("n"))
+
+
+def _add_shards(spark, part: str, path: str, name: str) -> None:
+    """Moves the files of a folder into the feed under names of their own."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    store = paths(part).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(paths(path))
+    for f in store.listStatus(paths(part)):
+        if f.getPath().getName().startswith("part-"):
+            store.rename(f.getPath(), paths(f"{path}/{name}-{f.getPath().getName()}"))
