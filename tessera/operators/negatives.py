@@ -21,6 +21,14 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """At least ``sequence_ratio``, by built-in functions alone: no matching can take a character more often than both have it."""
+    count = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
+    both = F.aggregate(F.array_distinct(F.filter(F.split(a, ""), lambda c: c != "")), F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
+    total = F.length(a) + F.length(b)
+    return F.when(total > 0, 2.0 * both / total).otherwise(F.when(total == 0, F.lit(1.0)))
+
+
 def plausible(expr: Column, neg: Column) -> Column:
     """The cheap part of the check: not empty, another text, a length of 0.4 to 2.5 times."""
     n, m = F.length(expr), F.length(neg)
@@ -28,8 +36,12 @@ def plausible(expr: Column, neg: Column) -> Column:
 
 
 def valid_negatives(pairs: DataFrame, expr: str = "expr", neg: str = "neg", min_ratio: float = MIN_RATIO) -> DataFrame:
-    """Rows whose negative is plausible and similar enough; the ratio is worked out for plausible ones only."""
+    """Rows whose negative is plausible and similar enough, with ``ratio``.
+
+    Only what is plausible, and whose characters could make up the ratio at all, reaches Python.
+    """
     rows = pairs.filter(F.coalesce(plausible(F.col(expr), F.col(neg)), F.lit(False)))
+    rows = rows.filter(ratio_bound(F.col(expr), F.col(neg)) >= min_ratio)
     return rows.withColumn("ratio", sequence_ratio(expr, neg)).filter(F.col("ratio") >= min_ratio)
 
 

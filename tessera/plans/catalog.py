@@ -536,14 +536,64 @@ def rule_negatives(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.explode(made).alias("neg"))
 
 
-@query()
+#: The longest common part of two strings: its length k and where it begins, earliest in a, then in b.
+_LONGEST = """list_transform([list_transform(range(1, len(a) + 1), lambda i: list_max(list_filter(range(0, len(a) - i + 2), lambda k: contains(b, substr(a, i, k)))))],
+    lambda ks: {'k': list_max(ks), 'i': list_position(ks, list_max(ks)), 'j': instr(b, substr(a, list_position(ks, list_max(ks)), list_max(ks)))})[1]"""
+
+
+def _ratios(pairs: str) -> str:
+    """CTEs that end in ``ratios`` (a, b, ratio) of the distinct pairs: the longest common part, then what lies left and right of it."""
+    return f"""_pairs AS (SELECT DISTINCT a, b FROM ({pairs})),
+    _parts AS (SELECT a AS wa, b AS wb, a, b, {_LONGEST} AS m FROM _pairs WHERE a <> '' AND b <> ''
+      UNION ALL
+      SELECT wa, wb, a, b, {_LONGEST} AS m FROM (
+        SELECT wa, wb, CASE WHEN side = 1 THEN substr(a, 1, m.i - 1) ELSE substr(a, m.i + m.k) END AS a, CASE WHEN side = 1 THEN substr(b, 1, m.j - 1) ELSE substr(b, m.j + m.k) END AS b
+        FROM _parts, range(1, 3) t(side) WHERE m.k > 0) WHERE a <> '' AND b <> ''),
+    ratios AS (SELECT a, b, coalesce(2.0::DOUBLE * (SELECT sum(m.k) FROM _parts p WHERE p.wa = q.a AND p.wb = q.b) / nullif(len(a) + len(b), 0), 1.0) AS ratio FROM _pairs q)"""
+
+
+_RULES = f"""g(strat, grp) AS (VALUES (1, ['red', 'blue', 'green', 'black', 'white']), (2, ['small', 'large'])),
+    a AS (SELECT p_partkey, p_name, strat, grp, u.w, instr(p_name, u.w) AS pos FROM part, g, unnest(grp) AS u(w)),
+    h AS (SELECT p_partkey, p_name, strat, grp, w, pos FROM a WHERE pos > 0 QUALIFY row_number() OVER (PARTITION BY p_partkey, strat ORDER BY pos, list_position(grp, w)) = 1),
+    c AS ({_RULE_ORDER}),
+    made AS (SELECT c.p_partkey, c.p_name, c.strat, c.k, substr(c.p_name, 1, h.pos - 1) || c.o || substr(c.p_name, h.pos + length(c.w)) AS neg FROM c JOIN h ON c.p_partkey = h.p_partkey AND c.strat = h.strat WHERE c.k <= 2)"""
+_PLAUSIBLE = "length(neg) > 0 AND neg <> p_name AND length(neg) BETWEEN 0.4 * length(p_name) AND 2.5 * length(p_name)"
+
+
+@query(
+    f"""WITH RECURSIVE {_RULES}, p AS (SELECT p_partkey, p_name, neg FROM made WHERE {_PLAUSIBLE}), {_ratios("SELECT p_name AS a, neg AS b FROM p")}
+    SELECT p_partkey, p_name AS expr, neg, round(ratio, 6) AS ratio FROM p JOIN ratios ON a = p_name AND b = neg WHERE ratio >= 0.5"""
+)
 def valid_negative(spark, sf):
     made = negatives.rule_negatives(F.col("p_name"), text.RULES_ENGLISH)
     rows = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("expr"), F.explode(made).alias("neg"))
     return negatives.valid_negatives(rows).withColumn("ratio", F.round("ratio", 6))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE n AS (SELECT p.p_partkey, p.p_name, 'next' AS other, q.p_name AS neg FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1 UNION ALL SELECT p_partkey, p_name, 'type', p_type FROM part),
+    {_ratios("SELECT p_name AS a, neg AS b FROM n")} SELECT p_partkey, other, round(ratio, 6) AS ratio FROM n JOIN ratios ON a = p_name AND b = neg"""
+)
+def sequence_ratios(spark, sf):
+    """Every name against the next part's name and against its own type."""
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    following = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("neg"))
+    rows = part.join(following, "p_partkey").select("p_partkey", "p_name", F.lit("next").alias("other"), "neg").unionByName(part.select("p_partkey", "p_name", F.lit("type").alias("other"), F.col("p_type").alias("neg")))
+    return rows.select("p_partkey", "other", F.round(negatives.sequence_ratio("p_name", "neg"), 6).alias("ratio"))
+
+
+_EDGE = r"""regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '^[0-9.、\-·* \t"''“”‘’]+|[0-9.、\-·* \t"''“”‘’]+$', '', 'g')"""
+
+
+@query(
+    f"""WITH RECURSIVE {_RULES}, s AS (SELECT p_partkey, p_name, u.i, {_EDGE} AS neg FROM (SELECT p_partkey, p_name, ['1. ' || regexp_replace(p_name, 'red|small', 'pale', 'g'), '- ' || p_type] AS lines FROM part), unnest(lines) WITH ORDINALITY AS u(line, i)),
+    p AS (SELECT p_partkey, p_name, min(i) AS i, neg FROM s WHERE {_PLAUSIBLE} GROUP BY p_partkey, p_name, neg), {_ratios("SELECT p_name AS a, neg AS b FROM p")},
+    ours AS (SELECT p_partkey, p_name, neg, 0 AS strat, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS k FROM p JOIN ratios ON a = p_name AND b = neg WHERE ratio >= 0.5),
+    every AS (SELECT p_partkey, p_name, neg, strat, k FROM ours WHERE k <= 2 UNION ALL SELECT p_partkey, p_name, neg, strat, k FROM made WHERE neg <> p_name),
+    firsts AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY p_partkey, neg ORDER BY strat, k) = 1),
+    used AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY strat, k) <= 2)
+    SELECT p_partkey AS image, p_name AS expr, string_agg(neg, '|' ORDER BY strat, k) AS hard FROM used GROUP BY 1, 2"""
+)
 def hard_negatives(spark, sf):
     raw = F.concat(F.lit("1. "), F.regexp_replace("p_name", "red|small", "pale"), F.lit("\n- "), F.col("p_type"))
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("image"), F.col("p_name").alias("expr"), raw.alias("raw"))
@@ -863,27 +913,24 @@ def sigmoid_loss_valid_keys(spark, sf):
     return losses.pairwise_sigmoid(_batch_sims(spark, sf), math.log(10.0), -10.0, F.col("j") % 5 != 0).select(F.round("loss", 6).alias("loss"))
 
 
-_BOUNDS = f"""SELECT source, count(*) AS n_items, CAST(sum(greatest(1, n_chars // 4)) AS BIGINT) AS total, true AS each_once, true AS fits, true AS few_bins
-    FROM documents GROUP BY source"""
+def _bounds_sql(order: str) -> str:
+    return f"""SELECT source, count(*) AS n_items, CAST(sum(tokens) AS BIGINT) AS total, count(DISTINCT bin_id) AS n_bins, true AS each_once, true AS fits FROM ({_first_fit(order)}) GROUP BY source"""
 
 
 def _bounds(bins):
-    """What any right packing keeps: every row once, no bin over the budget but one of a single item, and no more bins
-    than first fit decreasing may use (11/9 of the least and one, and one for each item over the budget)."""
-    per = bins.groupBy("source", "bin_id").agg(F.count("*").alias("c"), F.count_distinct("doc_id").alias("d"), F.sum("tokens").alias("t"), F.sum(F.least("tokens", F.lit(BUDGET))).alias("u"))
-    out = per.groupBy("source").agg(
-        F.sum("c").alias("n_items"), F.sum("t").alias("total"), (F.sum("c") == F.sum("d")).alias("each_once"), F.bool_and((F.col("t") <= BUDGET) | (F.col("c") == 1)).alias("fits"), F.count("*").alias("_n"), F.sum("u").alias("_u")
+    """The number of bins, and what any right packing keeps: every row once, and no bin over the budget but one of a single item."""
+    per = bins.groupBy("source", "bin_id").agg(F.count("*").alias("c"), F.count_distinct("doc_id").alias("d"), F.sum("tokens").alias("t"))
+    return per.groupBy("source").agg(
+        F.sum("c").alias("n_items"), F.sum("t").alias("total"), F.count("*").alias("n_bins"), (F.sum("c") == F.sum("d")).alias("each_once"), F.bool_and((F.col("t") <= BUDGET) | (F.col("c") == 1)).alias("fits")
     )
-    # at least half of any two neighbouring bins is used, whatever the sizes
-    return out.withColumn("few_bins", F.col("_n") <= F.ceil(2 * F.col("_u") / BUDGET) + 1).drop("_n", "_u")
 
 
-@query(_BOUNDS)
+@query(_bounds_sql("doc_id"))
 def ffd_bounds(spark, sf):
     return _bounds(ffd_bins(spark, sf))
 
 
-@query(_BOUNDS)
+@query(_bounds_sql("sha1('42|' || doc_id)"))
 def shuffled_bounds(spark, sf):
     return _bounds(shuffled_bins(spark, sf))
 
@@ -896,13 +943,11 @@ def ann_recall(spark, sf):
 
 
 @query(
-    f"""WITH g(strat, grp) AS (VALUES (1, ['red', 'blue', 'green', 'black', 'white']), (2, ['small', 'large'])),
-    a AS (SELECT p_partkey, p_name, strat, grp, u.w, instr(p_name, u.w) AS pos FROM part, g, unnest(grp) AS u(w)),
-    h AS (SELECT p_partkey, p_name, strat, grp, w, pos FROM a WHERE pos > 0 QUALIFY row_number() OVER (PARTITION BY p_partkey, strat ORDER BY pos, list_position(grp, w)) = 1),
-    c AS ({_RULE_ORDER}), m AS (SELECT c.p_partkey, h.p_name, substr(c.p_name, 1, h.pos - 1) || c.o || substr(c.p_name, h.pos + length(c.w)) AS neg FROM c JOIN h ON c.p_partkey = h.p_partkey AND c.strat = h.strat WHERE c.k <= 2)
-    SELECT p_partkey, neg, true AS similar FROM m WHERE length(neg) > 0 AND neg <> p_name AND length(neg) BETWEEN 0.4 * length(p_name) AND 2.5 * length(p_name) AND p_name <> '' AND length(p_name) >= 12"""
+    f"""WITH RECURSIVE {_RULES}, p AS (SELECT p_partkey, p_name, neg FROM made WHERE {_PLAUSIBLE}), {_ratios("SELECT p_name AS a, neg AS b FROM p")}
+    SELECT p_partkey, neg, ratio >= 0.5 AS similar FROM p JOIN ratios ON a = p_name AND b = neg"""
 )
 def plausible_negatives(spark, sf):
-    """Names of 12 characters and more keep more than half of them under one replaced word, so all pass the ratio."""
-    rows = valid_negative(spark, sf).filter(F.length("expr") >= 12)
-    return rows.select("p_partkey", "neg", (F.col("ratio") >= 0.5).alias("similar"))
+    """Every plausible negative of every name, and whether it is similar enough."""
+    made = negatives.rule_negatives(F.col("p_name"), text.RULES_ENGLISH)
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("expr"), F.explode(made).alias("neg"))
+    return negatives.valid_negatives(rows, min_ratio=0.0).select("p_partkey", "neg", (F.col("ratio") >= negatives.MIN_RATIO).alias("similar"))
