@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry, jsonx, text, vectors
 from tessera.operators import batch, ingest, losses, metrics, negatives, packing, regions, retrieval, triplets
 from tessera.session import ship
-from tessera.sources import tables
+from tessera.sources import headers, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -706,12 +706,10 @@ def checkpoint_retention(spark, sf):
     return ingest.newest_checkpoints(names, 3)
 
 
-@query("SELECT l_returnflag, count(*) AS n, count(DISTINCT l_orderkey) AS images, round(min(l_quantity), 4) AS least, round(max(l_quantity), 4) AS most, round(avg(l_quantity), 4) AS mean FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, count(*) AS n, count(DISTINCT l_orderkey) AS images, round(count(*) / count(DISTINCT l_orderkey), 4) AS per_item, round(min(l_quantity), 4) AS least, round(max(l_quantity), 4) AS most, round(avg(l_quantity), 4) AS mean FROM lineitem GROUP BY 1")
 def region_statistics(spark, sf):
-    q = F.col("l_quantity")
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("images"), F.round(F.min(q), 4).alias("least"), F.round(F.max(q), 4).alias("most"), F.round(F.avg(q), 4).alias("mean")
-    )
+    got = regions.count_report(table(spark, sf, "lineitem"), "l_orderkey", "l_quantity", ("l_returnflag",))
+    return got.select("l_returnflag", "n", F.col("items").alias("images"), "per_item", *[F.round(c, 4).alias(c) for c in ("least", "most", "mean")])
 
 
 @query(
@@ -951,3 +949,55 @@ def plausible_negatives(spark, sf):
     made = negatives.rule_negatives(F.col("p_name"), text.RULES_ENGLISH)
     rows = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("expr"), F.explode(made).alias("neg"))
     return negatives.valid_negatives(rows, min_ratio=0.0).select("p_partkey", "neg", (F.col("ratio") >= negatives.MIN_RATIO).alias("similar"))
+
+
+_DETECTED = f"""{_BOX}, d AS (SELECT p_partkey AS det_idx, p_partkey % 4 AS image, p_size % 3 AS cls, x1, y1, x2, y2, (p_partkey * 37 % 101) / 100.0::DOUBLE AS conf FROM x JOIN part USING (p_partkey)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY image, cls ORDER BY conf DESC, det_idx) AS r FROM d WHERE conf > 0.1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_DETECTED},
+    k AS (SELECT image, cls, r, det_idx, true AS stays, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM r WHERE r = 1
+      UNION ALL
+      SELECT image, cls, r, det_idx, stays, CASE WHEN stays THEN list_append(kept, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) ELSE kept END FROM (
+        SELECT r.*, k.kept, len(list_filter(k.kept, lambda b: greatest(0, least(b.x2, r.x2) - greatest(b.x1, r.x1)) * greatest(0, least(b.y2, r.y2) - greatest(b.y1, r.y1))
+          > 0.5 * ((b.x2 - b.x1) * (b.y2 - b.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - greatest(0, least(b.x2, r.x2) - greatest(b.x1, r.x1)) * greatest(0, least(b.y2, r.y2) - greatest(b.y1, r.y1))))) = 0 AS stays
+        FROM k JOIN r ON r.image = k.image AND r.cls = k.cls AND r.r = k.r + 1))
+    SELECT image, cls, det_idx FROM k WHERE stays"""
+)
+def suppressed_boxes(spark, sf):
+    """Confidence above 0.1, then greedy suppression at 0.5; groups of more than 100 boxes go through the rounds."""
+    sizes = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 3).alias("cls"))
+    boxes = _boxes(spark, sf).join(sizes, "p_partkey").select(F.col("p_partkey").alias("det_idx"), (F.col("p_partkey") % 4).alias("image"), "cls", "x1", "y1", "x2", "y2", ((F.col("p_partkey") * 37 % 101) / 100.0).alias("conf"))
+    return regions.greedy_nms(boxes.filter("conf > 0.1"), 0.5, group_boxes=100).select("image", "cls", "det_idx")
+
+
+def _bytes(value, n: int, little: bool = False):
+    """A whole number as hexadecimal digits of ``n`` bytes."""
+    digits = F.lpad(F.hex(value), 2 * n, "0")
+    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(n))]) if little else digits
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 8 = 7 THEN NULL ELSE (['png', 'jpeg', 'bmp', 'webp', 'webp', 'webp', 'jpeg'])[CAST(p_partkey % 8 + 1 AS INTEGER)] END AS format,
+    CASE WHEN p_partkey % 8 < 7 THEN CAST(p_size * 28 AS INTEGER) END AS width, CASE WHEN p_partkey % 8 < 7 THEN CAST(p_partkey % 900 + 1 AS INTEGER) END AS height FROM part"""
+)
+def image_headers(spark, sf):
+    """Headers of every format, written byte by byte; JPEG segments of many lengths come before the frame. One in eight is cut off."""
+    w, h, hx = F.col("p_size").cast("long") * 28, F.col("p_partkey") % 900 + 1, lambda x: F.lit(x)
+    filler = F.col("p_partkey") % 300
+    segment = lambda marker: F.concat(hx(f"FF{marker}"), _bytes(filler + 2, 2), F.expr("repeat('FF', int(p_partkey % 300))"))
+    frame = lambda sof: F.concat(hx("FFD8"), segment("E0"), segment("E1"), hx("FFFF"), segment("C4").substr(F.lit(3), F.lit(10_000)), segment("DB"), hx(f"FF{sof}001108"), _bytes(h, 2), _bytes(w, 2), hx("03"))
+    webp = lambda kind, rest: F.concat(hx("52494646"), hx("00000000"), hx("57454250"), hx(kind), hx("00000000"), rest)
+    kinds = [
+        F.concat(hx("89504E470D0A1A0A0000000D49484452"), _bytes(w, 4), _bytes(h, 4)),
+        frame("C0"),
+        F.concat(hx("424D"), F.repeat(hx("00"), 12), _bytes(F.lit(40), 4, True), _bytes(w, 4, True), _bytes(h, 4, True)),
+        webp("56503858", F.concat(hx("00000000"), _bytes(w - 1, 3, True), _bytes(h - 1, 3, True))),
+        webp("5650384C", F.concat(hx("2F"), _bytes((w - 1) + F.shiftleft(h - 1, 14), 4, True))),
+        webp("56503820", F.concat(hx("000000"), hx("9D012A"), _bytes(w, 2, True), _bytes(h, 2, True))),
+        F.concat(frame("C2").substr(F.lit(1), F.length(frame("C2"))), hx("00")),
+        F.concat(hx("FFD8"), segment("E0")),
+    ]
+    content = F.unhex(F.get(F.array(*kinds), (F.col("p_partkey") % 8).cast("int")))
+    return headers.with_sizes(table(spark, sf, "part").select("p_partkey", content.alias("content"))).select("p_partkey", "format", "width", "height")
