@@ -31,22 +31,31 @@ def shuffle_key(key: Column, seed: int = 42) -> Column:
     return F.sha1(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
 
-def _cut_hash(keys: DataFrame, hashed: str, n: int) -> str:
-    """The n-th smallest of the hexadecimal strings ``hashed``.
+#: Rows that are ranked to find the last one of the eval part.
+FEW_ROWS = 100_000
 
-    Two rounds count the strings by their next three digits (4096 sums each, which is all that reaches the driver) and
-    step into the part that holds the n-th; only about one row in 16 million is then ranked.
+
+def _cut_hash(keys: DataFrame, hashed: str, fraction: float) -> str | None:
+    """The last of the max(1, floor(n * fraction)) smallest of the n hexadecimal strings ``hashed``; None of an empty table.
+
+    Rows are counted by the next four digits (at most 65536 sums, which is all that reaches the driver), and the part that
+    holds the string is stepped into until few rows are left to rank: one pass up to some billions of rows, and another.
     """
-    prefix, digits = "", 3
-    for _ in range(2):
+    prefix, rank, left = "", None, None
+    while left is None or (left > FEW_ROWS and len(prefix) < 40):
         part = keys.filter(F.col(hashed).startswith(prefix)) if prefix else keys
-        counts = part.groupBy(F.substring(hashed, len(prefix) + 1, digits).alias("d")).agg(F.count("*").alias("c")).orderBy("d").collect()
+        counts = part.groupBy(F.substring(hashed, len(prefix) + 1, 4).alias("d")).agg(F.count("*").alias("c")).orderBy("d").collect()
+        if rank is None:
+            n = sum(r["c"] for r in counts)
+            if not n:
+                return None
+            rank = max(1, int(n * fraction))
         for r in counts:
-            if n <= r["c"]:
+            if rank <= r["c"]:
                 break
-            n -= r["c"]
-        prefix += r["d"]
-    return keys.filter(F.col(hashed).startswith(prefix)).orderBy(hashed).limit(n).agg(F.max(hashed)).first()[0]
+            rank -= r["c"]
+        prefix, left = prefix + r["d"], r["c"]
+    return keys.filter(F.col(hashed).startswith(prefix)).orderBy(hashed).limit(rank).agg(F.max(hashed)).first()[0] if len(prefix) < 40 else prefix
 
 
 def train_eval_split(df: DataFrame, key: str, fraction: float = 0.01, seed: int = 42) -> DataFrame:
@@ -56,11 +65,10 @@ def train_eval_split(df: DataFrame, key: str, fraction: float = 0.01, seed: int
     hashed as empty ones. Rows that share the last key are all eval.
     """
     hashed = shuffle_key(F.col(key), seed)
-    keys = df.select(hashed.alias("_h"))
-    n = keys.count()
-    if not n:
+    cut = _cut_hash(df.select(hashed.alias("_h")), "_h", fraction)
+    if cut is None:
         return df.withColumn("split", F.lit("train"))
-    return df.withColumn("split", F.when(hashed <= _cut_hash(keys, "_h", max(1, int(n * fraction))), "eval").otherwise("train"))
+    return df.withColumn("split", F.when(hashed <= cut, "eval").otherwise("train"))
 
 
 def take_first(df: DataFrame, order: str, n: int) -> DataFrame:

@@ -113,6 +113,16 @@ def explode_candidates(df: DataFrame) -> DataFrame:
     return df.select("image", F.inline("candidates"))
 
 
+def with_reason_texts(candidates: DataFrame, library: DataFrame) -> DataFrame:
+    """Candidates whose ``reason_text`` is empty get the rule's text from ``library`` (reason_id, rule) where that has it.
+
+    The library has each id once; evidence that a candidate carries stays.
+    """
+    found = candidates.join(library.select("reason_id", "rule"), "reason_id", "left")
+    text = F.when(F.coalesce("reason_text", F.lit("")) == "", F.coalesce("rule", F.lit(""))).otherwise(F.col("reason_text"))
+    return found.withColumn("reason_text", text).select(*candidates.columns)
+
+
 def mean_pool(tokens: DataFrame, key: str, vector: str) -> DataFrame:
     """key, dim, value: the mean of each coordinate over a ragged set of vectors."""
     return tokens.select(key, F.posexplode(vector).alias("dim", "x")).groupBy(key, "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))

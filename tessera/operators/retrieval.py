@@ -14,6 +14,10 @@ from tessera.operators import tiles
 from tessera.session import durable
 
 
+#: Vectors of one part of a cell of the approximate search.
+CELL_ROWS = 10_000
+
+
 def similarities(left: DataFrame, right: DataFrame, batch: str) -> DataFrame:
     """batch, i, j, s of (i, u) and (j, v): the square matrix of every evaluation batch, in long form.
 
@@ -119,8 +123,12 @@ def ann_top_k(queries: DataFrame, corpus: DataFrame, k: int, centres: np.ndarray
 
         return near
 
-    q = queries.select("query_id", l2_normalise(F.col("v")).alias("q")).withColumn("cell", F.explode(cells(probes)("q")))
     c = corpus.select("vec_id", l2_normalise(F.col("v")).alias("v")).withColumn("cell", F.explode(cells(1)("v")))
-    got = q.join(c, "cell").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 12).alias("score"))
+    # a cell of many vectors is many parts, and a query looks into each of them
+    parts = F.broadcast(c.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts")))  # a row a centre
+    c = c.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    q = queries.select("query_id", l2_normalise(F.col("v")).alias("q")).withColumn("cell", F.explode(cells(probes)("q")))
+    q = q.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    got = q.join(c, ["cell", "part"]).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 12).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return got.withColumn("rank", rank).filter(F.col("rank") <= k)

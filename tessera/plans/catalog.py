@@ -1001,3 +1001,76 @@ def image_headers(spark, sf):
     ]
     content = F.unhex(F.get(F.array(*kinds), (F.col("p_partkey") % 8).cast("int")))
     return headers.with_sizes(table(spark, sf, "part").select("p_partkey", content.alias("content"))).select("p_partkey", "format", "width", "height")
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey AS image, CAST(l_partkey AS VARCHAR) AS expr, min(l_quantity) AS conf FROM lineitem GROUP BY 1, 2),
+    p AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY expr) - 1 AS ri FROM r),
+    n AS (SELECT l_orderkey AS image, l_linenumber - 1 AS ri, arg_max(l_suppkey, (l_suppkey, l_partkey)) AS hard FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
+    SELECT p.image, p.expr, p.conf, CAST(n.hard AS VARCHAR) AS hard FROM p JOIN n ON p.image = n.image AND p.ri = n.ri"""
+)
+def region_assemble_by_position(spark, sf):
+    """Negatives that name a region by its place; the last by supplier wins."""
+    li = table(spark, sf, "lineitem")
+    flat = li.groupBy(F.col("l_orderkey").alias("image"), F.col("l_partkey").cast("string").alias("expr")).agg(F.min("l_quantity").alias("conf"))
+    entry = F.struct("expr", F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("bbox"), "conf")
+    nested = flat.groupBy("image").agg(F.array_sort(F.collect_list(entry)).alias("regions")).withColumn("caption", F.lit(""))
+    neg = li.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("image"), (F.col("l_linenumber") - 1).alias("ri"), F.array(F.col("l_suppkey").cast("string")).alias("hard"), F.struct("l_suppkey", "l_partkey").alias("ord"))
+    return regions.assemble(nested, neg, by_position=True).select("image", F.inline("regions")).select("image", "expr", "conf", F.get("hard", F.lit(0)).alias("hard"))
+
+
+_SAID = ("红色的{}", "红色的{}", "它", "路边", "路边有", "边有", "一个", "个红", "红色", "色的", "一个红", "个红色", "absent")
+_SAID_SQL = ", ".join(f"replace('{x}', '{{}}', CAST(p_size AS VARCHAR))" for x in _SAID)
+
+
+@query(
+    f"""WITH c AS (SELECT p_partkey AS image, p_size, '路边有，一个红色的' || p_size || '。' AS caption FROM part WHERE p_partkey % 7 <> 0),
+    g AS (SELECT image, u.e, u.i FROM c, unnest([{_SAID_SQL}]) WITH ORDINALITY AS u(e, i) WHERE p_size % 3 = 0 AND length(u.e) >= 2 AND contains(caption, u.e)),
+    f AS (SELECT image, e, i FROM g QUALIFY row_number() OVER (PARTITION BY image, e ORDER BY i) = 1),
+    t AS (SELECT image, e FROM f QUALIFY row_number() OVER (PARTITION BY image ORDER BY i) <= 8)
+    SELECT image, e AS expr FROM t UNION ALL SELECT image, '一个红色的' || p_size FROM c WHERE p_size % 3 <> 0"""
+)
+def expressions_resumed(spark, sf):
+    """Generated lines with repeats, invalid ones and more than the cap; one in three images has none and one in three
+    none that is valid, so the pattern is used. One image in seven is done already."""
+    size = F.col("p_size").cast("string")
+    caption = F.concat(F.lit("路边有，一个红色的"), size, F.lit("。"))
+    said = F.when(F.col("p_size") % 3 == 0, F.array(*[F.concat(F.lit(x.removesuffix("{}")), size) if "{}" in x else F.lit(x) for x in _SAID])).when(F.col("p_size") % 3 == 1, F.array(F.lit("不在其中")))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("image"), caption.alias("caption"), said.alias("said"))
+    return regions.expressions(rows, generated=F.col("said"), done=rows.filter("image % 7 = 0")).select("image", F.explode("expressions").alias("expr"))
+
+
+@query(
+    """SELECT CAST(event_id AS INTEGER) AS step, m AS metric, CASE WHEN m = 'hit@5' THEN value ELSE -value END AS value FROM events, (VALUES ('hit@5'), ('loss')) t(m) WHERE event_type = 'error'
+    UNION ALL SELECT CAST(event_id AS INTEGER), 'final', value FROM events WHERE event_type <> 'error' AND event_id % 10 = 0"""
+)
+def evaluation_curve(spark, sf):
+    """Rows with a loss are training; the others have a map of metrics, or a final one."""
+    e = table(spark, sf, "events")
+    maps = F.when(e["event_type"] == "error", F.create_map(F.lit("hit@5"), e["value"], F.lit("loss"), -e["value"]))
+    final = F.when((e["event_type"] != "error") & (e["event_id"] % 10 == 0), F.create_map(F.lit("final"), e["value"]))
+    loss = F.when((e["event_type"] != "error") & (e["event_id"] % 10 != 0), e["value"])
+    return metrics.evaluation_curve(e.select(e["event_id"].cast("int").alias("step"), loss.alias("loss"), maps.alias("eval"), final.alias("final_eval")))
+
+
+@query(
+    """SELECT l_orderkey AS image, l_linenumber, 'R' || (l_suppkey % 7) AS reason_id, CASE WHEN l_returnflag = 'R' THEN l_linestatus ELSE coalesce(r_name, '') END AS reason_text
+    FROM lineitem LEFT JOIN region ON r_regionkey = l_suppkey % 7"""
+)
+def reason_texts(spark, sf):
+    """Candidates with and without evidence; two of the seven ids are in no library."""
+    li = table(spark, sf, "lineitem")
+    cands = li.select(F.col("l_orderkey").alias("image"), "l_linenumber", F.concat(F.lit("R"), (F.col("l_suppkey") % 7).cast("string")).alias("reason_id"), F.when(F.col("l_returnflag") == "R", F.col("l_linestatus")).otherwise("").alias("reason_text"))
+    library = table(spark, sf, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("reason_id"), F.col("r_name").alias("rule"))
+    return regions.with_reason_texts(cands, library)
+
+
+@query(
+    """SELECT p_size % 4 AS shard, count(*) AS n, count(DISTINCT p_brand) AS items, round(count(*) / count(DISTINCT p_brand), 4) AS per_item,
+    CAST(min(t) AS BIGINT) AS least, CAST(max(t) AS BIGINT) AS most, round(avg(t), 6) AS mean FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 9 * p_partkey ELSE p_size + 1 END AS t FROM part WHERE p_partkey % 2 = 1) GROUP BY 1"""
+)
+def token_report(spark, sf):
+    """The cache lacks half of the images, so all are counted anew; the report is by shard."""
+    part = table(spark, sf, "part").filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("image"), "p_size", "p_brand", (F.col("p_size") % 4).alias("shard"))
+    counted = packing.token_statistics(part, part.filter("image % 4 = 1").select("image", F.lit(0).alias("tokens")), F.col("p_size") + 1)
+    return regions.count_report(counted, "p_brand", "tokens", ("shard",)).withColumn("mean", F.round("mean", 6))

@@ -119,6 +119,17 @@ def replaced_table(spark, sf):
     return tables.read_table(spark, path)
 
 
+@query("SELECT CAST(v AS INTEGER) AS version, n_nationkey FROM nation, range(3, 6) t(v) WHERE n_nationkey < v * 5")
+def table_versions(spark, sf):
+    """Five commits, of which the newest three stay and are read by number."""
+    path = _folder(spark)
+    nation = table(spark, sf, "nation").select("n_nationkey")
+    for v in range(1, 6):
+        tables.replace_table(nation.filter(F.col("n_nationkey") < v * 5), path, keep=3, expected=v - 1)
+    parts = [tables.read_table(spark, path, v).withColumn("version", F.lit(v)) for v in (3, 4, 5)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("SELECT p_partkey AS region, 'part ' || p_partkey AS expr, CAST(floor(0.25 * p_size) AS INTEGER) AS x1, CAST(floor(0.5 * 480) AS INTEGER) AS y1 FROM part ORDER BY p_partkey LIMIT 20")
 def box_table(spark, sf):
     part = table(spark, sf, "part")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -140,48 +142,96 @@ def write_new_blobs(blobs: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Writes a new version beside the others in ``path`` and then points the file ``_current`` at it in one rename.
+class Conflict(RuntimeError):
+    """Another writer has committed a version since the one that was expected."""
 
-    A reader (``read_table``) sees the old version or the new one. The version before stays until the next replacement,
-    for readers that have begun; older ones go.
+
+def replace_table(df: DataFrame, path: str, keep: int = 2, expected: int | None = None) -> int:
+    """Writes ``df`` as a new version of the table in ``path`` and commits it; returns the version's number.
+
+    A commit is a numbered file that is made only if there is none of that number yet, in one step: of two writers one gets
+    the number and the other goes on to the next, so no version is lost and readers see whole versions only. With
+    ``expected`` the new version must follow that one (0: no version yet), else there is a ``Conflict`` and nothing changes.
+    The newest ``keep`` versions stay, for readers that have begun and for ``read_table`` by number.
     """
     spark = df.sparkSession
-    jvm = spark._jvm
-    name = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{name}")
-    old = _current(spark, path)
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.org.apache.hadoop.fs.Path(path).toUri(), spark._jsc.hadoopConfiguration())
-    fresh, target = jvm.org.apache.hadoop.fs.Path(f"{path}/_current.{name}"), jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(fresh, True)
-    out.write(bytearray(name.encode()))
+    folder = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    while True:
+        version = max(_versions(spark, path), default=0) + 1
+        if expected is not None and version != expected + 1 or not _create(spark, f"{path}/_commits", version, folder):
+            if expected is None:
+                continue
+            _delete(spark, f"{path}/{folder}")
+            raise Conflict(f"version {expected} of {path} is no longer the newest")
+        break
+    for old in sorted(_versions(spark, path))[:-keep]:
+        name = _committed(spark, path, old)
+        _delete(spark, f"{path}/_commits/{old:020d}")
+        if name:
+            _delete(spark, f"{path}/{name}")
+    return version
+
+
+def _store(spark: SparkSession, path: str):
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file, file.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    file, store = _store(spark, path)
+    store.delete(file, True)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    folder, store = _store(spark, f"{path}/_commits")
+    names = [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
+    return [int(n) for n in names if n.isdigit()]
+
+
+def _create(spark: SparkSession, folder: str, version: int, content: str) -> bool:
+    """Makes the file of a version with its content at once; False if there is one."""
+    target, store = _store(spark, f"{folder}/{version:020d}")
+    fresh, _ = _store(spark, f"{folder}/.{uuid.uuid4().hex}")
+    out = store.create(fresh, False)
+    out.write(bytearray(content.encode()))
     out.close()
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    files.rename(fresh, target, options)
-    for entry in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)):
-        if entry.isDirectory() and entry.getPath().getName() not in (name, old):
-            fs.delete(entry.getPath(), True)
-
-
-def _current(spark: SparkSession, path: str) -> str | None:
-    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
-    fs = file.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(file):
+    try:
+        if store.getUri().getScheme() == "file":  # where a rename would replace what is there
+            os.link(fresh.toUri().getPath(), target.toUri().getPath())
+        else:
+            jvm = spark._jvm.org.apache.hadoop.fs
+            options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)
+            jvm.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(fresh, target, options)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in str(e.java_exception):
+            raise
+        return False
+    finally:
+        store.delete(fresh, False)
+
+
+def _committed(spark: SparkSession, path: str, version: int) -> str | None:
+    """The folder of a version; None if the version is gone."""
+    file, store = _store(spark, f"{path}/_commits/{version:020d}")
+    if not store.exists(file):
         return None
-    data = fs.open(file)
+    data = store.open(file)
     try:
         return bytes(b & 0xFF for b in iter(data.read, -1)).decode()
     finally:
         data.close()
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The current version of a table that ``replace_table`` writes."""
-    name = _current(spark, path)
+def read_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of a table that ``replace_table`` writes, the newest if none is named."""
+    number = max(_versions(spark, path), default=0) if version is None else version
+    name = _committed(spark, path, number)
     if name is None:
-        raise FileNotFoundError(f"no table in {path}")
+        raise FileNotFoundError(f"no version {number} of a table in {path}" if number else f"no table in {path}")
     return spark.read.parquet(f"{path}/{name}")
 
 

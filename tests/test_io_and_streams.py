@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import batch
@@ -75,3 +76,27 @@ def test_incremental_inference(spark, tmp_path):
     jobs.incremental_inference(spark.readStream.schema(schema).json(str(src)), *args).awaitTermination(120)
     assert sorted(r["image"] for r in spark.read.parquet(str(tmp_path / "ok")).collect()) == ["a", "b", "c"]
     assert spark.read.parquet(str(tmp_path / "ok")).filter(F.col("_task") == "caption").count() == 3
+
+
+def test_writers_at_once_lose_no_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "t")
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda n: (tables.replace_table(spark.range(n), path, keep=20), n), range(1, 13)))
+    assert sorted(v for v, _ in got) == list(range(1, 13))
+    for v, n in got:
+        assert tables.read_table(spark, path, v).count() == n
+
+
+def test_commit_only_after_the_expected_version(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert tables.replace_table(spark.range(1), path, expected=0) == 1
+    with pytest.raises(tables.Conflict):
+        tables.replace_table(spark.range(2), path, expected=0)
+    assert tables.replace_table(spark.range(3), path, expected=1) == 2
+    assert tables.replace_table(spark.range(4), path, keep=1) == 3
+    assert tables.read_table(spark, path).count() == 4
+    with pytest.raises(FileNotFoundError):
+        tables.read_table(spark, path, 2)
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 1
