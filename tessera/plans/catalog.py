@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import geometry, jsonx, text, vectors
+from tessera.functions import geometry, jsonx, table_functions, text, vectors
 from tessera.operators import batch, ingest, losses, metrics, negatives, packing, regions, retrieval, triplets
 from tessera.session import ship
 from tessera.sources import headers, tables
@@ -878,11 +878,16 @@ def attribute_fallback(spark, sf):
     FROM events, range(1, 6) t(i) WHERE event_id % 4 > 0"""
 )
 def candidate_parse(spark, sf):
+    rows = _answers(spark, sf).select("event_id", jsonx.extract_json(F.col("raw")).alias("j")).select("event_id", jsonx.parse_candidates(F.col("j")).alias("p"))
+    return rows.filter("p.reason is null").select("event_id", F.inline("p.candidates"))
+
+
+def _answers(spark, sf):
+    """Answers of a model: an id for each of five reasons, none to three of them relevant."""
     n = (F.col("event_id") % 4).cast("int")
     said = lambda lo, hi: F.array_join(F.transform(F.filter(F.sequence(F.lit(1), F.lit(5)), lambda i: (i >= lo) & (i <= hi)), lambda i: F.concat(F.lit('{"id": "R'), i.cast("string"), F.lit('", "evidence": "e'), i.cast("string"), F.lit('"}'))), ", ")
     raw = F.concat(F.lit('answer: {"relevant": ['), said(F.lit(1), n), F.lit('], "irrelevant": ['), said(n + 1, F.lit(5)), F.lit("]}"))
-    rows = table(spark, sf, "events").select("event_id", jsonx.extract_json(raw).alias("j")).select("event_id", jsonx.parse_candidates(F.col("j")).alias("p"))
-    return rows.filter("p.reason is null").select("event_id", F.inline("p.candidates"))
+    return table(spark, sf, "events").select("event_id", raw.alias("raw"))
 
 
 @query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS image, event_type AS reason_id FROM events WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 3 = 0)")
@@ -1074,3 +1079,24 @@ def token_report(spark, sf):
     part = table(spark, sf, "part").filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("image"), "p_size", "p_brand", (F.col("p_size") % 4).alias("shard"))
     counted = packing.token_statistics(part, part.filter("image % 4 = 1").select("image", F.lit(0).alias("tokens")), F.col("p_size") + 1)
     return regions.count_report(counted, "p_brand", "tokens", ("shard",)).withColumn("mean", F.round("mean", 6))
+
+
+@query(ORACLES["candidate_parse"])
+def candidates_in_sql(spark, sf):
+    """``candidate_parse`` as a table function."""
+    table_functions.register(spark)
+    _answers(spark, sf).createOrReplaceTempView("answers")
+    return spark.sql("SELECT * FROM explode_candidates(TABLE(answers))")
+
+
+@query(
+    r"""WITH l AS (SELECT conv_id, turn, u.i, regexp_replace(regexp_replace(u.line, '^\s+|\s+$', '', 'g'), '^[0-9.、\-·* \t"''“”‘’]+|[0-9.、\-·* \t"''“”‘’]+$', '', 'g') AS line
+        FROM conversations, unnest(string_split(CAST(turn AS VARCHAR) || '. ' || role || chr(10) || '- ' || text || chr(10) || '*', chr(10))) WITH ORDINALITY AS u(line, i))
+    SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS INTEGER) AS line_no, line FROM l WHERE line <> ''"""
+)
+def lines_in_sql(spark, sf):
+    """The lines of a conversation, numbered through its turns by a table function over a partitioned table."""
+    table_functions.register(spark)
+    said = F.concat(F.col("turn").cast("string"), F.lit(". "), "role", F.lit("\n- "), "text", F.lit("\n*"))
+    table(spark, sf, "conversations").select("conv_id", "turn", said.alias("raw")).createOrReplaceTempView("said")
+    return spark.sql("SELECT * FROM explode_lines(TABLE(said) PARTITION BY conv_id ORDER BY turn)")

@@ -35,3 +35,38 @@ def test_candidates(spark):
     got = rows(spark, raws).orderBy("i").select(jsonx.parse_candidates(jsonx.extract_json(F.col("raw"))).alias("p")).select("p.*").collect()
     assert [r["reason"] is None for r in got] == [False, True, False, False, False, False]
     assert len(got[1]["candidates"]) == 5 and [c["reason_text"] for c in got[1]["candidates"]] == ["e", "e", "", "", ""]
+
+
+def test_table_functions(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import jsonx, table_functions
+
+    table_functions.register(spark)
+    answers = [
+        'so: {"relevant": [{"id": "R1", "evidence": "e"}], "irrelevant": [{"id": 2}, {"id": "R3", "evidence": null}]} end',
+        '{"relevant": [], "irrelevant": []}',
+        '{"relevant": [{"id": "a"}, {"id": "b"}, {"id": "c"}, {"id": "d"}], "irrelevant": []}',
+        '{"relevant": [{"evidence": "e"}], "irrelevant": []}',
+        '{"relevant": [{"id": "R1"}]}',
+        "[1]",
+        "{broken}",
+        "",
+        None,
+    ]
+    spark.createDataFrame(list(enumerate(answers)), "k int, raw string").createOrReplaceTempView("a")
+    got = sorted(tuple(r) for r in spark.sql("SELECT * FROM explode_candidates(TABLE(a))").collect())
+    parsed = spark.table("a").select("k", jsonx.parse_candidates(jsonx.extract_json(F.col("raw"))).alias("p"))
+    want = sorted(tuple(r) for r in parsed.filter("p.reason is null").select("k", F.inline("p.candidates")).collect())
+    assert got == want and len(got) == 3
+    spark.createDataFrame([("x", 2, "b - c"), ("x", 1, '1. "a"\n\n'), ("y", 1, None)], "g string, o int, raw string").createOrReplaceTempView("t")
+    rows = spark.sql("SELECT g, o, line_no, line FROM explode_lines(TABLE(t) PARTITION BY g ORDER BY o)").collect()
+    assert sorted(tuple(r) for r in rows) == [("x", 1, 0, "a"), ("x", 2, 1, "b"), ("x", 2, 2, "c")]
+    spark.sql("SELECT g AS line, raw FROM t").createOrReplaceTempView("u")
+    for bad in ("TABLE(SELECT 1 AS k)", "TABLE(u)"):
+        try:
+            spark.sql(f"SELECT * FROM explode_lines({bad})").collect()
+        except Exception as e:
+            assert "column" in str(e)
+        else:
+            raise AssertionError(bad)
