@@ -21,7 +21,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 # Fixed value: characters stripped from both ends of a generated line.
 EDGE = "0123456789.、-·* \t\"'“”‘’"
-BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
+BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
 
 
 def _extended(table: AnalyzeArgument, *more: tuple[str, object]) -> AnalyzeResult:
