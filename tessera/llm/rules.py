@@ -38,8 +38,8 @@ UNIT = 1000
 #: words, one repeated line, and that line's ten words.
 FLOORS = (0.03, 0.05, 0.05, 0.12)
 STARTS = 3
-MAX_STEPS = 30
-#: Steps end when no logarithm of a determinant falls by more than this.
+#: A start is settled once the logarithm of its determinant falls by no more than this. The floors bound it from below, so
+#: that every start settles.
 SETTLED = 1e-3
 PRIOR = 50
 #: 0.5 / P(chi-squared of p + 2 <= median of chi-squared of p) for p = 4, and the 0.999 quantile of chi-squared of 4.
@@ -155,23 +155,30 @@ def minimum_covariance(rows: DataFrame, p: int) -> DataFrame:
     now = now.unionByName(_moments(rows, p, "gid").withColumns({"start": F.lit(1), "n": F.col("k")}).select(*state)).unionByName(third.withColumn("start", F.lit(2)).select(*state))
     now = durable(now)
     each = rows.withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
-    best = None
-    for step in range(MAX_STEPS):
+    settled: list[DataFrame] = []
+    stepped = False
+    while True:  # only the starts that still move are in ``now``; their rows alone are worked through
         far = _distance(_beside(each, now, ["gid", "start"], few), p).withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-20) * FINE).cast("int"))
         counts = far.groupBy("gid", "start", "bin").agg(F.count("*").alias("c"), F.max("n").alias("n"))
         up = Window.partitionBy("gid", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         limit = counts.withColumn("cum", F.sum("c").over(up)).filter(2 * F.col("cum") >= F.least(F.col("n") + p + 1, 2 * F.col("n"))).groupBy("gid", "start").agg(F.min("bin").alias("limit"), F.max("n").alias("n"))
         near = _beside(far.select("gid", "start", "bin", *[f"x{i}" for i in range(p)]), limit, ["gid", "start"], few).filter("bin <= limit")
-        new = durable(_moments(near, p, "gid", "start").join(limit.select("gid", "start", "n"), ["gid", "start"]).select(*state))
+        before = now.select("gid", "start", F.col("det").alias("before"))
         # after the first step the starts' determinants are those of halves and can be compared
-        falls = step == 0 or not new.join(now.select("gid", "start", F.col("det").alias("before")), ["gid", "start"]).filter(F.col("det") < F.col("before") - SETTLED).isEmpty()
+        moves = (F.col("det") < F.col("before") - SETTLED) if stepped else F.lit(True)
+        new = durable(_moments(near, p, "gid", "start").join(limit.select("gid", "start", "n"), ["gid", "start"]).select(*state).join(before, ["gid", "start"]).withColumn("moves", moves))
         release(now)
-        now = new
-        if not falls:
+        now, stepped = new.filter("moves").select(*state), True
+        settled.append(new)
+        if now.isEmpty():
             break
-    best = now.groupBy("gid").agg(F.min_by(F.struct(*[c for c in state if c[0] in "mc"]), F.struct("det", "start")).alias("b"))
+    every = settled[0]
+    for s in settled[1:]:
+        every = every.unionByName(s)
+    # the last state of each start is the one that did not move
+    best = every.filter("not moves").groupBy("gid").agg(F.min_by(F.struct(*[c for c in state if c[0] in "mc"]), F.struct("det", "start")).alias("b"))
     out = durable(best.select("gid", "b.*").join(mid, "gid").select("gid", "n", *[(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(p)], *[f"c{i}{j}" for i, j in _pairs(p)]))
-    release(now, mid, rows)
+    release(mid, rows, *settled)
     return out
 
 
