@@ -90,7 +90,7 @@ def recall_at_k(left: DataFrame, right: DataFrame, ks: tuple[int, ...] = (1, 5,
     share = lambda k: F.round(F.avg((F.col("better") < k).cast("double")), 4)
     wide = sides[0].unionByName(sides[1]).groupBy("side").agg(*[share(k).alias(f"r{k}") for k in clipped])
     named = [F.struct(F.concat("side", F.lit(f"_R@{k}")).alias("metric"), F.col(f"r{k}").alias("value")) for k in clipped]
-    hit = F.struct(F.lit("hit@5").alias("metric"), F.col(f"r{min(5, n)}" if 5 in ks else f"r{clipped[0]}").alias("value"))
+    hit = F.struct(F.lit("hit@5").alias("metric"), F.col("r5" if 5 in clipped else f"r{clipped[0]}").alias("value"))
     rows = F.when(F.col("side") == "i2t", F.array(*named, hit)).otherwise(F.array(*named))
     return wide.select(F.inline(rows))
 
