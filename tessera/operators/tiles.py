@@ -53,7 +53,7 @@ def pack(df: DataFrame, id: str, v: str, n: int, need: Column | None = None) ->
 
     Up to BLOCK_ROWS rows are one block; else rows go to the cell of the nearest centre, and cells of more rows are dealt out.
     """
-    rows = df.select(F.col(id).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v"), (F.lit(float("-inf")) if need is None else need).alias("need"))
+    rows = df.select(F.col(id).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v"), (F.lit(float("-inf")) if need is None else need).alias("need")).filter("v is not null")  # without a vector nothing is near
     if n > BLOCK_ROWS:
         shared = df.sparkSession.sparkContext.broadcast(fit_cells(rows, "v", n, min(MAX_CELLS, -(-n // BLOCK_ROWS))))  # at most MAX_CELLS vectors
 
