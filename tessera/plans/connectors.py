@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame
@@ -186,18 +187,37 @@ def stream_packing(spark, sf):
 )
 def stream_packing_in_order(spark, sf):
     """A second a document; each comes up to 300 places late or early, in many files and micro-batches. The last file is a
-    heartbeat."""
+    heartbeat. No bin is closed by a pause, however long a source has none: the stream may be idle as long as all its documents take."""
     path = _folder(spark)
     docs = table(spark, sf, "documents").select("source", "doc_id", F.greatest(F.lit(1), F.floor(F.col("n_chars") / 4)).cast("long").alias("tokens"), F.timestamp_seconds(F.col("doc_id") + 86_400).alias("at"))
     arrival = F.floor((F.col("doc_id") + F.pmod(F.xxhash64("doc_id"), F.lit(300))) / 250)
     tables.write_jsonl(docs.repartitionByRange(8, arrival, F.xxhash64("doc_id", F.lit(1))), path)
-    tables.write_jsonl(docs.agg(F.max("at").alias("at")).select(F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tokens"), F.timestamp_seconds(F.unix_timestamp("at") + 2000).alias("at")), path, append=True)
+    _come_in_order(spark, path)
+    first, last = docs.agg(F.min(F.unix_timestamp("at")), F.max(F.unix_timestamp("at"))).first()
+    idle = 60 + (0 if last is None else last - first)
+    beat = spark.range(1 if last is not None else 0).select(F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tokens"), F.timestamp_seconds(F.lit((last or 0) + 2000 + idle)).alias("at"))
+    tables.write_jsonl(beat, path, append=True)
     stream = tables.stream_jsonl(spark, path, "source string, doc_id long, tokens long, at timestamp", files_per_batch=2)
     with ordered.state_store(spark):
-        bins = _drain(ordered.pack_in_order(stream, "source", "doc_id", "tokens", "at", 4000, "1000 seconds"))
+        bins = _drain(ordered.pack_in_order(stream, "source", "doc_id", "tokens", "at", 4000, "1000 seconds", idle * 1000))
     return bins.select("source", "bin_id", "n_items", "tokens", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
 
 
+def _come_in_order(spark, path: str) -> None:
+    """Files of a folder get ages in the order of their names, a second apart: a stream takes files by age, and tasks that
+    write at the same time end in any order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    named = lambda: sorted((f for f in store.listStatus(at) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    files = named()
+    start = min([int(time.time() * 1000), *(f.getModificationTime() for f in files)]) - 1000 * len(files)
+    for k, f in enumerate(files):
+        store.setTimes(f.getPath(), start + 1000 * k, -1)
+    ages = [f.getModificationTime() for f in named()]
+    if any(a >= b for a, b in zip(ages, ages[1:])):
+        raise ValueError(f"the store of {path} keeps no modification times: a stream would take its files in any order")
+
+
 @query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS image FROM events WHERE length('Describe the image in detail. [' || user_id || ']') >= 20")
 def stream_inference(spark, sf):
     ok, bad = _folder(spark), _folder(spark)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import batch
+from tessera.plans import catalog, connectors
 from tessera.sources import tables
 from tessera.streaming import jobs
 
@@ -100,3 +101,29 @@ def test_commit_only_after_the_expected_version(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tables.read_table(spark, path, 2)
     assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 1
+
+
+def test_packing_in_order_of_arrival(spark, tmp_path, monkeypatch):
+    """The files' ages are against their order, and one source has a document now and then."""
+    docs = [(i, "rare" if i % 5000 == 1 else f"s{i % 3}", 4 * (37 * i % 900)) for i in range(20_000)]
+    spark.createDataFrame(docs, "doc_id long, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def write(df, path, append=False, known=tables.write_jsonl):
+        known(df, path, append)
+        if not append:
+            files = sorted((p for p in os.scandir(path.removeprefix("file:")) if p.name.startswith("part-")), key=lambda p: p.name)
+            for k, f in enumerate(files):
+                os.utime(f.path, (1_700_000_000 - k, 1_700_000_000 - k))
+
+    monkeypatch.setattr(connectors.tables, "write_jsonl", write)
+    want, bins = set(), {}
+    for i, source, chars in docs:
+        tokens = max(1, chars // 4)
+        mine = bins.setdefault(source, [[]])
+        if mine[-1] and sum(t for _, t in mine[-1]) + tokens > 4000:
+            mine.append([])
+        mine[-1].append((i, tokens))
+    for source, mine in bins.items():
+        want |= {(source, k, len(b), sum(t for _, t in b), ",".join(str(i) for i, _ in b)) for k, b in enumerate(mine)}
+    got = [tuple(r) for r in catalog.QUERIES["stream_packing_in_order"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
