@@ -43,21 +43,26 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, normalise: bool = True)
     Any number of queries: both sides are cut into blocks of near vectors, and only those tiles are worked through that can
     hold one of the k best (see ``tiles``).
     """
-    unit = lambda df, name: df.select(name, (l2_normalise(F.col("v")) if normalise else F.col("v")).alias("v"))
     n, m = queries.count(), corpus.count()
     if not n or not m:
         return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    return tiles.top_k(tiles.pack(unit(queries, "query_id"), "query_id", "v", n), tiles.pack(unit(corpus, "vec_id"), "vec_id", "v", m), n, m, k)
+    return tiles.top_k(tiles.pack(_unit(queries, "query_id", normalise), "query_id", "v", n), tiles.pack(_unit(corpus, "vec_id", normalise), "vec_id", "v", m), n, m, k)
+
+
+def _unit(df: DataFrame, id: str, normalise: bool = True) -> DataFrame:
+    return df.select(id, (l2_normalise(F.col("v")) if normalise else F.col("v")).alias("v"))
 
 
 def top_k_both_ways(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """side, query_id, vec_id, rank, score: the k best of each row (``i2t``) and of each column (``t2i``) of the table of
     similarities of (i, u) and (j, v), which is never made as a whole; ties by the smaller id."""
-    a = left.select(F.col("i").alias("query_id"), F.col("u").alias("v"))
-    b = right.select(F.col("j").alias("query_id"), "v")
-    turn = lambda x: x.withColumnRenamed("query_id", "vec_id")
-    rows = top_k(a, turn(b), k).withColumn("side", F.lit("i2t"))
-    return rows.unionByName(top_k(b, turn(a), k).withColumn("side", F.lit("t2i")))
+    n, m = left.count(), right.count()
+    if not n or not m:
+        return left.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int, side string")
+    a = tiles.pack(_unit(left.withColumnRenamed("u", "v"), "i"), "i", "v", n)
+    b = tiles.pack(_unit(right, "j"), "j", "v", m)
+    rows = tiles.top_k(a, b, n, m, k).withColumn("side", F.lit("i2t"))
+    return rows.unionByName(tiles.top_k(b, a, m, n, k).withColumn("side", F.lit("t2i")))
 
 
 @F.pandas_udf(DoubleType())
@@ -86,9 +91,9 @@ def recall_at_k(left: DataFrame, right: DataFrame, ks: tuple[int, ...] = (1, 5,
     gold = durable(gold) if n > tiles.BLOCK_ROWS else gold
     clipped = sorted({min(k, n) for k in ks})
     images, texts = (tiles.pack(gold, "i", c, n, F.col("own")) for c in ("u", "v"))
-    sides = [tiles.count_better(a, b, n, n).withColumn("side", F.lit(name)) for name, a, b in (("i2t", images, texts), ("t2i", texts, images))]
+    ranks = tiles.count_better(images, texts, n, n).withColumn("side", F.when(F.col("side") == 0, "i2t").otherwise("t2i"))
     share = lambda k: F.round(F.avg((F.col("better") < k).cast("double")), 4)
-    wide = sides[0].unionByName(sides[1]).groupBy("side").agg(*[share(k).alias(f"r{k}") for k in clipped])
+    wide = ranks.groupBy("side").agg(*[share(k).alias(f"r{k}") for k in clipped])
     named = [F.struct(F.concat("side", F.lit(f"_R@{k}")).alias("metric"), F.col(f"r{k}").alias("value")) for k in clipped]
     hit = F.struct(F.lit("hit@5").alias("metric"), F.col("r5" if 5 in clipped else f"r{clipped[0]}").alias("value"))
     rows = F.when(F.col("side") == "i2t", F.array(*named, hit)).otherwise(F.array(*named))

@@ -105,3 +105,28 @@ def test_one_batch_of_any_size(spark, monkeypatch, size):
 def test_no_pairs(spark):
     none = spark.createDataFrame([], "i long, u array<double>, v array<double>, rank int")
     assert losses.batch_info_nce(none, 1.0).count() == losses.batch_sigmoid(none, 1.0, 1.0).count() == losses.batch_sigmoid(none, 1.0, 1.0, "rank").count() == 0
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    rng = np.random.default_rng(11)
+    sf = str(tmp_path_factory.mktemp("many"))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(4096, 64)) / 8)], "vec_id long, embedding array<double>").write.parquet(f"{sf}/embeddings.parquet")
+    return sf
+
+
+def _moved(spark) -> int:
+    """Bytes written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    each = sc.statusStore().executorList(False)
+    return sum(each.apply(k).totalShuffleWrite() for k in range(each.size()))
+
+
+@pytest.mark.parametrize("name", ["topk_both_ways", "recall_at_k", "sigmoid_one_batch", "sigmoid_by_rank"])
+def test_blocks_move_once_a_stripe(spark, many, monkeypatch, name):
+    """64 blocks of 16 KB a side: 64 MB if every block went to every other."""
+    monkeypatch.setattr(tiles, "BLOCK_ROWS", 32)
+    before = _moved(spark)
+    assert catalog.QUERIES[name](spark, many).collect()
+    assert _moved(spark) - before < 40e6
