@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.vectors import dot, sigmoid, softplus_neg
 from tessera.operators import tiles
 from tessera.operators.metrics import padded
+from tessera.session import durable
 
 
 def _log_sum_exp(x: Column, bound: float) -> Column:
@@ -72,20 +73,23 @@ def batch_sigmoid(pairs: DataFrame, log_scale: float, bias: float, rank: str | N
     if pairs.isEmpty():
         kinds = "" if rank is None else f"`{rank}` {dict(pairs.dtypes)[rank]}, n long, padding long, "
         return spark.createDataFrame([], f"{kinds}loss double")
-    keys = (pairs if valid is None else pairs.filter(valid)).select("i")
+    key = F.lit(1.0) if valid is None else F.when(valid, 1.0).otherwise(0.0)
     factor = float(np.exp(log_scale))
 
     def value(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        x = np.where(i == j, 1.0, -1.0) * (factor * s + bias)
-        return np.maximum(-x, 0) + np.log1p(np.exp(-np.abs(x)))
-
-    rows = pairs.select("i", "u", "v", *column)
-    n, m = rows.count(), keys.count()
-    parts = []
-    for ask, key in (("u", "v"), ("v", "u")):  # images ask texts, texts ask images
-        sums = tiles.line_states(tiles.pack(rows, "i", ask, n), tiles.pack(rows.join(keys, "i", "left_semi"), "i", key, m), n, m, value, False)
-        parts.append(sums.filter("side = 0").select("line", "total"))
-    per = parts[0].unionByName(parts[1]).groupBy("line").agg((F.sum("total") / 2).alias("total"))
+        x = factor * s + bias
+        gold = np.nonzero(i == j)
+        x[gold] = -x[gold]
+        rest = np.abs(x)
+        np.exp(np.negative(rest, out=rest), out=rest)
+        return np.maximum(x, 0, out=x) + np.log1p(rest, out=rest)
+
+    rows = pairs.select("i", "u", "v", *column, key.alias("_key"))
+    n = rows.count()
+    rows = durable(rows) if n > tiles.BLOCK_ROWS else rows
+    # images ask texts and texts ask images: the rows and the columns of one table
+    sums = tiles.line_states(tiles.pack(rows, "i", "u", n, F.col("_key")), tiles.pack(rows, "i", "v", n, F.col("_key")), n, n, value, False)
+    per = sums.groupBy("line").agg((F.sum("total") / 2).alias("total"))
     if rank is None:
         return per.agg((F.coalesce(F.sum("total"), F.lit(0.0)) / F.lit(n)).alias("loss"))
     ranks = rows.select("i", rank).join(per, F.col("i") == F.col("line"), "left").groupBy(rank).agg(F.count("*").alias("n"), (F.coalesce(F.sum("total"), F.lit(0.0)) / F.count("*")).alias("loss"))
