@@ -14,7 +14,7 @@ from tessera.operators import tiles
 from tessera.session import durable
 
 
-#: Vectors of one part of a cell of the approximate search.
+#: Vectors, and queries, of one part of a cell of the approximate search.
 CELL_ROWS = 10_000
 
 
@@ -102,7 +102,7 @@ def recall_at_k(left: DataFrame, right: DataFrame, ks: tuple[int, ...] = (1, 5,
 
 def train_cells(corpus: DataFrame, n_cells: int, seed: int = 42, sample: int = 100_000, rounds: int = 10) -> np.ndarray:
     """Centres of an inverted-list index, fitted by k-means on at most ``sample`` vectors (a documented bound)."""
-    rows = corpus.select(l2_normalise(F.col("v")).alias("v")).orderBy(F.xxhash64(F.lit(seed), F.col("v"))).limit(sample).collect()
+    rows = corpus.filter("v is not null").select(l2_normalise(F.col("v")).alias("v")).orderBy(F.xxhash64(F.lit(seed), F.col("v"))).limit(sample).collect()
     data = np.array([r["v"] for r in rows], float)
     rng = np.random.default_rng(seed)
     centres = data[rng.choice(len(data), min(n_cells, len(data)), replace=False)]
@@ -117,7 +117,11 @@ def train_cells(corpus: DataFrame, n_cells: int, seed: int = 42, sample: int = 1
 
 
 def ann_top_k(queries: DataFrame, corpus: DataFrame, k: int, centres: np.ndarray, probes: int) -> DataFrame:
-    """Approximate top-k: every vector is listed in its nearest cell, a query looks into its ``probes`` nearest cells."""
+    """Approximate top-k: every vector is listed in its nearest cell, a query looks into its ``probes`` nearest cells.
+
+    Vectors and queries of a cell are parts of about CELL_ROWS; each pair of parts is multiplied as matrices in a task, which
+    hands on the k best of each of its queries.
+    """
     shared = queries.sparkSession.sparkContext.broadcast(centres)
 
     def cells(n: int):
@@ -128,12 +132,34 @@ def ann_top_k(queries: DataFrame, corpus: DataFrame, k: int, centres: np.ndarray
 
         return near
 
-    c = corpus.select("vec_id", l2_normalise(F.col("v")).alias("v")).withColumn("cell", F.explode(cells(1)("v")))
-    # a cell of many vectors is many parts, and a query looks into each of them
-    parts = F.broadcast(c.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts")))  # a row a centre
-    c = c.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    q = queries.select("query_id", l2_normalise(F.col("v")).alias("q")).withColumn("cell", F.explode(cells(probes)("q")))
-    q = q.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    got = q.join(c, ["cell", "part"]).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 12).alias("score"))
+    def listed(df: DataFrame, id: str, n: int) -> DataFrame:
+        rows = df.filter("v is not null").select(F.col(id).cast("long").alias(id), l2_normalise(F.col("v")).alias("v"))
+        return rows.withColumn("cell", F.explode(cells(n)("v")))
+
+    def parts(df: DataFrame, name: str) -> DataFrame:  # a row a centre
+        return F.broadcast(df.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(name)))
+
+    q, c = listed(queries, "query_id", probes), listed(corpus, "vec_id", 1)
+    sizes = parts(q, "shares").join(parts(c, "parts"), "cell")
+    part = lambda id, n: F.pmod(F.xxhash64(id), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(F.broadcast(sizes), "cell").withColumn("share", part("query_id", "shares")).withColumn("part", every("parts"))
+    c = c.join(F.broadcast(sizes), "cell").withColumn("part", part("vec_id", "parts")).withColumn("share", every("shares"))
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        made = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
+        step = tiles.BLOCK_ROWS
+        for lo in range(0, len(x) if len(y) else 0, step):
+            ids, u = x["query_id"].to_numpy()[lo : lo + step], np.stack(x["v"].iloc[lo : lo + step].to_numpy()).astype(float)
+            score, found = np.full((len(u), k), -np.inf), np.full((len(u), k), np.iinfo(np.int64).max)
+            for at in range(0, len(y), step):
+                v = np.stack(y["v"].iloc[at : at + step].to_numpy()).astype(float)
+                score, found = tiles.keep_best(score, found, score[:, k - 1], u @ v.T, y["vec_id"].to_numpy()[at : at + step], k)
+            row, col = np.nonzero(score > -np.inf)
+            made.append(pd.DataFrame({"query_id": ids[row], "vec_id": found[row, col], "score": score[row, col]}))
+        return pd.concat(made)
+
+    keys = ["cell", "part", "share"]
+    got = q.select("query_id", "v", *keys).groupBy(*keys).cogroup(c.select("vec_id", "v", *keys).groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return got.withColumn("rank", rank).filter(F.col("rank") <= k)

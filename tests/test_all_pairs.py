@@ -130,3 +130,20 @@ def test_blocks_move_once_a_stripe(spark, many, monkeypatch, name):
     before = _moved(spark)
     assert catalog.QUERIES[name](spark, many).collect()
     assert _moved(spark) - before < 40e6
+
+
+def test_approximate_search_by_parts(spark, monkeypatch):
+    """All cells probed, so that the result is exact; many parts, ties, and rows without a vector. Pairs are never rows."""
+    monkeypatch.setattr(retrieval, "CELL_ROWS", 20)
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(400, 16))
+    data[200:220] = data[200]
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)] + [(400, None)], "vec_id long, v array<double>")
+    queries = corpus.filter("vec_id % 4 = 0").withColumnRenamed("vec_id", "query_id")
+    found = retrieval.ann_top_k(queries, corpus, 5, retrieval.train_cells(corpus, 6), 6)
+    assert "CoGroup" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in found.collect()}
+    s = np.round(data @ data.T, 12)
+    want = {(q, k + 1): int(i) for q in range(0, 400, 4) for k, i in enumerate(np.lexsort((np.arange(400), -s[q]))[:5])}
+    assert got == want
