@@ -78,8 +78,9 @@ def batch_sigmoid(pairs: DataFrame, log_scale: float, bias: float, rank: str | N
 
     def value(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         x = factor * s + bias
-        gold = np.nonzero(i == j)
-        x[gold] = -x[gold]
+        gold = i == j
+        if gold.any():
+            x[gold] = -x[gold]
         rest = np.abs(x)
         np.exp(np.negative(rest, out=rest), out=rest)
         return np.maximum(x, 0, out=x) + np.log1p(rest, out=rest)

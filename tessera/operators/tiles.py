@@ -225,7 +225,7 @@ def keep_best(best: np.ndarray, ids: np.ndarray, least: np.ndarray, s: np.ndarra
     if s.shape[1] > k and np.count_nonzero(hit) > 4 * k * len(s):
         least = np.fmax(least, np.partition(s, -k, axis=1)[:, -k])
         hit = s >= (least - _slack(least))[:, None]
-    row, col = np.nonzero(hit)
+    row, col = np.divmod(np.flatnonzero(hit), s.shape[1])  # faster than nonzero where few are
     some, at = np.unique(row, return_inverse=True)
     at = np.concatenate([np.repeat(np.arange(len(some)), k), at])
     score = np.concatenate([best[some].ravel(), np.round(s[row, col], DIGITS)])
